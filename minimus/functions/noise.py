@@ -40,8 +40,8 @@ def gumbel(scale, seed, *keys) -> Column:
 def sql_uniform(seed, *keys: str) -> str:
     """The same draw in DuckDB SQL (keys are SQL expressions)."""
     parts = ", ".join([f"'{seed}'"] + [f"CAST({k} AS VARCHAR)" for k in keys])
-    return (f"((('0x' || substr(md5(concat_ws('|', {parts})), 1, 8))::BIGINT + 0.5)"
-            f" / {TWO_32} - 0.5)")
+    return (f"((CAST(('0x' || substr(md5(concat_ws('|', {parts})), 1, 8))::BIGINT AS DOUBLE)"
+            f" + 0.5) / {TWO_32} - 0.5)")
 
 
 def sql_laplace(scale: str, seed, *keys: str) -> str:

@@ -62,11 +62,11 @@ def _sub(t: Column, cls: str) -> Column:
 
 
 def mask_pii(c, level) -> Column:
-    """Mask ``c`` at ``level`` ('low' | 'medium' | 'high', a literal or a Column).
-
-    With a literal level Catalyst folds the CASE branches away.
+    """Mask ``c`` at ``level``: one of 'low' / 'medium' / 'high' (a literal;
+    Catalyst then folds the CASE branches away), or a column name / Column
+    holding the level per row.
     """
-    lv = F.lit(level) if isinstance(level, str) else col_of(level)
+    lv = F.lit(level) if level in LEVELS else col_of(level)
     t = _sub(_sub(col_of(c), "secret"), "email")
     t = F.when(lv == "low", _mask_luhn_cards(t)).otherwise(_sub(t, "card"))
     t = _sub(t, "phone")
