@@ -46,7 +46,7 @@ def drop_repeats(segs: DataFrame, keys=("pid", "lang", "level")) -> DataFrame:
 
 def content_tokens(seg, lang) -> Column:
     """Distinct tokens of a segment without the language's filler words."""
-    fill = F.coalesce(F.element_at(filler_map(), col_of(lang)),
+    fill = F.coalesce(F.try_element_at(filler_map(), col_of(lang)),
                       F.array().cast("array<string>"))
     return F.filter(distinct_tokens(seg), lambda t: ~F.array_contains(fill, t))
 
