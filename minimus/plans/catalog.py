@@ -32,7 +32,8 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import the modules that register queries."""
     import importlib
-    for mod in ("queries_messages", "queries_text", "queries_select", "queries_flow"):
+    for mod in ("queries_messages", "queries_text", "queries_select", "queries_flow",
+                "queries_stream"):
         try:
             importlib.import_module(f"{__package__}.{mod}")
         except ModuleNotFoundError as e:
