@@ -28,6 +28,21 @@ PLACEHOLDER = {
     "ip": "<IP>",
     "number": "<NUM>",
 }
+# A cheap test that must hold for a class pattern to match at all. Regexes
+# only run on texts that pass it (most texts hold no PII at all). It is applied
+# to the *original* text: masking never adds an '@', a digit or these literals,
+# so a text without them cannot gain a match later in the chain -- and guarding
+# on the original keeps the partially masked text out of the CASE condition.
+def _may_match(t: Column, cls: str) -> Column:
+    if cls == "secret":
+        return F.instr(t, 'token = "') > 0
+    if cls == "email":
+        return F.instr(t, "@") > 0
+    if cls == "phone":
+        return F.instr(t, "+1 (") > 0
+    return F.regexp_like(t, F.lit("[0-9]"))
+
+
 PATTERN = {
     "secret": SECRET,
     "email": EMAIL,
@@ -52,13 +67,15 @@ def luhn_ok(x: Column) -> Column:
     return F.call_function("luhn_check", x)
 
 
-def _mask_luhn_cards(t: Column) -> Column:
+def _mask_luhn_cards(t: Column, orig: Column) -> Column:
     valid = F.filter(F.regexp_extract_all(t, F.lit(CARD), 0), luhn_ok)
-    return F.aggregate(valid, t, lambda acc, x: F.replace(acc, x, F.lit(PLACEHOLDER["card"])))
+    return F.when(_may_match(orig, "card"), F.aggregate(
+        valid, t, lambda acc, x: F.replace(acc, x, F.lit(PLACEHOLDER["card"])))).otherwise(t)
 
 
-def _sub(t: Column, cls: str) -> Column:
-    return F.regexp_replace(t, PATTERN[cls], PLACEHOLDER[cls])
+def _sub(t: Column, cls: str, orig: Column | None = None) -> Column:
+    guard = _may_match(t if orig is None else orig, cls)
+    return F.when(guard, F.regexp_replace(t, PATTERN[cls], PLACEHOLDER[cls])).otherwise(t)
 
 
 def mask_pii(c, level) -> Column:
@@ -67,26 +84,31 @@ def mask_pii(c, level) -> Column:
     holding the level per row.
     """
     lv = F.lit(level) if level in LEVELS else col_of(level)
-    t = _sub(_sub(col_of(c), "secret"), "email")
-    t = F.when(lv == "low", _mask_luhn_cards(t)).otherwise(_sub(t, "card"))
-    t = _sub(t, "phone")
-    t = F.when(lv == "low", t).otherwise(_sub(t, "ip"))
-    return F.when(lv == "high", _sub(t, "number")).otherwise(t)
+    o = col_of(c)
+    t = _sub(_sub(o, "secret", o), "email", o)
+    t = F.when(lv == "low", _mask_luhn_cards(t, o)).otherwise(_sub(t, "card", o))
+    t = _sub(t, "phone", o)
+    t = F.when(lv == "low", t).otherwise(_sub(t, "ip", o))
+    return F.when(lv == "high", _sub(t, "number", o)).otherwise(t)
 
 
 def class_counts(c) -> list[tuple[str, Column]]:
     """O26 helper: matches per class, each counted on the text left after the
     classes before it were masked (the high-level order); card split by Luhn."""
-    t = col_of(c)
+    o = col_of(c)
+    t = o
     out = []
     for cls in CLASS_ORDER:
         found = F.regexp_extract_all(t, F.lit(PATTERN[cls]), 0)
+        zero = F.lit(0)
+        may = _may_match(o, cls)
         if cls == "card":
-            out.append(("card_luhn", F.size(F.filter(found, luhn_ok))))
-            out.append(("card_other", F.size(F.filter(found, lambda x: ~luhn_ok(x)))))
+            out.append(("card_luhn", F.when(may, F.size(F.filter(found, luhn_ok))).otherwise(zero)))
+            out.append(("card_other", F.when(may, F.size(
+                F.filter(found, lambda x: ~luhn_ok(x)))).otherwise(zero)))
         else:
-            out.append((cls, F.size(found)))
-        t = _sub(t, cls)
+            out.append((cls, F.when(may, F.size(found)).otherwise(zero)))
+        t = _sub(t, cls, o)
     return out
 
 

@@ -16,12 +16,20 @@ from pyspark.sql import functions as F
 JS_WS_CLASS = (r"[\t\n\x{0B}\f\r \x{A0}\x{1680}\x{2000}-\x{200A}"
                r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]")
 JS_TRIM_PATTERN = rf"\A{JS_WS_CLASS}+|{JS_WS_CLASS}+\z"
+# The same set as plain characters, for Spark's character-set trim.
+JS_WS_CHARS = ("\t\n\x0b\f\r \xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+               + "\u2028\u2029\u202f\u205f\u3000\ufeff")
 
 # Clean-up patterns (our preprocessing definition).
 JUNK_RUN = r"[#$%&*]{2,}"          # runs such as ###, $$$, %%%, &&&, ***
 BANG_RUN = r"!{2,}"                # !! and longer -> !
 HSPACE_RUN = r"[\t\f\x{0B} \x{A0}]+"  # horizontal blanks -> one space
 SPACE_AROUND_NL = r" ?\n ?"        # after collapsing: at most one each side
+# Same effect as the two rules above, written so that text already in shape
+# (single spaces, bare newlines) is not matched at all: the regex engine then
+# scans without rewriting every word boundary.
+HSPACE_FIX = r"[\t\f\x{0B}\x{A0}][\t\f\x{0B} \x{A0}]*| [\t\f\x{0B} \x{A0}]+"
+NL_FIX = r" \n ?|\n "
 
 LETTERS = r"\p{L}+"                # token definition
 SEGMENT = r"[^.!?\n]+[.!?]?"       # sentence-ish segment
@@ -32,8 +40,10 @@ def col_of(c) -> Column:
 
 
 def js_trim(c) -> Column:
-    """Trim exactly like JS ``String.trim`` (F.trim only strips U+0020)."""
-    return F.regexp_replace(col_of(c), JS_TRIM_PATTERN, "")
+    """Trim exactly like JS ``String.trim``. Plain ``F.trim(c)`` strips
+    only U+0020; the character-set form strips the whole JS set (the regex
+    form of the same thing, ``JS_TRIM_PATTERN``, is what the SQL oracle uses)."""
+    return F.trim(col_of(c), F.lit(JS_WS_CHARS))
 
 
 def is_blank(c) -> Column:
@@ -59,8 +69,8 @@ def clean_text(c) -> Column:
     """Drop junk punctuation runs, collapse blanks, keep newlines, JS-trim."""
     t = F.regexp_replace(col_of(c), JUNK_RUN, "")
     t = F.regexp_replace(t, BANG_RUN, "!")
-    t = F.regexp_replace(t, HSPACE_RUN, " ")
-    t = F.regexp_replace(t, SPACE_AROUND_NL, "\n")
+    t = F.regexp_replace(t, HSPACE_FIX, " ")
+    t = F.regexp_replace(t, NL_FIX, "\n")
     return js_trim(t)
 
 
