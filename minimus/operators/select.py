@@ -23,35 +23,58 @@ def token_bucket(tok) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint"), F.lit(N_BUCKETS))
 
 
-def score_segments(segs: DataFrame, idf: DataFrame, keys=("pid", "lang", "level")) -> DataFrame:
-    """O34 (+ the vector sums NoisyKNN needs).
+def score_segments(segs: DataFrame, idf: DataFrame, keys=("pid", "lang", "level"),
+                   back_to: str | None = None) -> DataFrame:
+    """O34 plus the prompt statistics the later steps need, in one pass.
 
     score = mean normalised IDF over the segment's distinct non-filler tokens
-    (0 when none is known), summed in fixed point (see ``vocab.NIDF_SCALE``). ``dot`` = <segment, prompt> and ``ss`` = |segment|^2
-    of the 64-bucket hashed term vectors, computed from token rows with two
-    windows: sum over a segment's tokens of the prompt's bucket count is the
-    dot product, of the segment's own bucket count the squared norm.
-    Only keys and tokens travel through the token shuffle; segment text does not.
+    (0 when none is known), summed in fixed point (see ``vocab.NIDF_SCALE``).
+    Hashed term vectors (64 md5 buckets): one hash aggregate per segment counts
+    its IDF sum and its tokens per bucket (c_0..c_63); one window per prompt
+    sums those into the prompt vector P. Then dot = <c, P>, ss = |c|^2,
+    pp = |P|^2 and n_seg (segments in the prompt).
+
+    ``idf`` may be a broadcast side (then nothing here shuffles on data
+    partitioned by ``pid``). Otherwise pass ``back_to='pid'``: token rows are
+    looked up with a shuffle join (segments without tokens get a unique dummy
+    key so they do not pile up on the NULL key) and go straight back to prompt
+    partitions.
     """
     k = list(keys)
-    toks = (segs.select(*k, "pos", F.explode(content_tokens("seg", "lang")).alias("token"))
+    rows = (segs.select(*k, "pos", "seg",
+                        F.explode_outer(content_tokens("seg", "lang")).alias("token"))
                 .withColumn("bucket", token_bucket("token")))
-    toks = (toks.withColumn("p_b", F.count(F.lit(1)).over(Window.partitionBy(*k, "bucket")))
-                .withColumn("s_b", F.count(F.lit(1)).over(Window.partitionBy(*k, "pos", "bucket"))))
-    j = toks.join(idf.select("lang", "token", "nidf_q"), ["lang", "token"], "left")
-    agg = j.groupBy(*k, "pos").agg((F.sum("nidf_q") / (F.count("nidf_q") * F.lit(NIDF_SCALE)))
-                                   .alias("score"),
-                                   F.sum("p_b").alias("dot"),
-                                   F.sum("s_b").alias("ss"))
-    out = segs.join(agg, k + ["pos"], "left")
-    return out.select(*k, "pos", "seg",
-                      F.coalesce("score", F.lit(0.0)).alias("score"),
-                      F.coalesce("dot", F.lit(0)).alias("dot"),
-                      F.coalesce("ss", F.lit(0)).alias("ss"))
+    if back_to:
+        rows = rows.withColumn("token", F.coalesce(
+            "token", F.concat(F.lit("\u0000"), F.col("pid"), F.lit(":"),
+                              F.col("pos").cast("string"))))
+    j = rows.join(idf.select("lang", "token", "nidf_q"), ["lang", "token"], "left")
+    if back_to:
+        j = j.repartition(back_to)
+    # the 64 counts travel as one array column: a row of 128 plain columns would
+    # exceed spark.sql.codegen.maxFields and drop whole-stage code generation
+    agg = j.groupBy(*k, "pos", "seg").agg(
+        (F.sum("nidf_q") / (F.count("nidf_q") * F.lit(NIDF_SCALE))).alias("score"),
+        F.array(*[F.count_if(F.col("bucket") == i) for i in range(N_BUCKETS)]).alias("c"))
+    w = Window.partitionBy("pid", "level")
+    withp = agg.select(*k, "pos", "seg", F.coalesce("score", F.lit(0.0)).alias("score"), "c",
+                       F.array(*[F.sum(F.col("c")[i]).over(w) for i in range(N_BUCKETS)])
+                       .alias("p"),
+                       F.count(F.lit(1)).over(w).alias("n_seg"))
+
+    def sumprod(a, b):
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0).cast("bigint"),
+                           lambda acc, x: acc + x)
+    return withp.select(*k, "pos", "seg", "score",
+                        sumprod(F.col("c"), F.col("p")).alias("dot"),
+                        sumprod(F.col("c"), F.col("c")).alias("ss"),
+                        "n_seg",
+                        sumprod(F.col("p"), F.col("p")).alias("pp"))
 
 
 def add_prompt_stats(scored: DataFrame, keys=("pid", "level")) -> DataFrame:
-    """n_seg (segments per prompt) and pp = |prompt vector|^2 (= sum of dots)."""
+    """n_seg and pp for a scored table that lacks them (kept for callers that
+    score segments some other way)."""
     w = Window.partitionBy(*keys)
     return (scored.withColumn("n_seg", F.count(F.lit(1)).over(w))
                   .withColumn("pp", F.sum("dot").over(w)))

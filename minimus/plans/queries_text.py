@@ -15,17 +15,19 @@ from .catalog import register
 from .chain_sql import DOC_BASE, sql_content_tokens, with_chain
 from .simplify import simplify_chain
 
-LEVEL_ARRAY = [F.lit(x) for x in LEVELS]
+
+def level_array():
+    return F.array(*[F.lit(x) for x in LEVELS])
 
 
 def document_base(spark: SparkSession, sf: str) -> DataFrame:
     """Prompt table from ``documents``: pid, lang, pre-processed text (O41) and a
     privacy level picked per document."""
-    docs = read_table(spark, sf, "documents", ["doc_id", "text", "lang"])
+    docs = read_table(spark, sf, "documents", ["doc_id", "text", "lang"], heavy=True)
     return docs.select(
         F.col("doc_id").cast("string").alias("pid"), "lang",
         clean_text("text").alias("text"),
-        F.element_at(F.array(*LEVEL_ARRAY), (F.pmod("doc_id", F.lit(3)) + 1).cast("int"))
+        F.element_at(level_array(), (F.pmod("doc_id", F.lit(3)) + 1).cast("int"))
         .alias("level"))
 
 
@@ -38,7 +40,7 @@ def document_chain(spark: SparkSession, sf: str, levels=None):
 SELECT doc_id, {sql_clean_text('text')} AS text FROM documents""")
 def q_clean_text(spark: SparkSession, sf: str) -> DataFrame:
     """Preprocessing clean-up of every document."""
-    docs = read_table(spark, sf, "documents", ["doc_id", "text"])
+    docs = read_table(spark, sf, "documents", ["doc_id", "text"], heavy=True)
     return docs.select("doc_id", clean_text("text").alias("text"))
 
 
@@ -47,9 +49,9 @@ SELECT doc_id, level, {sql_mask_pii(sql_clean_text('text'), 'level')} AS masked
 FROM documents, (SELECT unnest(['low', 'medium', 'high']) AS level)""")
 def q_mask_pii(spark: SparkSession, sf: str) -> DataFrame:
     """Every cleaned document masked at each of the three levels."""
-    docs = read_table(spark, sf, "documents", ["doc_id", "text"])
+    docs = read_table(spark, sf, "documents", ["doc_id", "text"], heavy=True)
     lv = docs.select("doc_id", clean_text("text").alias("text"),
-                     F.explode(F.array(*LEVEL_ARRAY)).alias("level"))
+                     F.explode(level_array()).alias("level"))
     return lv.select("doc_id", "level", mask_pii("text", "level").alias("masked"))
 
 
@@ -67,7 +69,7 @@ WHERE n > 0"""
 @register("pii_findings", _findings_sql())
 def q_pii_findings(spark: SparkSession, sf: str) -> DataFrame:
     """Matches per document and class -- counts only, never the values."""
-    docs = read_table(spark, sf, "documents", ["doc_id", "text"])
+    docs = read_table(spark, sf, "documents", ["doc_id", "text"], heavy=True)
     counts = class_counts(clean_text("text"))
     wide = docs.select("doc_id", *[c.cast("bigint").alias(n) for n, c in counts])
     names = [n for n, _ in counts]
@@ -94,7 +96,7 @@ SELECT doc_id, array_to_string(list_sort({sql_content_tokens(sql_clean_text('tex
 FROM documents""")
 def q_drop_filler(spark: SparkSession, sf: str) -> DataFrame:
     """Each document's distinct tokens without its language's filler words."""
-    docs = read_table(spark, sf, "documents", ["doc_id", "text", "lang"])
+    docs = read_table(spark, sf, "documents", ["doc_id", "text", "lang"], heavy=True)
     toks = content_tokens(clean_text("text"), "lang")
     return docs.select("doc_id", F.array_join(F.array_sort(toks), " ").alias("content"))
 

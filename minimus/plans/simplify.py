@@ -1,104 +1,183 @@
-"""O46 simplify chain and O47/O48 review with bounded retry, as one Spark plan.
+"""O46 simplify chain and O47/O48 review with bounded retry, as Spark plans.
 
 mask (O42) -> segments (O43) -> drop repeats (O32) -> score (O34, IDF O23/O25)
 -> SVT (O29) -> top-k (O33) -> NoisyKNN (O22) -> rebuild (O45)
 -> review (O37, O38, O47) for attempts 1..3 (O48) -> first passing attempt (O31).
 
+Partitioning: the masked prompts are hash-partitioned by ``pid`` once and
+written as a checkpoint (the privacy boundary: no raw text past it). Every
+later step is keyed by ``pid`` plus more columns, so windows, aggregates and
+the per-prompt joins all reuse that partitioning. The only other exchange is
+the IDF lookup of the token rows, and only when the IDF table is too large to
+broadcast (checked by row count); then the rows go back to ``pid`` partitions
+right after the lookup.
+
+Stage boundaries that later steps read more than once (masked prompts, IDF,
+scored segments) are reliable checkpoints in the shared checkpoint folder:
+they cut the lineage, so a lost executor costs one stage, not the chain. They
+are taken lazily, the first time a stage is asked for.
+
 All three attempts are planned at once (``explode(sequence(1, 3))``): one job,
-no driver loop. Shuffles: the masked prompts once by ``pid`` (every later
-per-prompt window and aggregate reuses that partitioning), the token rows once
-for the IDF lookup (skipped when the IDF table is small enough to broadcast),
-and the small per-prompt tables.
+no driver loop.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pii import mask_pii
-from ..operators.policy import (DEFAULT_SEED, MAX_ATTEMPTS, attempt_params)
+from ..functions.text import js_trim, segment_array
+from ..operators.policy import DEFAULT_SEED, MAX_ATTEMPTS, attempt_params
 from ..operators.review import pick_attempt, required_items, review
 from ..operators.segments import content_tokens, drop_repeats, rebuild
-from ..operators.select import (add_prompt_stats, knn_select, score_segments, svt,
-                                thresholds, top_k)
-from ..operators.vocab import build_vocab, corpus_sizes, idf_table
-from ..functions.text import segment_array, js_trim
+from ..operators.select import knn_select, score_segments, svt, thresholds, top_k
+from ..operators.vocab import BROADCAST_MAX_ROWS, build_vocab, corpus_sizes, idf_table
+from ..session import bucketed_stage, cut_lineage
 
 KEYS = ("pid", "lang", "level")
 
 
-@dataclass
-class Chain:
-    masked: DataFrame      # pid, lang, level, masked, orig_tokens
-    segments: DataFrame    # O43
-    uniq: DataFrame        # O32
-    idf: DataFrame         # O23 / O25
-    scored: DataFrame      # O34 + prompt stats
-    plan: DataFrame        # policy x attempts
-    thresholds: DataFrame  # T per (level, attempt)
-    svt: DataFrame         # O29
-    topk: DataFrame        # O33
-    knn: DataFrame         # O22 (chain form)
-    rebuilt: DataFrame     # O45
-    reviewed: DataFrame    # O47 per attempt
-    chosen: DataFrame      # O31 / O48
-
-
 def attempt_plan(policy: DataFrame, attempts: int = MAX_ATTEMPTS) -> DataFrame:
     """Policy rows times attempts 1..n (at most 3 x n rows)."""
     return attempt_params(policy.withColumn(
         "attempt", F.explode(F.sequence(F.lit(1), F.lit(attempts)))))
 
 
+class Chain:
+    """Lazily built stages of the chain for one prompt table.
+
+    ``base`` has pid, lang, text (already pre-processed) and, unless ``levels``
+    is given (level sweep), a ``level`` column.
+    """
+
+    def __init__(self, base: DataFrame, policy: DataFrame, levels: list[str] | None = None,
+                 seed: int = DEFAULT_SEED, topk_noise: str | None = None,
+                 idf: DataFrame | None = None, attempts: int = MAX_ATTEMPTS,
+                 broadcast_max_rows: int = BROADCAST_MAX_ROWS, checkpoint: bool = True):
+        self.base = base
+        self.policy = policy
+        self.levels = levels
+        self.seed = seed
+        self.topk_noise = topk_noise
+        self._idf_in = idf
+        self.attempts = attempts
+        self.broadcast_max_rows = broadcast_max_rows
+        self._ckpt = checkpoint
+
+    def _cut(self, df: DataFrame) -> DataFrame:
+        return cut_lineage(df) if self._ckpt else df
+
+    def _stage(self, df: DataFrame, name: str) -> DataFrame:
+        """Per-prompt stage: bucketed by pid (keeps the partitioning)."""
+        return bucketed_stage(df, "pid", name) if self._ckpt else df
+
+    # -- O23 / O25 -------------------------------------------------------------
+    @cached_property
+    def idf(self) -> DataFrame:
+        if self._idf_in is not None:
+            return self._idf_in
+        return self._cut(idf_table(build_vocab(self.base), corpus_sizes(self.base)))
+
+    @cached_property
+    def idf_broadcast(self) -> bool:
+        """Broadcast only with a proven size: the (materialised) row count."""
+        return self.idf.count() <= self.broadcast_max_rows
+
+    def idf_side(self, cols) -> DataFrame:
+        side = self.idf.select(*cols)
+        return F.broadcast(side) if self.idf_broadcast else side
+
+    # -- O42: masked prompts, partitioned by pid --------------------------------
+    @cached_property
+    def masked(self) -> DataFrame:
+        prompts = self.base if self.levels is None else self.base.withColumn(
+            "level", F.explode(F.array(*[F.lit(x) for x in self.levels])))
+        m = (prompts.select(*KEYS, mask_pii("text", "level").alias("masked"))
+                    .withColumn("orig_tokens", content_tokens("masked", "lang")))
+        return self._stage(m, "masked") if self._ckpt else m.repartition("pid")
+
+    # -- O43 / O32 ---------------------------------------------------------------
+    @cached_property
+    def segments(self) -> DataFrame:
+        return (self.masked.select(*KEYS, F.posexplode(segment_array("masked"))
+                                   .alias("pos", "raw"))
+                           .select(*KEYS, "pos", js_trim("raw").alias("seg"))
+                           .where(F.col("seg") != ""))
+
+    @cached_property
+    def uniq(self) -> DataFrame:
+        return drop_repeats(self.segments, KEYS)
+
+    # -- O34 ---------------------------------------------------------------------
+    @cached_property
+    def scored(self) -> DataFrame:
+        s = score_segments(self.uniq, self.idf_side(["lang", "token", "nidf_q"]), KEYS,
+                           back_to="pid" if not self.idf_broadcast else None)
+        return self._stage(s, "scored")
+
+    @cached_property
+    def plan(self) -> DataFrame:
+        return attempt_plan(self.policy, self.attempts)
+
+    @cached_property
+    def thresholds(self) -> DataFrame:
+        return thresholds(self.scored, self.plan)
+
+    # -- O29 / O33 / O22 / O45 -------------------------------------------------
+    @cached_property
+    def svt(self) -> DataFrame:
+        rows = (self.scored
+                .join(F.broadcast(self.plan.select("level", "attempt", "b_thr", "b", "c_att",
+                                                   "k_att", "knn_att")), "level")
+                .join(F.broadcast(self.thresholds), ["level", "attempt"]))
+        return svt(rows, self.seed)
+
+    @cached_property
+    def topk(self) -> DataFrame:
+        return top_k(self.svt, self.seed, self.topk_noise)
+
+    @cached_property
+    def knn(self) -> DataFrame:
+        return knn_select(self.topk, self.seed)
+
+    @cached_property
+    def rebuilt(self) -> DataFrame:
+        return rebuild(self.knn.select("pid", "level", "attempt", "pos", "seg"),
+                       keys=("pid", "level", "attempt"))
+
+    # -- O47 / O48 / O31 ----------------------------------------------------------
+    @cached_property
+    def reviewed(self) -> DataFrame:
+        m = self.masked
+        tok_idf = (m.select("pid", "lang", "level", F.explode("orig_tokens").alias("token"))
+                    .join(self.idf_side(["lang", "token", F.col("nidf_q").alias("idf")]),
+                          ["lang", "token"]))
+        if not self.idf_broadcast:
+            tok_idf = tok_idf.repartition("pid")
+        req = required_items(tok_idf, keys=("pid", "level"))
+        att = (m.select("pid", "lang", "level", "orig_tokens")
+                .join(F.broadcast(self.plan.select("level", "attempt", "pass_score",
+                                                   "max_missing")), "level")
+                .join(self.rebuilt, ["pid", "level", "attempt"], "left")
+                .join(req, ["pid", "level"], "left")
+                .withColumn("simplified", F.coalesce("simplified", F.lit("")))
+                .withColumn("n_kept", F.coalesce("n_kept", F.lit(0)))
+                .withColumn("required", F.coalesce("required",
+                                                   F.array().cast("array<string>")))
+                .withColumn("simp_tokens", content_tokens("simplified", "lang")))
+        return review(att)
+
+    @cached_property
+    def chosen(self) -> DataFrame:
+        return pick_attempt(self.reviewed)
+
+
 def simplify_chain(base: DataFrame, policy: DataFrame, levels: list[str] | None = None,
                    seed: int = DEFAULT_SEED, topk_noise: str | None = None,
-                   idf: DataFrame | None = None, attempts: int = MAX_ATTEMPTS) -> Chain:
-    """``base`` has pid, lang, text (already pre-processed) and, unless
-    ``levels`` is given (level sweep), a ``level`` column."""
-    if idf is None:
-        idf = idf_table(build_vocab(base), corpus_sizes(base))
-    prompts = base if levels is None else base.withColumn(
-        "level", F.explode(F.array(*[F.lit(x) for x in levels])))
-    # Mask first, so raw PII never reaches a shuffle; then partition by prompt once.
-    masked = (prompts.select(*KEYS, mask_pii("text", "level").alias("masked"))
-                     .withColumn("orig_tokens", content_tokens("masked", "lang"))
-                     .repartition("pid"))
-    segs = (masked.select(*KEYS, F.posexplode(segment_array("masked")).alias("pos", "raw"))
-                  .select(*KEYS, "pos", js_trim("raw").alias("seg"))
-                  .where(F.col("seg") != ""))
-    uniq = drop_repeats(segs, KEYS)
-    scored = add_prompt_stats(score_segments(uniq, idf, KEYS), keys=("pid", "level"))
-
-    plan = attempt_plan(policy, attempts)
-    thr = thresholds(scored, plan)
-    rows = (scored.join(F.broadcast(plan.select(
-                "level", "attempt", "b_thr", "b", "c_att", "k_att", "knn_att")), "level")
-                  .join(F.broadcast(thr), ["level", "attempt"]))
-    s1 = svt(rows, seed)
-    s2 = top_k(s1, seed, topk_noise)
-    s3 = knn_select(s2, seed)
-    rebuilt = rebuild(s3.select("pid", "level", "attempt", "pos", "seg"),
-                      keys=("pid", "level", "attempt"))
-
-    # review inputs: the prompt's content tokens, its top-5 IDF tokens, the attempt's text
-    tok_idf = (masked.select("pid", "lang", "level", F.explode("orig_tokens").alias("token"))
-                     .join(idf.select("lang", "token", F.col("nidf_q").alias("idf")),
-                           ["lang", "token"]))
-    req = required_items(tok_idf, keys=("pid", "level"))
-    att = (masked.select("pid", "lang", "level", "orig_tokens")
-                 .join(F.broadcast(plan.select("level", "attempt", "pass_score", "max_missing")),
-                       "level")
-                 .join(rebuilt, ["pid", "level", "attempt"], "left")
-                 .join(req, ["pid", "level"], "left")
-                 .withColumn("simplified", F.coalesce("simplified", F.lit("")))
-                 .withColumn("n_kept", F.coalesce("n_kept", F.lit(0)))
-                 .withColumn("required", F.coalesce(
-                     "required", F.array().cast("array<string>")))
-                 .withColumn("simp_tokens", content_tokens("simplified", "lang")))
-    reviewed = review(att)
-    chosen = pick_attempt(reviewed)
-    return Chain(masked, segs, uniq, idf, scored, plan, thr, s1, s2, s3, rebuilt,
-                 reviewed, chosen)
+                   idf: DataFrame | None = None, attempts: int = MAX_ATTEMPTS,
+                   **kw) -> Chain:
+    return Chain(base, policy, levels=levels, seed=seed, topk_noise=topk_noise, idf=idf,
+                 attempts=attempts, **kw)

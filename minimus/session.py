@@ -34,6 +34,9 @@ def get_spark(master: str | None = None, app: str = "minimus",
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # per-prompt joins are keyed (pid, ...) on data already hash-partitioned
+        # by pid (a high-cardinality key): let them reuse that partitioning
+        .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
@@ -60,6 +63,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def bucketed_stage(df: DataFrame, key: str, name: str, buckets: int | None = None) -> DataFrame:
+    """Write ``df`` as a table bucketed by ``key`` under the shared checkpoint
+    folder and read it back. Like a checkpoint this cuts the lineage (a lost
+    executor re-reads files instead of recomputing the chain); unlike one, the
+    read keeps the hash partitioning on ``key``, so later windows, aggregates and
+    joins keyed by ``key`` (plus other columns) need no new shuffle.
+    Rows are hash-partitioned into ``buckets`` first, so each task writes one file.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, name)
+    table = f"minimus_stage_{name}_{uuid.uuid4().hex[:10]}"
+    (df.repartition(n, key).write.bucketBy(n, key).format("parquet")
+       .option("path", path).saveAsTable(table))
+    return spark.table(table)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (written to the shared folder) so a lost executor
     does not force recomputation of the whole chain. Never a local checkpoint."""

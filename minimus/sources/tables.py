@@ -15,12 +15,29 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy row work (regexes over long texts) enough tasks.
+
+    A scan yields one task per file split; a table stored as a few large
+    row groups would run all its per-row work in a handful of tasks. Only then
+    are rows dealt round-robin over the default parallelism. A large input
+    already has more splits than cores, and is left alone (no extra shuffle).
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str,
-               columns: list[str] | tuple[str, ...] | None = None) -> DataFrame:
+               columns: list[str] | tuple[str, ...] | None = None,
+               heavy: bool = False) -> DataFrame:
     """Read one driver table. The declared schema is used when we have one, so
-    nothing is inferred; selecting ``columns`` here lets the Parquet scan prune."""
+    nothing is inferred; selecting ``columns`` here lets the Parquet scan prune.
+    ``heavy=True`` when expensive per-row work follows (see ``spread``)."""
     reader = spark.read
     if name in TABLE_SCHEMAS:
         reader = reader.schema(TABLE_SCHEMAS[name])
     df = reader.parquet(table_path(sf_dir, name))
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    return spread(df) if heavy else df
