@@ -17,10 +17,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def preceding_value(df: DataFrame, group: str, order: str, anchor: Column,
+def preceding_value(df: DataFrame, group: str, order, anchor: Column,
                     value: str, out: str, bucket: Column | None = None) -> DataFrame:
-    """Add ``out`` = ``value`` of the last row before this one (by ``order``,
-    within ``group``) where ``anchor`` holds; NULL when there is none."""
+    """Add ``out`` = ``value`` of the last row before this one (by ``order``, a
+    column name or a list of them, within ``group``) where ``anchor`` holds;
+    NULL when there is none. ``bucket`` must not decrease along ``order``."""
+    ocols = list(order) if isinstance(order, (list, tuple)) else [order]
     anchored = F.when(anchor, F.col(value))
     if bucket is None:
         w = (Window.partitionBy(group).orderBy(order)
@@ -35,9 +37,9 @@ def preceding_value(df: DataFrame, group: str, order: str, anchor: Column,
     # one row per (group, bucket): the bucket's last anchor value
     last_in_bucket = (df.withColumn(b, bucket)
                       .groupBy(group, b)
-                      .agg(F.max(F.when(anchor, F.struct(F.col(order).alias("o"),
-                                                         F.col(value).alias("v"))))
-                           .alias("__m"))
+                      .agg(F.max(F.when(anchor, F.struct(
+                          *[F.col(c).alias(f"o{i}") for i, c in enumerate(ocols)],
+                          F.col(value).alias("v")))).alias("__m"))
                       .select(group, b, F.col("__m.v").alias("__bl")))
     carry_w = (Window.partitionBy(group).orderBy(b)
                .rowsBetween(Window.unboundedPreceding, -1))
@@ -60,13 +62,59 @@ def asof_backward(df: DataFrame, group: str, order: str, target: Column,
     return t
 
 
-def pair_turns(msgs: DataFrame) -> DataFrame:
+# Conversation turns are dense integers, so ``turn div TURN_BUCKET`` bounds the
+# rows one window task holds, however long a conversation is.
+TURN_BUCKET = 4096
+
+
+def turn_bucket(turn: str = "turn", size: int = TURN_BUCKET) -> Column:
+    return F.floor(F.col(turn) / F.lit(size)).cast("bigint")
+
+
+def lag_value(df: DataFrame, group: str, order: str, value: str, out: str,
+              bucket: Column | None = None) -> DataFrame:
+    """``lag(value)`` over (group, order): the previous row's value. With a
+    bucket it runs as the two-level scan of ``preceding_value`` (every row is
+    an anchor; values are wrapped in a struct so a NULL value still counts)."""
+    t = df.withColumn("__v", F.struct(F.col(value).alias("v")))
+    t = preceding_value(t, group, order, F.lit(True), "__v", "__pv", bucket)
+    return t.withColumn(out, F.col("__pv.v")).drop("__v", "__pv")
+
+
+def lead_value(df: DataFrame, group: str, order: str, value: str, out: str,
+               bucket_size: int | None = TURN_BUCKET) -> DataFrame:
+    """``lead(value)``: the lag of the reversed order (integer ``order``)."""
+    t = df.withColumn("__neg", -F.col(order))
+    b = (-turn_bucket(order, bucket_size)) if bucket_size else None
+    return lag_value(t, group, "__neg", value, out, b).drop("__neg")
+
+
+def row_index(df: DataFrame, group: str, order: str, out: str,
+              bucket: Column | None = None) -> DataFrame:
+    """0-based position in the group. With a bucket: row_number inside the
+    bucket plus the sizes of the group's earlier buckets (one row per bucket)."""
+    if bucket is None:
+        w = Window.partitionBy(group).orderBy(order)
+        return df.withColumn(out, F.row_number().over(w) - 1)
+    b = "__bucket"
+    t = df.withColumn(b, bucket)
+    local = t.withColumn("__i", F.row_number().over(Window.partitionBy(group, b).orderBy(order)) - 1)
+    sizes = t.groupBy(group, b).agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select(group, b, F.coalesce(F.sum("__n").over(
+        Window.partitionBy(group).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0)).alias("__off"))
+    return (local.join(before, [group, b], "left")
+                 .withColumn(out, F.col("__i") + F.col("__off"))
+                 .drop(b, "__i", "__off"))
+
+
+def pair_turns(msgs: DataFrame, bucket_size: int | None = TURN_BUCKET) -> DataFrame:
     """Each user row with the assistant reply that directly follows it."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    t = (msgs.select("conv_id", "turn", "role", "content",
-                     F.lead("role").over(w).alias("next_role"),
-                     F.lead("turn").over(w).alias("reply_turn"),
-                     F.lead("content").over(w).alias("reply")))
-    return (t.where((F.col("role") == "user") & (F.col("next_role") == "assistant"))
+    t = msgs.select("conv_id", "turn", "role", "content",
+                    F.struct("role", "turn", "content").alias("__row"))
+    t = lead_value(t, "conv_id", "turn", "__row", "__next", bucket_size)
+    return (t.where((F.col("role") == "user") & (F.col("__next.role") == "assistant"))
              .select("conv_id", F.col("turn").alias("prompt_turn"),
-                     F.col("content").alias("prompt"), "reply_turn", "reply"))
+                     F.col("content").alias("prompt"),
+                     F.col("__next.turn").alias("reply_turn"),
+                     F.col("__next.content").alias("reply")))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import epoch_millis_ntz, is_blank, js_trim
+from .asof import row_index, turn_bucket
 
 LEVELS = ("low", "medium", "high")
 DEFAULT_LEVEL = "medium"
@@ -79,11 +80,11 @@ def level_label(level: str = "simplify", role: str = "role") -> Column:
 
 
 def row_key(df: DataFrame, out: str = "row_key") -> DataFrame:
-    """``epochMillis-idx``; idx is the 0-based position in the conversation."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    idx = F.row_number().over(w) - 1
-    return df.withColumn(out, F.concat_ws("-", epoch_millis_ntz("ts").cast("string"),
-                                          idx.cast("string")))
+    """``epochMillis-idx``; idx is the 0-based position in the conversation
+    (two-level count over turn buckets, so no task holds a whole conversation)."""
+    t = row_index(df, "conv_id", "turn", "__idx", turn_bucket("turn"))
+    return t.withColumn(out, F.concat_ws("-", epoch_millis_ntz("ts").cast("string"),
+                                         F.col("__idx").cast("string"))).drop("__idx")
 
 
 def public_view(df: DataFrame, allow: list[str] | tuple[str, ...]) -> DataFrame:

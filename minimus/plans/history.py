@@ -8,9 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import clock, epoch_millis_ntz
 from ..operators.asof import asof_backward
 
-# Conversation turns are dense integers, so ``turn div HOT_BUCKET`` bounds the
-# rows any one window task holds, however long a conversation gets.
-HOT_BUCKET = 4096
+from ..operators.asof import TURN_BUCKET as HOT_BUCKET
 
 
 def simplify_history(msgs: DataFrame, bucket_turns: int | None = HOT_BUCKET) -> DataFrame:

@@ -151,10 +151,13 @@ WHERE event_type = 'purchase'""")
 def q_asof_last_view(spark: SparkSession, sf: str) -> DataFrame:
     """O18 on real timestamps: the last ``view`` before each ``purchase`` of a user."""
     ev = read_table(spark, sf, "events", ["event_id", "ts", "user_id", "event_type"])
+    # two-level scan over minute buckets: a very active user is split by time
+    minute = F.timestamp_diff("MINUTE", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
+                              F.col("ts"))
     t = asof_backward(ev, group="user_id", order=["ts", "event_id"],
                       target=F.col("event_type") == "purchase",
                       anchor=F.col("event_type") == "view",
-                      value="ts", out="prev_view")
+                      value="ts", out="prev_view", bucket=minute)
     return t.select("event_id", "user_id", epoch_millis_ntz("ts").alias("ts_ms"),
                     epoch_millis_ntz("prev_view").alias("last_view_ts_ms"))
 

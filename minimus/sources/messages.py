@@ -8,10 +8,11 @@ prompt that the reply was produced from.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text
+from ..operators.asof import lag_value, turn_bucket
 from ..schema import MESSAGE
 from .tables import read_table
 
@@ -45,9 +46,11 @@ def messages_from_conversations(conversations: DataFrame) -> DataFrame:
     """
     msgs = conversations.select("conv_id", "turn", "role", "text").where(
         F.col("role").isin("user", "assistant"))
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    prev_role = F.lag("role").over(w)
-    prev_text = F.lag("text").over(w)
+    # previous row of the conversation, by a two-level (bucketed) scan
+    msgs = lag_value(msgs.withColumn("__rt", F.struct("role", "text")),
+                     "conv_id", "turn", "__rt", "__prev", turn_bucket("turn"))
+    prev_role = F.col("__prev.role")
+    prev_text = F.col("__prev.text")
     level = F.element_at(F.array(*[F.lit(x) for x in LEVELS]),
                          (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(3)) + 1).cast("int"))
     is_user = F.col("role") == "user"
