@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pii import mask_pii
-from ..functions.text import col_of, distinct_tokens, js_trim, segment_array
+from ..functions.text import col_of, js_trim, segment_array, tokens
 from .policy import filler_map
 
 # Fixed value: what a segment is compared by when dropping repeats -- lower
@@ -48,7 +48,9 @@ def content_tokens(seg, lang) -> Column:
     """Distinct tokens of a segment without the language's filler words."""
     fill = F.coalesce(F.try_element_at(filler_map(), col_of(lang)),
                       F.array().cast("array<string>"))
-    return F.filter(distinct_tokens(seg), lambda t: ~F.array_contains(fill, t))
+    # array_except keeps first occurrences in order and drops duplicates, i.e.
+    # distinct tokens minus fillers -- without a per-token lambda
+    return F.array_except(tokens(seg), fill)
 
 
 def drop_filler(df: DataFrame, text: str = "text", lang: str = "lang",

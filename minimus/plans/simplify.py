@@ -70,9 +70,9 @@ class Chain:
     def _cut(self, df: DataFrame) -> DataFrame:
         return cut_lineage(df) if self._ckpt else df
 
-    def _stage(self, df: DataFrame, name: str) -> DataFrame:
+    def _stage(self, df: DataFrame, name: str, partitioned: bool = False) -> DataFrame:
         """Per-prompt stage: bucketed by pid (keeps the partitioning)."""
-        return bucketed_stage(df, "pid", name) if self._ckpt else df
+        return bucketed_stage(df, "pid", name, partitioned=partitioned) if self._ckpt else df
 
     # -- O23 / O25 -------------------------------------------------------------
     @cached_property
@@ -116,7 +116,8 @@ class Chain:
     def scored(self) -> DataFrame:
         s = score_segments(self.uniq, self.idf_side(["lang", "token", "nidf_q"]), KEYS,
                            back_to="pid" if not self.idf_broadcast else None)
-        return self._stage(s, "scored")
+        # with a broadcast lookup the rows never left the masked stage's buckets
+        return self._stage(s, "scored", partitioned=self.idf_broadcast and self._ckpt)
 
     @cached_property
     def plan(self) -> DataFrame:

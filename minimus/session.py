@@ -63,20 +63,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def bucketed_stage(df: DataFrame, key: str, name: str, buckets: int | None = None) -> DataFrame:
+def bucketed_stage(df: DataFrame, key: str, name: str, buckets: int | None = None,
+                   partitioned: bool = False) -> DataFrame:
     """Write ``df`` as a table bucketed by ``key`` under the shared checkpoint
     folder and read it back. Like a checkpoint this cuts the lineage (a lost
     executor re-reads files instead of recomputing the chain); unlike one, the
     read keeps the hash partitioning on ``key``, so later windows, aggregates and
     joins keyed by ``key`` (plus other columns) need no new shuffle.
-    Rows are hash-partitioned into ``buckets`` first, so each task writes one file.
+    Rows are hash-partitioned into ``buckets`` first, so each task writes one
+    file; ``partitioned=True`` skips that when ``df`` already comes from a
+    stage bucketed the same way (same key, same count).
     """
     spark = df.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = scratch_path(spark, name)
     table = f"minimus_stage_{name}_{uuid.uuid4().hex[:10]}"
-    (df.repartition(n, key).write.bucketBy(n, key).format("parquet")
-       .option("path", path).saveAsTable(table))
+    src = df if partitioned else df.repartition(n, key)
+    (src.write.bucketBy(n, key).format("parquet")
+        .option("path", path).saveAsTable(table))
     return spark.table(table)
 
 
