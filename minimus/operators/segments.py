@@ -26,7 +26,8 @@ def masked_segments(prompts: DataFrame, keys=("pid", "lang", "level")) -> DataFr
     (no dots) from being split and keeps raw PII out of every later stage."""
     masked = prompts.select(*keys, mask_pii("text", "level").alias("masked"))
     return (masked.select(*keys, F.posexplode(segment_array("masked")).alias("pos", "raw"))
-                  .select(*keys, "pos", js_trim("raw").alias("seg"))
+                  .select(*keys, F.col("pos").cast("bigint").alias("pos"),
+                          js_trim("raw").alias("seg"))
                   .where(F.col("seg") != ""))
 
 

@@ -234,7 +234,8 @@ def knn_job(spark: SparkSession, sf: str, noise_on: str) -> DataFrame:
     emb = read_table(spark, sf, "embeddings", ["vec_id", "embedding", "label"])
     qs = centroids(emb).select(F.col("label").alias("qid"), F.col("centroid").alias("qvec"))
     out = noisy_knn(qs, emb, KNN_K, KNN_SCALE, DEFAULT_SEED, noise_on=noise_on)
-    return out.select("qid", "rank", "vec_id", F.round("distance", 6).alias("distance"))
+    return out.select("qid", F.col("rank").cast("bigint").alias("rank"), "vec_id",
+                      F.round("distance", 6).alias("distance"))
 
 
 def _sql_knn(noise_on: str) -> str:

@@ -129,7 +129,7 @@ SELECT conv_id, turn, {sql_word_count('content')} AS n_words FROM log""")
 def q_word_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Words as the client splits them (one space)."""
     log = chat_log(spark, sf)
-    return log.select("conv_id", "turn", word_count("content").alias("n_words"))
+    return log.select("conv_id", "turn", word_count("content").cast("bigint").alias("n_words"))
 
 
 @register("clock_text", WITH_LOG + f"""

@@ -104,7 +104,8 @@ class Chain:
     def segments(self) -> DataFrame:
         return (self.masked.select(*KEYS, F.posexplode(segment_array("masked"))
                                    .alias("pos", "raw"))
-                           .select(*KEYS, "pos", js_trim("raw").alias("seg"))
+                           .select(*KEYS, F.col("pos").cast("bigint").alias("pos"),
+                                   js_trim("raw").alias("seg"))
                            .where(F.col("seg") != ""))
 
     @cached_property
