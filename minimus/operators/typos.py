@@ -74,13 +74,28 @@ def _keep_case(piece: Column, fix: Column) -> Column:
     return F.when(first != F.lower(first), cap).otherwise(fix)
 
 
+# Per-document fix maps with at most this many rows are broadcast to the
+# documents; above it the documents are joined to them with a shuffle.
+FIXES_BROADCAST_MAX_ROWS = 1_000_000
+
+
 def correct_typos(docs: DataFrame, corrections: DataFrame, key: str = "pid",
-                  text: str = "text") -> DataFrame:
+                  text: str = "text", materialize: bool = True,
+                  max_broadcast_rows: int = FIXES_BROADCAST_MAX_ROWS) -> DataFrame:
     """Rewrite ``text`` with each document's corrections (separators kept;
-    a capitalised typo gets a capitalised fix)."""
+    a capitalised typo gets a capitalised fix).
+
+    Only documents holding a typo have a fix map. The maps are checkpointed and
+    counted: when few enough, they are broadcast and the documents (the large
+    side) are never shuffled for this join."""
     fixes = (corrections.groupBy(F.col("doc").alias(key))
                         .agg(F.map_from_entries(F.collect_list(F.struct("token", "fix")))
                              .alias("__fix")))
+    if materialize:
+        from ..session import cut_lineage
+        fixes = cut_lineage(fixes)
+        if fixes.count() <= max_broadcast_rows:
+            fixes = F.broadcast(fixes)
     j = docs.join(fixes, key, "left")
     pieces = F.regexp_extract_all(F.col(text), F.lit(PIECES), 0)
     fixed = F.array_join(F.transform(pieces, lambda p: F.coalesce(
