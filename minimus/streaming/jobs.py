@@ -21,7 +21,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.pii import mask_pii
 from ..functions.text import clean_text, clock, is_blank, js_trim
 from ..schema import MESSAGE
-from ..session import scratch_path
+from ..session import scratch_path, ship_package
 
 STATE_TIMEOUT_MS = 3_600_000   # one hour without activity
 
@@ -70,6 +70,7 @@ def _single_flight(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
 
 def single_flight_stream(sdf: DataFrame) -> DataFrame:
     """Admit a prompt only when its conversation is not waiting for a reply."""
+    ship_package(sdf.sparkSession)
     msgs = sdf.where(F.col("role").isin("user", "assistant")).select(
         "conv_id", "turn", "role", "content")
     return msgs.groupBy("conv_id").applyInPandasWithState(
@@ -101,6 +102,7 @@ def _history(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
 def history_stream(sdf: DataFrame) -> DataFrame:
     """Simplify-history rows with the clock of the preceding user prompt."""
     from ..functions.text import epoch_millis_ntz
+    ship_package(sdf.sparkSession)
     msgs = sdf.where(F.col("role").isin("user", "assistant")).select(
         "conv_id", "turn", "role", epoch_millis_ntz("ts").alias("ts_ms"), "simplified_message")
     out = msgs.groupBy("conv_id").applyInPandasWithState(
