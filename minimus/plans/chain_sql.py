@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..functions.noise import sql_laplace
 from ..functions.pii import sql_mask_pii
 from ..functions.text import (sql_clean_text, sql_distinct_tokens, sql_js_trim, sql_lit,
-                              sql_segment_array, sql_tokens)
+                              sql_segment_array)
 from ..operators.policy import (DEFAULT_SEED, MAX_ATTEMPTS, sql_attempt_params,
                                 sql_fillers_of, sql_policy_values)
 from ..operators.segments import NORM_DROP
@@ -140,5 +140,3 @@ chosen AS (SELECT * EXCLUDE (rn), CASE WHEN passed THEN 'approved' ELSE 'rejecte
 def with_chain(select_sql: str, base_sql: str = DOC_BASE, sweep: bool = False) -> str:
     return "WITH " + chain_ctes(base_sql, sweep).strip() + "\n" + select_sql
 
-
-__all__ = ["chain_ctes", "with_chain", "DOC_BASE", "sql_content_tokens", "sql_tokens"]

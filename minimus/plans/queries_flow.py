@@ -131,8 +131,7 @@ SELECT CAST(split_part(c.pid, ':', 1) AS BIGINT) AS conv_id,
 FROM chosen c LEFT JOIN pairs p
   ON p.conv_id = CAST(split_part(c.pid, ':', 1) AS BIGINT)
  AND p.turn = CAST(split_part(c.pid, ':', 2) AS BIGINT)
- AND p.role = 'user' AND p.next_role = 'assistant'""".replace("\n, pairs", ", pairs", 1),
-    base_sql=CHAT_BASE))
+ AND p.role = 'user' AND p.next_role = 'assistant'""", base_sql=CHAT_BASE))
 def q_minimize_prompts(spark: SparkSession, sf: str) -> DataFrame:
     """O49 over the chat log's user prompts."""
     res, _ = minimize(spark, sf)
@@ -221,7 +220,7 @@ SELECT level, lang, CAST(GROUPING(level, lang) AS BIGINT) AS gid, count(*) AS n_
        CAST(sum(wb) AS BIGINT) AS words_before, CAST(sum(wa) AS BIGINT) AS words_after,
        CAST(sum(pb) AS BIGINT) AS pii_before, CAST(sum(pa) AS BIGINT) AS pii_after,
        round(avg(ok), 6) AS approval_rate
-FROM m GROUP BY ROLLUP (level, lang)""".replace("\n, m AS", ", m AS", 1), sweep=True))
+FROM m GROUP BY ROLLUP (level, lang)""", sweep=True))
 def q_minimization_report(spark: SparkSession, sf: str) -> DataFrame:
     """O28 over the level sweep of ``documents``."""
     ch, base = sweep(spark, sf)
