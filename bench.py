@@ -32,7 +32,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or HEADLINE
-    spark = get_spark(f"local[{cpus}]", app="minimus-bench", shuffle_partitions=int(cpus) * 2)
+    parts = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus))
+    spark = get_spark(f"local[{cpus}]", app="minimus-bench", shuffle_partitions=parts)
     catalog.load_all()
     q = catalog.QUERIES
     q["clean_text"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm-up
