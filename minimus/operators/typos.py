@@ -9,9 +9,11 @@ i = 1..len(w). Two different words are at distance 1 exactly when they share
 So the join condition itself is exact; no distance function or candidate cap.
 
 A candidate token has document frequency 1, so it occurs in one document only;
-the vocabulary keeps that document, and corrections are applied per document
-with a join on the document key and a per-row array transform -- the corpus is
-never exploded into words and regrouped.
+the vocabulary keeps that document (as ``xxhash64`` of its key, so the count
+stays a hash aggregate), and corrections are applied per document with a join
+on that hash and a per-row array transform -- the corpus is never exploded into
+words and regrouped. A hash collision cannot change a result: a fix applies
+only to a document that contains the typo, and only one document does.
 """
 
 from __future__ import annotations
@@ -27,13 +29,18 @@ MIN_TARGET_DF = 10    # a target occurs in at least 10 documents
 PIECES = r"\p{L}+|[^\p{L}]+"   # letter runs and everything between them
 
 
+def doc_hash(key) -> Column:
+    return F.xxhash64(F.col(key) if isinstance(key, str) else key)
+
+
 def typo_vocab(docs: DataFrame, key: str = "pid", text: str = "text",
                lang: str = "lang") -> DataFrame:
-    """(lang, token, df, doc): ``doc`` is the smallest document key holding the
-    token (the only one when df == 1)."""
-    toks = docs.select(lang, key, F.explode(distinct_tokens(text)).alias("token"))
+    """(lang, token, df, doc): ``doc`` is the smallest key hash among the
+    documents holding the token (the document itself when df == 1)."""
+    toks = docs.select(lang, doc_hash(key).alias("__h"),
+                       F.explode(distinct_tokens(text)).alias("token"))
     return toks.groupBy(lang, "token").agg(F.count(F.lit(1)).alias("df"),
-                                           F.min(key).alias("doc"))
+                                           F.min("__h").alias("doc"))
 
 
 def deletion_keys(w: Column) -> Column:
@@ -88,7 +95,7 @@ def correct_typos(docs: DataFrame, corrections: DataFrame, key: str = "pid",
     Only documents holding a typo have a fix map. The maps are checkpointed and
     counted: when few enough, they are broadcast and the documents (the large
     side) are never shuffled for this join."""
-    fixes = (corrections.groupBy(F.col("doc").alias(key))
+    fixes = (corrections.groupBy(F.col("doc").alias("__h"))
                         .agg(F.map_from_entries(F.collect_list(F.struct("token", "fix")))
                              .alias("__fix")))
     if materialize:
@@ -96,7 +103,7 @@ def correct_typos(docs: DataFrame, corrections: DataFrame, key: str = "pid",
         fixes = cut_lineage(fixes)
         if fixes.count() <= max_broadcast_rows:
             fixes = F.broadcast(fixes)
-    j = docs.join(fixes, key, "left")
+    j = (docs.withColumn("__h", doc_hash(key)).join(fixes, "__h", "left").drop("__h"))
     pieces = F.regexp_extract_all(F.col(text), F.lit(PIECES), 0)
     fixed = F.array_join(F.transform(pieces, lambda p: F.coalesce(
         _keep_case(p, F.try_element_at(F.col("__fix"), F.lower(p))), p)), "")

@@ -18,6 +18,7 @@ from ..operators.review import retry_history
 from ..operators.typos import (MIN_TARGET_DF, MIN_TYPO_LEN, PIECES, correct_typos,
                                typo_corrections, typo_vocab)
 from ..sources.messages import chat_log
+from ..session import cut_lineage
 from ..sources.tables import read_table
 from .catalog import register
 from .chain_sql import DOC_BASE, with_chain
@@ -67,11 +68,17 @@ fixed AS (SELECT b.pid, b.lang, b.level, CASE WHEN f.fx IS NULL THEN b.text ELSE
     return text
 
 
+def typo_table(base: DataFrame) -> DataFrame:
+    """O21 corrections over a prompt table; the vocabulary is checkpointed once
+    because both sides of the deletion-key join read it."""
+    return typo_corrections(cut_lineage(typo_vocab(base)))
+
+
 @register("typo_corrections", f"WITH base AS ({DOC_BASE}),\n" + _sql_typo_ctes(upto="corr").strip() + """
-SELECT lang, token, doc, fix, fix_df FROM corr""")
+SELECT lang, token, fix, fix_df FROM corr""")
 def q_typo_corrections(spark: SparkSession, sf: str) -> DataFrame:
     """Rare tokens with their frequent same-language neighbour at distance 1."""
-    return typo_corrections(typo_vocab(document_base(spark, sf)))
+    return typo_table(document_base(spark, sf)).select("lang", "token", "fix", "fix_df")
 
 
 @register("preprocess_text", f"WITH base AS ({DOC_BASE}),\n" + _sql_typo_ctes().strip() + """
@@ -79,7 +86,7 @@ SELECT pid, text FROM fixed""")
 def q_preprocess_text(spark: SparkSession, sf: str) -> DataFrame:
     """O41 + O21: the preprocess stage -- clean-up, then typo fixes."""
     base = document_base(spark, sf)
-    return correct_typos(base, typo_corrections(typo_vocab(base))).select("pid", "text")
+    return correct_typos(base, typo_table(base)).select("pid", "text")
 
 
 # ---- O49 / O05: minimise the prompts of the chat log ---------------------------
@@ -100,7 +107,7 @@ def minimize(spark: SparkSession, sf: str):
     """Preprocess (O41, O21) -> simplify (O46) -> review / retry
     -> result per prompt with the assistant answer from the log (O19)."""
     base, log = chat_prompts(spark, sf)
-    pre = correct_typos(base, typo_corrections(typo_vocab(base)))
+    pre = correct_typos(base, typo_table(base))
     ch = simplify_chain(pre, policy_df(spark), seed=DEFAULT_SEED)
     pairs = pair_turns(log).select("conv_id", F.col("prompt_turn").alias("turn"),
                                    F.col("reply").alias("answer"))

@@ -49,7 +49,8 @@ def test_typo_rewrite_keeps_separators(spark):
     docs = spark.createDataFrame([("d1", "Helo, world!\nhelo"), ("d2", "untouched text")],
                                  "pid string, text string")
     corr = spark.createDataFrame([("en", "helo", "d1", "hello", 12)],
-                                 "lang string, token string, doc string, fix string, fix_df long")
+                                 "lang string, token string, d string, fix string, fix_df long")
+    corr = corr.withColumn("doc", F.xxhash64("d")).drop("d")
     out = {r.pid: r.text for r in correct_typos(docs, corr).collect()}
     assert out == {"d1": "Hello, world!\nhello", "d2": "untouched text"}
 
