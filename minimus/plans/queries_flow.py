@@ -279,3 +279,43 @@ def q_noisy_knn(spark: SparkSession, sf: str) -> DataFrame:
 def q_noisy_knn_vector(spark: SparkSession, sf: str) -> DataFrame:
     """K nearest embeddings to each noisy label centroid (noise per coordinate)."""
     return knn_job(spark, sf, "vector")
+
+
+# ---- O05 flat form: the payload read back, field by field -------------------------
+
+PAYLOAD_SCHEMA = ("status string, simplifiedMessage string, answer string, "
+                  "review struct<similarity: double, missingItems: array<string>, "
+                  "retryHistory: array<struct<attempt: int, similarity: double, "
+                  "missing_items: array<string>, passed: boolean>>>")
+
+
+@register("payload_fields", with_chain(f"""
+, pairs AS (SELECT conv_id, turn, lead(content) OVER w AS answer, role,
+                   lead(role) OVER w AS next_role
+            FROM ({LOG_SQL}) WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+, tries AS (SELECT r.pid, r.level, count(*) AS n_attempts,
+                  string_agg(CAST(r.passed AS VARCHAR), ',' ORDER BY r.attempt) AS passed_seq
+           FROM reviewed r JOIN chosen c ON r.pid = c.pid AND r.level = c.level
+           WHERE r.attempt <= c.attempt GROUP BY r.pid, r.level)
+SELECT CAST(split_part(c.pid, ':', 1) AS BIGINT) AS conv_id,
+       CAST(split_part(c.pid, ':', 2) AS BIGINT) AS turn,
+       c.status, c.simplified, p.answer, round(c.similarity, 6) AS similarity,
+       array_to_string(c.missing, ',') AS missing, h.n_attempts, h.passed_seq
+FROM chosen c JOIN tries h ON h.pid = c.pid AND h.level = c.level
+LEFT JOIN pairs p
+  ON p.conv_id = CAST(split_part(c.pid, ':', 1) AS BIGINT)
+ AND p.turn = CAST(split_part(c.pid, ':', 2) AS BIGINT)
+ AND p.role = 'user' AND p.next_role = 'assistant'""", base_sql=CHAT_BASE))
+def q_payload_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """O05, flat form: each JSON payload parsed back with an explicit schema."""
+    pay = q_finalize_payload(spark, sf)
+    p = F.from_json("payload", PAYLOAD_SCHEMA)
+    hist = p["review"]["retryHistory"]
+    return pay.select(
+        "conv_id", "turn", p["status"].alias("status"),
+        p["simplifiedMessage"].alias("simplified"), p["answer"].alias("answer"),
+        p["review"]["similarity"].alias("similarity"),
+        F.array_join(p["review"]["missingItems"], ",").alias("missing"),
+        F.size(hist).cast("bigint").alias("n_attempts"),
+        F.array_join(F.transform(hist, lambda h: h["passed"].cast("string")), ",")
+        .alias("passed_seq"))
