@@ -5,17 +5,19 @@ mask (O42) -> segments (O43) -> drop repeats (O32) -> score (O34, IDF O23/O25)
 -> review (O37, O38, O47) for attempts 1..3 (O48) -> first passing attempt (O31).
 
 Partitioning: the masked prompts are hash-partitioned by ``pid`` once and
-written as a checkpoint (the privacy boundary: no raw text past it). Every
-later step is keyed by ``pid`` plus more columns, so windows, aggregates and
-the per-prompt joins all reuse that partitioning. The only other exchange is
-the IDF lookup of the token rows, and only when the IDF table is too large to
-broadcast (checked by row count); then the rows go back to ``pid`` partitions
-right after the lookup.
-
-Stage boundaries that later steps read more than once (masked prompts, IDF,
-scored segments) are reliable checkpoints in the shared checkpoint folder:
-they cut the lineage, so a lost executor costs one stage, not the chain. They
-are taken lazily, the first time a stage is asked for.
+written as a table bucketed by ``pid`` (the privacy boundary: no raw text past
+it). Every later step is keyed by ``pid`` plus more columns, so windows,
+aggregates and the per-prompt joins all reuse that partitioning. The only other
+exchange is the IDF lookup of the token rows, and only when the IDF table is
+too large to broadcast (checked by row count); then the rows go back to ``pid``
+partitions right after the lookup.
+
+Stage boundaries that later steps read more than once are written to the
+shared checkpoint folder: the masked prompts and scored segments as
+pid-bucketed tables (``session.bucketed_stage``, which keeps the partitioning),
+the IDF table as a reliable checkpoint. Either way the lineage is cut, so a
+lost executor costs one stage, not the chain. Stages are materialised lazily,
+the first time they are asked for.
 
 All three attempts are planned at once (``explode(sequence(1, 3))``): one job,
 no driver loop.
