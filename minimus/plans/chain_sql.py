@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.noise import sql_laplace
+from ..functions.noise import sql_gumbel, sql_laplace
 from ..functions.pii import sql_mask_pii
 from ..functions.text import (sql_clean_text, sql_distinct_tokens, sql_js_trim, sql_lit,
                               sql_segment_array)
@@ -24,9 +24,13 @@ def sql_content_tokens(e: str, lang: str) -> str:
             f"lambda t: NOT list_contains({sql_fillers_of(lang)}, t))")
 
 
-def chain_ctes(base_sql: str = DOC_BASE, sweep: bool = False, seed: int = DEFAULT_SEED) -> str:
+def chain_ctes(base_sql: str = DOC_BASE, sweep: bool = False, seed: int = DEFAULT_SEED,
+               topk_noise: str | None = None) -> str:
     """CTE list (without the leading WITH) ending in ``chosen``."""
     s = seed
+    rank_by = "score"
+    if topk_noise == "gumbel":
+        rank_by = f"(score + {sql_gumbel('b', s, chr(39) + 'topk' + chr(39), 'pid', 'level', 'attempt', 'pos')})"
     prompts = ("SELECT pid, lang, text, unnest(" + LEVELS_SQL + ") AS level FROM base"
                if sweep else "SELECT pid, lang, text, level FROM base")
     nidf = "ln((n_docs + 1) / (df + 1)) / ln(n_docs + 1)"
@@ -96,7 +100,7 @@ svt AS (SELECT * EXCLUDE (above, hits_before) FROM (
         WHERE above AND hits_before < greatest(1, CAST(ceil(c_att * n_seg) AS BIGINT))),
 topk AS (SELECT * EXCLUDE (rn) FROM (
            SELECT *, row_number() OVER (PARTITION BY pid, level, attempt
-                                        ORDER BY score DESC, pos) AS rn FROM svt)
+                                        ORDER BY {rank_by} DESC, pos) AS rn FROM svt)
          WHERE rn <= greatest(1, CAST(ceil(k_att * n_seg) AS BIGINT))),
 knn AS (SELECT * EXCLUDE (rn, d) FROM (
           SELECT *, row_number() OVER (PARTITION BY pid, level, attempt ORDER BY d, pos) AS rn
@@ -137,6 +141,8 @@ chosen AS (SELECT * EXCLUDE (rn), CASE WHEN passed THEN 'approved' ELSE 'rejecte
 """
 
 
-def with_chain(select_sql: str, base_sql: str = DOC_BASE, sweep: bool = False) -> str:
-    return "WITH " + chain_ctes(base_sql, sweep).strip() + "\n" + select_sql
+def with_chain(select_sql: str, base_sql: str = DOC_BASE, sweep: bool = False,
+               topk_noise: str | None = None) -> str:
+    return ("WITH " + chain_ctes(base_sql, sweep, topk_noise=topk_noise).strip() + "\n"
+            + select_sql)
 

@@ -39,6 +39,18 @@ def q_top_k_segments(spark: SparkSession, sf: str) -> DataFrame:
     return document_chain(spark, sf).topk.select("pid", "level", "attempt", "pos")
 
 
+@register("top_k_gumbel", with_chain("SELECT pid, level, attempt, pos FROM topk",
+                                     topk_noise="gumbel"))
+def q_top_k_gumbel(spark: SparkSession, sf: str) -> DataFrame:
+    """O33, noisy variant: one-shot top-k by score + Gumbel(b) noise."""
+    from ..operators.policy import DEFAULT_SEED, policy_df
+    from .queries_text import document_base
+    from .simplify import simplify_chain
+    ch = simplify_chain(document_base(spark, sf), policy_df(spark), seed=DEFAULT_SEED,
+                        topk_noise="gumbel")
+    return ch.topk.select("pid", "level", "attempt", "pos")
+
+
 @register("knn_segments", with_chain("SELECT pid, level, attempt, pos FROM knn"))
 def q_knn_segments(spark: SparkSession, sf: str) -> DataFrame:
     """O22 (chain form): segments nearest the whole prompt under noisy cosine distance."""
