@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mix
+from . import mix, token_files
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,3 +25,13 @@ def query(name: str, sql: str | None = None):
 @query("op2_mix_sources", mix.REPORT_SQL)
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix_report(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op4_token_output")
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_output(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path())
