@@ -75,7 +75,16 @@ def ints(col: pa.Array) -> np.ndarray:
     return col.cast(pa.int64()).to_numpy(zero_copy_only=False)
 
 
+#: Bytes of one Arrow batch on its way to a Python worker.
+BATCH_BYTES = 16 << 20
+
+
 def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``mapInArrow`` with the package shipped to the Python workers."""
-    ship_package(df.sparkSession)
+    """``mapInArrow`` with the package shipped to the Python workers and batches bounded
+    in bytes (by default only their rows are bounded, and a row may hold a long text)."""
+    spark = df.sparkSession
+    ship_package(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(key).rstrip("bB")) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)
