@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mix, quality, token_files, topk
+from . import chat, decontaminate, mix, quality, token_files, topk
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,9 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents", "doc_id", "text"),
                                   table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
+@query("op5_decontaminate", decontaminate.FIND_SQL)
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contamination(table(spark, sf_dir, "documents", "doc_id", "text"),
+                                            table(spark, sf_dir, "benchmark", "item_id", "text"))
