@@ -61,22 +61,19 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(np.add.reduceat(value, total - size))
 
 
-def sequence_hashes(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
-    """Hash of every run of ``k`` consecutive elements of ``h`` (also across texts: the
-    caller leaves those out)."""
-    if len(h) < k:
-        return np.zeros(0, np.uint64)
-    if k <= 8:
-        out = mix(h[:len(h) - k + 1], seed)
-        for j in range(1, k):
-            out = mix(out * np.uint64(BASE) + h[j:len(h) - k + 1 + j], seed + j)
-        return out
-    up = np.full(len(h), BASE, np.uint64)
-    up[0] = 1
-    up = np.multiply.accumulate(up)  # BASE ** i
-    down = np.full(len(h), BASE_INV, np.uint64)
-    down[0] = 1
-    down = np.multiply.accumulate(down)
-    total = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum((mix(h, seed) if seed else h) * up, out=total[1:])
-    return mix((total[k:] - total[:-k]) * down[:len(h) - k + 1], seed)
+class RangeHash:
+    """64-bit hashes of any ranges of a sequence of hashes, each in constant time (a
+    polynomial with an odd base modulo 2**64, over elements mixed by ``seed``)."""
+
+    def __init__(self, h: np.ndarray, seed: int):
+        self.seed = seed
+        up = np.full(len(h), BASE, np.uint64)
+        self.down = np.full(len(h) + 1, BASE_INV, np.uint64)
+        up[:1] = self.down[0] = 1
+        np.multiply.accumulate(up, out=up)  # BASE ** i
+        np.multiply.accumulate(self.down, out=self.down)
+        self.total = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum((mix(h, seed) if seed else h) * up, out=self.total[1:])
+
+    def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        return mix((self.total[hi] - self.total[lo]) * self.down[lo], self.seed)
