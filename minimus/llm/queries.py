@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, line_dedup, mix, passages, quality, token_files, topk
+from . import byte_dedup, chat, decontaminate, line_dedup, mix, passages, quality, token_files, topk
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,8 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_passage_dedup")
 def op9_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.passage_report(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op1_byte_dedup")
+def op1_byte_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_dedup.byte_report(table(spark, sf_dir, "documents", "doc_id", "text"))
