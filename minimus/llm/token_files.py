@@ -47,7 +47,7 @@ DICT_BYTES = 64 << 10
 BLOCK_BYTES = 1 << 20
 BLOCK_DOCS = 4096
 #: Distinct words whose ids a worker keeps.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
 LEVEL = 3
 
 BLOCKS = ("shard int, block int, first_id long, last_id long, n_ids long, dict_hash string, width int, "
@@ -58,31 +58,89 @@ BLOCK_ARROW = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first_i
                          ("width", pa.int32()), ("payload", pa.binary()), ("docs", INDEX)])
 
 
+def _byte_characters() -> dict[int, int]:
+    """The character that byte-level BPE writes for each byte: printable Latin-1 bytes
+    stand for themselves, the others follow from 256 on, in order (fixed by the format)."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [x for x in range(256) if x not in own]
+    return {x: x for x in own} | {x: 256 + i for i, x in enumerate(rest)}
+
+
 class Encoder:
-    """Serialized ids of texts. The tokenizer turns white space into single spaces and
-    never joins characters across one, so a text's ids are those of its pieces between
-    spaces and line ends; the library encodes each distinct piece once."""
+    """Serialized ids of texts.
+
+    The tokenizer turns white space into single spaces and joins nothing across one, so a
+    text's ids are those of its pieces between spaces and line ends. A piece is encoded
+    once and kept, up to ``CACHE_WORDS`` pieces. Pieces that are Latin-1 letters, perhaps
+    with final punctuation, are a run of letters and a run of punctuation for the
+    tokenizer, so their lower-case letters go to its BPE model directly; all others go
+    through the whole pipeline."""
 
     def __init__(self, path: str, end_id: int = END_ID):
+        import json
+
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
         self.end = end_id.to_bytes(self.width, "little")
         self.cache: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        cuts = [x.get("type") for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        if steps != ["NFC", "Replace", "Lowercase"] or cuts != ["Split", "ByteLevel"]:
+            raise ValueError(f"{path}: not a tokenizer with word ends, lower case and dropped white space")
+        self.table = _byte_characters()
+
+    def _word(self, stem: str) -> bytes:
+        text = stem.lower().encode().decode("latin-1").translate(self.table)
+        return b"".join([t.id.to_bytes(self.width, "little") for t in self.model.tokenize(text)])
+
+    def _learn(self, pieces: list[str], known: dict[str, bytes]) -> None:
+        tails = {"": b""}
+        rest = []
+        for w in pieces:
+            stem = w.rstrip(".,!?")
+            if stem.isalpha() and max(stem) < "\u0100":
+                tail = w[len(stem):]
+                if tail not in tails:
+                    tails[tail] = self._full([tail])[0]
+                known[w] = self._word(stem) + tails[tail]
+            else:
+                rest.append(w)
+        for w, ids in zip(rest, self._full(rest), strict=True):
+            known[w] = ids
+
+    def _full(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(e.ids, f"<u{self.width}").tobytes()
+                for i in range(0, len(pieces), 20_000)
+                for e in self.tokenizer.encode_batch_fast(pieces[i:i + 20_000], add_special_tokens=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         pieces = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache = {}
         new = list(set(chain.from_iterable(pieces)) - self.cache.keys())
-        for i in range(0, len(new), 20_000):
-            some = new[i:i + 20_000]
-            for word, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                self.cache[word] = np.array(e.ids, f"<u{self.width}").tobytes()
-        return [b"".join(map(self.cache.__getitem__, p)) + self.end for p in pieces]
+        known = self.cache
+        if len(known) + len(new) > CACHE_WORDS:  # full: what is new is known for these texts only
+            known = {}
+        self._learn(new, known)
+        if known is not self.cache:
+            cache = self.cache
+            return [b"".join([known[w] if w in known else cache[w] for w in p]) + self.end for p in pieces]
+        return [b"".join(map(known.__getitem__, p)) + self.end for p in pieces]
+
+
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder(path: str, end_id: int = END_ID) -> Encoder:
+    """The worker's encoder: tasks that follow one another share its pieces."""
+    if (path, end_id) not in _ENCODERS:
+        _ENCODERS[path, end_id] = Encoder(path, end_id)
+    return _ENCODERS[path, end_id]
 
 
-def _batches(col: pa.Array, step: int = 8 << 20):
+def _batches(col: pa.Array, step: int = 2 << 20):
     """Consecutive slices of about ``step`` text bytes."""
     size = np.cumsum(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False))
     i = 0
@@ -96,7 +154,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> b
     """Dictionary over 4 KB pieces of the whole id arrays of a bounded sample: the
     ``SAMPLE_DOCS`` documents whose hashed id is smallest. Empty if there is too little."""
     def pieces(batches):
-        enc = Encoder(tokenizer, end_id)
+        enc = encoder(tokenizer, end_id)
         for b in batches:
             for i, j in _batches(b.column(0)):
                 out = [x[k:k + PIECE_BYTES] for x in enc.encode(b.column(0)[i:j].to_pylist())
@@ -128,7 +186,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     shared = spark.sparkContext.broadcast(dictionary)  # at most DICT_BYTES
 
     def blocks(batches):
-        enc = Encoder(tokenizer, end_id)
+        enc = encoder(tokenizer, end_id)
         zip_ = zstandard.ZstdCompressor(level=LEVEL, **_dict(shared.value))
         shard, block, start = TaskContext.get().partitionId(), 0, 0
         index, frames, size = [], [], 0
