@@ -273,9 +273,10 @@ def open_pairs(lists: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, n, component_id) for every row of ``docs`` that has a doc_id."""
+    """(doc_id, row, h, n, comp, component_id) for every row of ``docs`` that has a doc_id: h
+    is a hash of the text, comp a number of the component (null for an empty set)."""
     rows = with_rows(docs)
-    sets = stage(fingerprints(rows), "set-prints")
+    sets = stage(fingerprints(rows.withColumn("h", F.xxhash64("text"))), "set-prints")
     nodes = stage(sets.where("n > 0").groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "row")).alias("first"))
                   .select("f1", "f2", "n", "first.*", F.monotonically_increasing_id().alias("nid")), "set-nodes")
     texts = rows.join(small_side(nodes.select("doc_id", "row", "nid")), ["doc_id", "row"]).select("nid", "text")
@@ -312,10 +313,23 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     joined = (sets.join(nodes.select("f1", "f2", "n", "nid"), ["f1", "f2", "n"], "left")
               .join(roots.withColumnRenamed("node", "nid"), "nid", "left")
               .withColumn("comp", F.coalesce("root", "nid")))
-    joined = stage(joined.select("doc_id", "row", "n", "comp"), "members")
+    joined = stage(joined.select("doc_id", "row", "h", "n", "comp"), "members")
     least = joined.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     return (joined.join(least, "comp", "left")
-            .select("doc_id", "row", "n", F.coalesce("component_id", "doc_id").alias("component_id")))
+            .select("doc_id", "row", "h", "n", "comp", F.coalesce("component_id", "doc_id").alias("component_id")))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The input without the documents that are linked to one with a smaller doc_id: of
+    every component the first document stays. Empty sets stay, as do rows without doc_id;
+    equal rows (same doc_id and text) are one document and stay or go together."""
+    found = jaccard_components(docs.select("doc_id", "text"))
+    first = found.where("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    gone = stage(found.join(first, "comp").where(F.struct("doc_id", "row") > F.col("first"))
+                 .select(F.col("doc_id").alias("__gone_id"), F.col("h").alias("__gone_text")).distinct(), "linked")
+    same = (docs["doc_id"] == F.col("__gone_id")) & (
+        F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__gone_text"))
+    return docs.join(small_side(gone), same, "left_anti")
 
 
 def jaccard_report(docs: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, stage
+from .common import WORD, small_side, stage
 
 #: Weights of the sources in code-point order (null last), repeating.
 WEIGHTS = (5, 2, 1)
@@ -104,10 +104,10 @@ def queue_entries(sizes: DataFrame, targets: DataFrame, repeats: int = REPEATS,
             .select("row", "doc_id", "size", "copy", "served", "start", "finish"))
 
 
-def sized(docs: DataFrame) -> DataFrame:
+def sized(docs: DataFrame, *more: Column) -> DataFrame:
     """The narrow table that the mix works on, written once: row (a key of the row, as
     doc_id may repeat), doc_id, source and size."""
-    return stage(docs.select("doc_id", "source", words_in(F.col("text")).alias("size"))
+    return stage(docs.select("doc_id", "source", words_in(F.col("text")).alias("size"), *more)
                  .withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
 
 
@@ -118,6 +118,23 @@ def mix_order(entries: DataFrame) -> DataFrame:
     return entries.repartitionByRange(n, *order).sortWithinPartitions(*order)
 
 
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The documents of the mix, whole: a document stands there as often as the mix
+    serves at least half of it. The input's columns; the order is that of the input.
+    Equal rows (same doc_id and text) share their turns evenly."""
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    sizes = sized(docs, text.alias("__text"))
+    targets = stage(source_targets(sizes), "mix-targets")
+    entries = queue_entries(sizes, targets).where(F.col("served") * 2 >= F.col("size"))
+    turns = (sizes.join(entries.groupBy("row").agg(F.count(F.lit(1)).alias("n")), "row", "left")
+             .groupBy("doc_id", "__text").agg(F.round(F.avg(F.coalesce("n", F.lit(0)))).cast("int").alias("__turns"))
+             .where("__turns > 0").select(F.col("doc_id").alias("__id"), F.col("__text"), "__turns"))
+    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (
+        F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__text"))
+    out = docs.join(small_side(stage(turns, "mix-turns")), same)
+    return out.withColumn("__turn", F.explode(F.sequence(F.lit(1), "__turns"))).select(*[docs[c] for c in docs.columns])
+
+
 def mix_report(docs: DataFrame) -> DataFrame:
     """Per document: size, source_size, target of its source, and the words taken."""
     sizes = sized(docs)
