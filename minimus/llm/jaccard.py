@@ -104,7 +104,7 @@ def shingle_counts(rows: DataFrame) -> np.ndarray:
                 piece = total[c * CHUNK:(c + 1) * CHUNK]
                 yield _sketch_row([c], [part], [_packed(piece)])
 
-    def add(key, t: pa.Table) -> pa.Table:
+    def add(key, t):
         total = sum(_unpacked(x.as_py()).astype(np.int64) for x in t.column("counts"))
         total = np.minimum(total, (1 << 32) - 1).astype(np.uint32)
         return pa.Table.from_batches([_sketch_row([key[0].as_py()], [key[1].as_py()], [_packed(total)])])

@@ -79,13 +79,14 @@ def _live(keys: DataFrame) -> DataFrame:
             .where("a <> z").select("h1", "h2"))
 
 
-POS = F.struct("doc_id", "row", "line_no")
+def _pos() -> Column:
+    return F.struct("doc_id", "row", "line_no")
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, row, line_no) of the lines to remove."""
     lines = lines_of(docs)
-    texts = lines.select(*hashes(F.col("line")), POS.alias("pos"))
+    texts = lines.select(*hashes(F.col("line")), _pos().alias("pos"))
     first = stage(texts.groupBy("h1", "h2").agg(F.min("pos").alias("first")), "line-first")
     repeats = (texts.join(first, ["h1", "h2"]).where("pos <> first").select("pos.*"))
 
@@ -123,14 +124,14 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     n = F.length("line")
     subs = (pieces.where(n == F.col("b"))
             .withColumn("i", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)))
-            .select(POS.alias("pos"), F.lit(0).alias("role"),
+            .select(_pos().alias("pos"), F.lit(0).alias("role"),
                     *hashes(F.lit("s"), F.col("b"), F.col("i"), _left("line", F.col("i")),
                             _right("line", F.col("b") - F.col("i") - 1))))
     selves = (pieces.where(n == F.col("b"))
-              .select(POS.alias("pos"), F.lit(1).alias("role"), *hashes(F.lit("d"), F.col("line"))).distinct())
+              .select(_pos().alias("pos"), F.lit(1).alias("role"), *hashes(F.lit("d"), F.col("line"))).distinct())
     dels = (pieces.where(n == F.col("b") + 1)
             .withColumn("i", F.explode(F.sequence(F.col("lo"), F.col("hi"))))
-            .select(POS.alias("pos"), F.lit(2).alias("role"),
+            .select(_pos().alias("pos"), F.lit(2).alias("role"),
                     *hashes(F.lit("d"), F.concat(_left("line", F.col("i")), _right("line", F.col("b") - F.col("i"))))))
     variants = subs.unionByName(selves).unionByName(dels)
     earliest = variants.groupBy("h1", "h2").agg(
@@ -141,7 +142,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
              .groupBy("pos").agg(F.min("other").alias("other")))
 
     # 4. verification
-    known = held.select(POS.alias("pos"), "line").dropDuplicates(["pos"])
+    known = held.select(_pos().alias("pos"), "line").dropDuplicates(["pos"])
     near = (pairs.join(known, "pos")
             .join(known.select(F.col("pos").alias("other"), F.col("line").alias("line2")), "other")
             .where(F.levenshtein("line", "line2", 1) >= 0).select("pos.*"))
@@ -150,7 +151,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """The input's columns with the lines removed from ``text``, and ``n_lines`` (of the
-    input), ``n_removed``."""
+    input) and ``n_removed``, which replace columns of these names."""
     gone = stage(removed_lines(docs).groupBy("doc_id", "row").agg(F.collect_set("line_no").alias("__gone"))
                  .select(F.coalesce(F.col("doc_id"), F.lit(-1)).alias("__id"), F.col("doc_id").isNull().alias("__null"),
                          F.col("row").alias("__row"), "__gone"), "line-removed")
@@ -162,7 +163,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
                           F.coalesce(F.col("__gone"), F.array().cast("array<int>")))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(
         F.array_join(F.transform(kept, lambda i: F.get("__lines", i)), "\n"))
-    return rows.select(*[c for c in docs.columns if c != "text"], text.alias("text"),
+    return rows.select(*[c for c in docs.columns if c not in ("text", "n_lines", "n_removed")], text.alias("text"),
                        F.size("__lines").cast("long").alias("n_lines"),
                        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))
 
