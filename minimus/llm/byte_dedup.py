@@ -151,7 +151,7 @@ def _sort_shards(batches):
         new = np.ones(len(owner), bool)  # runs of consecutive starts make one span
         new[1:] = (owner[1:] != owner[:-1]) | (offset[1:] != offset[:-1] + 1)
         first = np.flatnonzero(new)
-        end = np.append(first[1:], len(owner)) - 1
+        end = np.append(first[1:], len(owner))[:len(first)] - 1
         return pa.RecordBatch.from_arrays(
             [pa.array(np.array(doc_ids, np.int64)[owner[first]], pa.int64()),
              pa.array(np.array(starts, np.int64)[owner[first]] + offset[first], pa.int64()),
