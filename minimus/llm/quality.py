@@ -138,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     rows = map_batches(chosen.select("doc_id", "kind", "text"), measure,
                        "doc_id long, kind int, x array<double>").orderBy("kind", "doc_id", "x").toArrow()
     kind = rows.column("kind").to_numpy()
-    x = np.array(rows.column("x").to_pylist(), float).reshape(len(kind), -1)
+    x = np.array(rows.column("x").to_pylist(), float).reshape(len(kind), N_FEATURES)
     if not len(kind) or kind.min() == kind.max():
         return (np.zeros(N_FEATURES), float(np.log(prior / (1 - prior))), np.zeros(N_FEATURES), np.ones(N_FEATURES)), prior
     return non_negative_pu(x[kind == 1], x[kind == 0], prior), prior

@@ -226,7 +226,7 @@ def test_top_k_matches_brute_force(spark, monkeypatch, block):
     rows = [(int(i), [float(x) for x in np.float32(rng.normal(0, 0.3, 6 if i % 9 else 4))]) for i in rng.permutation(400)]
     rows += [(1000 + i, rows[0][1]) for i in range(30)]  # ties
     fine = [r for r in rows]
-    rows += [(2000, None), (2001, [1.0, None, 0.0, 0, 0, 0]), (2002, [float("nan")] * 6), (2050, [float("inf")] * 6),
+    rows += [(2000, None), (2001, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (2002, [float("nan")] * 6), (2050, [float("inf")] * 6),
              (None, [0.5] * 6)]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, dim int")
     got = topk.top_k(df.where("vec_id % 50 = 0"), df, 5)
