@@ -15,10 +15,14 @@ from .text import col_of
 # in application order, with their placeholders.
 SECRET = r'token = "[0-9a-f]{16,}"'
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}"
-CARD = r"[0-9]{13,16}"
+CARD = r"[0-9]{13,}"
 PHONE = r"[+]1 [(][0-9]{3}[)] [0-9]{3}-[0-9]{4}"
 IPV4 = r"(?:[0-9]{1,3}[.]){3}[0-9]{1,3}"
 NUMBER = r"[0-9]{4,}"
+# Digit runs long enough for a card, shorter ones, and what stands between them;
+# a card is decided on a whole run and put back in its place.
+RUNS = r"[0-9]{13,}|[0-9]{1,12}|[^0-9]+"
+MIN_CARD, MAX_CARD = 13, 19
 
 PLACEHOLDER = {
     "secret": "<SECRET>",
@@ -28,6 +32,10 @@ PLACEHOLDER = {
     "ip": "<IP>",
     "number": "<NUM>",
 }
+# What masking leaves in a text; never a word of a vocabulary or of a typo fix.
+PLACEHOLDER_RE = "<(?:" + "|".join(p.strip("<>") for p in PLACEHOLDER.values()) + ")>"
+
+
 # A cheap test that must hold for a class pattern to match at all. Regexes
 # only run on texts that pass it (most texts hold no PII at all). It is applied
 # to the *original* text: masking never adds an '@', a digit or these literals,
@@ -53,8 +61,8 @@ PATTERN = {
 }
 CLASS_ORDER = ("secret", "email", "card", "phone", "ip", "number")
 
-# Classes masked per level. low masks only Luhn-valid cards;
-# medium every 13-16 digit run plus IPv4; high also every run of 4+ digits.
+# Classes masked per level. low masks only Luhn-valid cards (13 to 19
+# digits); medium every run of 13+ digits plus IPv4; high also every run of 4+ digits.
 LEVELS = ("low", "medium", "high")
 LEVEL_CLASSES = {
     "low": ("secret", "email", "card_luhn", "phone"),
@@ -64,13 +72,17 @@ LEVEL_CLASSES = {
 
 
 def luhn_ok(x: Column) -> Column:
-    return F.call_function("luhn_check", x)
+    """A whole digit run that can be a card number."""
+    return F.when(F.length(x).between(MIN_CARD, MAX_CARD),
+                  F.call_function("luhn_check", x)).otherwise(F.lit(False))
 
 
 def _mask_luhn_cards(t: Column, orig: Column) -> Column:
-    valid = F.filter(F.regexp_extract_all(t, F.lit(CARD), 0), luhn_ok)
-    return F.when(_may_match(orig, "card"), F.aggregate(
-        valid, t, lambda acc, x: F.replace(acc, x, F.lit(PLACEHOLDER["card"])))).otherwise(t)
+    pieces = F.transform(
+        F.regexp_extract_all(t, F.lit(RUNS), 0),
+        lambda x: F.when(F.regexp_like(x, F.lit(r"\A[0-9]{13,}\z")) & luhn_ok(x),
+                         F.lit(PLACEHOLDER["card"])).otherwise(x))
+    return F.when(_may_match(orig, "card"), F.array_join(pieces, "")).otherwise(t)
 
 
 def _sub(t: Column, cls: str, orig: Column | None = None) -> Column:
@@ -81,7 +93,7 @@ def _sub(t: Column, cls: str, orig: Column | None = None) -> Column:
 def mask_pii(c, level) -> Column:
     """Mask ``c`` at ``level``: one of 'low' / 'medium' / 'high' (a literal;
     Catalyst then folds the CASE branches away), or a column name / Column
-    holding the level per row.
+    holding the level per row. A missing or unknown level masks like 'high'.
     """
     lv = F.lit(level) if level in LEVELS else col_of(level)
     o = col_of(c)
@@ -89,7 +101,13 @@ def mask_pii(c, level) -> Column:
     t = F.when(lv == "low", _mask_luhn_cards(t, o)).otherwise(_sub(t, "card", o))
     t = _sub(t, "phone", o)
     t = F.when(lv == "low", t).otherwise(_sub(t, "ip", o))
-    return F.when(lv == "high", _sub(t, "number", o)).otherwise(t)
+    return F.when(lv.isin("low", "medium"), t).otherwise(_sub(t, "number", o))
+
+
+def vocabulary_text(c) -> Column:
+    """What vocabularies are built from: the text masked at 'high', placeholders left
+    out, so that no part of a secret becomes a token."""
+    return F.regexp_replace(mask_pii(c, "high"), PLACEHOLDER_RE, " ")
 
 
 def class_counts(c) -> list[tuple[str, Column]]:
@@ -122,7 +140,7 @@ def sql_luhn_ok(x: str) -> str:
     d = f"CAST(substr({x}, i + 1, 1) AS INTEGER)"
     term = (f"CASE WHEN (length({x}) - 1 - i) % 2 = 1 "
             f"THEN (CASE WHEN 2 * {d} > 9 THEN 2 * {d} - 9 ELSE 2 * {d} END) ELSE {d} END")
-    return (f"(length({x}) > 0 AND "
+    return (f"(length({x}) BETWEEN {MIN_CARD} AND {MAX_CARD} AND "
             f"list_sum(list_transform(range(length({x})), lambda i: {term})) % 10 = 0)")
 
 
@@ -133,13 +151,17 @@ def _sql_sub(t: str, cls: str) -> str:
 def sql_mask_pii(e: str, level: str) -> str:
     """``level`` is a SQL expression (a column or a quoted literal)."""
     t = _sql_sub(_sql_sub(e, "secret"), "email")
-    valid = (f"list_filter(regexp_extract_all({t}, {_sql_lit(CARD)}), "
-             f"lambda x: {sql_luhn_ok('x')})")
-    luhn = f"list_reduce(list_prepend({t}, {valid}), lambda acc, x: replace(acc, x, '<CARD>'))"
+    runs = f"regexp_extract_all({t}, {_sql_lit(RUNS)})"
+    luhn = (f"array_to_string(list_transform({runs}, lambda x: CASE WHEN regexp_full_match(x, '[0-9]{{13,}}') "
+            f"THEN (CASE WHEN {sql_luhn_ok('x')} THEN '<CARD>' ELSE x END) ELSE x END), '')")
     t = f"(CASE WHEN {level} = 'low' THEN {luhn} ELSE {_sql_sub(t, 'card')} END)"
     t = _sql_sub(t, "phone")
     t = f"(CASE WHEN {level} = 'low' THEN {t} ELSE {_sql_sub(t, 'ip')} END)"
-    return f"(CASE WHEN {level} = 'high' THEN {_sql_sub(t, 'number')} ELSE {t} END)"
+    return f"(CASE WHEN {level} IN ('low', 'medium') THEN {t} ELSE {_sql_sub(t, 'number')} END)"
+
+
+def sql_vocabulary_text(e: str) -> str:
+    return f"regexp_replace({sql_mask_pii(e, repr('high'))}, {_sql_lit(PLACEHOLDER_RE)}, ' ', 'g')"
 
 
 def sql_class_counts(e: str) -> list[tuple[str, str]]:

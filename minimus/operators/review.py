@@ -47,21 +47,16 @@ def review(df: DataFrame) -> DataFrame:
 def pick_attempt(attempts: DataFrame, keys=("pid", "level")) -> DataFrame:
     """The first passing attempt, else the last one. Status 'approved'
     when it passed, else 'rejected' (retries exhausted still yield a result)."""
-    order = F.when(F.col("passed"), F.col("attempt")).otherwise(F.lit(100) - F.col("attempt"))
-    w = Window.partitionBy(*keys).orderBy(order)
+    order = F.when(F.col("passed"), F.col("attempt")).otherwise(-F.col("attempt"))
+    w = Window.partitionBy(*keys).orderBy(F.col("passed").desc(), order)
     return (attempts.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1)
                     .drop("__rn")
                     .withColumn("status", F.when(F.col("passed"), F.lit(APPROVED))
                                 .otherwise(F.lit(REJECTED))))
 
 
-def retry_history(attempts: DataFrame, keys=("pid", "level"), upto: str | None = None) -> DataFrame:
-    """Per prompt, its attempts in order (at most three per prompt).
-    With ``upto`` only attempts up to that column's value are kept (the
-    attempts actually run before the chosen one)."""
-    rows = attempts
-    if upto:
-        rows = rows.where(F.col("attempt") <= F.col(upto))
-    rec = F.struct("attempt", F.round("similarity", 6).alias("similarity"),
+def retry_history(attempts: DataFrame, keys=("pid", "level")) -> DataFrame:
+    """Per prompt, the attempts that were run, in order (at most three)."""
+    rec = F.struct("attempt", F.round("similarity", 6).cast("decimal(8,6)").alias("similarity"),
                    F.col("missing").alias("missing_items"), "passed")
-    return rows.groupBy(*keys).agg(F.sort_array(F.collect_list(rec)).alias("retry_history"))
+    return attempts.groupBy(*keys).agg(F.sort_array(F.collect_list(rec)).alias("retry_history"))

@@ -10,8 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pii import mask_pii
-from ..functions.text import col_of, js_trim, segment_array, tokens
+from ..functions.text import col_of, tokens
 from .policy import filler_map
 
 # Fixed value: what a segment is compared by when dropping repeats -- lower
@@ -20,17 +19,6 @@ from .policy import filler_map
 NORM_DROP = r"[^\p{L}\p{N}<>]+"
 
 
-def masked_segments(prompts: DataFrame, keys=("pid", "lang", "level")) -> DataFrame:
-    """O42 then O43: mask at the row's level, then split into trimmed,
-    non-empty segments with their position. Masking first keeps placeholders
-    (no dots) from being split and keeps raw PII out of every later stage."""
-    masked = prompts.select(*keys, mask_pii("text", "level").alias("masked"))
-    return (masked.select(*keys, F.posexplode(segment_array("masked")).alias("pos", "raw"))
-                  .select(*keys, F.col("pos").cast("bigint").alias("pos"),
-                          js_trim("raw").alias("seg"))
-                  .where(F.col("seg") != ""))
-
-
 def norm_segment(seg) -> Column:
     return F.trim(F.regexp_replace(F.lower(col_of(seg)), NORM_DROP, " "))
 
@@ -47,16 +35,23 @@ def drop_repeats(segs: DataFrame, keys=("pid", "lang", "level")) -> DataFrame:
 
 def content_tokens(seg, lang) -> Column:
     """Distinct tokens of a segment without the language's filler words."""
-    fill = F.coalesce(F.try_element_at(filler_map(), col_of(lang)),
-                      F.array().cast("array<string>"))
     # array_except keeps first occurrences in order and drops duplicates, i.e.
     # distinct tokens minus fillers -- without a per-token lambda
-    return F.array_except(tokens(seg), fill)
+    return F.array_except(tokens(seg), fillers(lang))
+
+
+def fillers(lang) -> Column:
+    """The filler words of a language (none for an unknown one)."""
+    return F.coalesce(F.try_element_at(filler_map(), col_of(lang)), F.array().cast("array<string>"))
 
 
-def drop_filler(df: DataFrame, text: str = "text", lang: str = "lang",
-                out: str = "content_tokens") -> DataFrame:
-    return df.withColumn(out, content_tokens(text, lang))
+def strip_filler(text, lang) -> Column:
+    """O44 on the text itself: filler words removed, blanks collapsed."""
+    from .typos import PIECES
+    fill = fillers(lang)
+    kept = F.filter(F.regexp_extract_all(col_of(text), F.lit(PIECES), 0),
+                    lambda p: ~F.array_contains(fill, F.lower(p)))
+    return F.trim(F.regexp_replace(F.array_join(kept, ""), " {2,}", " "))
 
 
 def rebuild(kept: DataFrame, keys=("pid", "level"), out: str = "simplified") -> DataFrame:

@@ -72,14 +72,6 @@ def score_segments(segs: DataFrame, idf: DataFrame, keys=("pid", "lang", "level"
                         sumprod(F.col("p"), F.col("p")).alias("pp"))
 
 
-def add_prompt_stats(scored: DataFrame, keys=("pid", "level")) -> DataFrame:
-    """n_seg and pp for a scored table that lacks them (kept for callers that
-    score segments some other way)."""
-    w = Window.partitionBy(*keys)
-    return (scored.withColumn("n_seg", F.count(F.lit(1)).over(w))
-                  .withColumn("pp", F.sum("dot").over(w)))
-
-
 def score_bin(score: str = "score") -> Column:
     return F.least(F.floor(F.col(score) * N_BINS), F.lit(N_BINS - 1)).cast("bigint")
 

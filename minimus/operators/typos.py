@@ -11,9 +11,13 @@ So the join condition itself is exact; no distance function or candidate cap.
 A candidate token has document frequency 1, so it occurs in one document only;
 the vocabulary keeps that document (as ``xxhash64`` of its key, so the count
 stays a hash aggregate), and corrections are applied per document with a join
-on that hash and a per-row array transform -- the corpus is never exploded into
-words and regrouped. A hash collision cannot change a result: a fix applies
-only to a document that contains the typo, and only one document does.
+on language and hash and a per-row array transform -- the corpus is never exploded into
+words and regrouped. Two documents of one language whose keys share a hash get each
+other's fixes, which change a text only where it holds the typo, and only one does.
+
+Vocabularies come from text masked at 'high', and fixes are applied after masking, with
+placeholders as single pieces: a letter run inside a secret is never rewritten (which
+could keep the secret from being recognised), nor does it become a token.
 """
 
 from __future__ import annotations
@@ -21,12 +25,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.pii import PLACEHOLDER_RE, vocabulary_text
 from ..functions.text import distinct_tokens
 
 # Our candidate / target rule.
 MIN_TYPO_LEN = 5      # a candidate has at least 5 letters and df == 1
 MIN_TARGET_DF = 10    # a target occurs in at least 10 documents
-PIECES = r"\p{L}+|[^\p{L}]+"   # letter runs and everything between them
+PIECES = PLACEHOLDER_RE + r"|\p{L}+|[^\p{L}<]+|<"   # placeholders, letter runs, the rest
 
 
 def doc_hash(key) -> Column:
@@ -38,7 +43,7 @@ def typo_vocab(docs: DataFrame, key: str = "pid", text: str = "text",
     """(lang, token, df, doc): ``doc`` is the smallest key hash among the
     documents holding the token (the document itself when df == 1)."""
     toks = docs.select(lang, doc_hash(key).alias("__h"),
-                       F.explode(distinct_tokens(text)).alias("token"))
+                       F.explode(distinct_tokens(vocabulary_text(text))).alias("token"))
     return toks.groupBy(lang, "token").agg(F.count(F.lit(1)).alias("df"),
                                            F.min("__h").alias("doc"))
 
@@ -57,7 +62,12 @@ def deletion_keys(w: Column) -> Column:
 def typo_corrections(vocab: DataFrame) -> DataFrame:
     """(lang, token, doc, fix, fix_df): best target per candidate -- highest
     document frequency, then smallest token."""
+    # only lengths next to a target's: a junk run of letters emits no keys
+    lengths = (vocab.where((F.col("df") >= MIN_TARGET_DF) & (F.length("token") >= MIN_TYPO_LEN - 1))
+                    .select("lang", F.explode(F.array(*[F.length("token") + d for d in (-1, 0, 1)]))
+                            .alias("__len")).distinct())
     cands = (vocab.where((F.col("df") == 1) & (F.length("token") >= MIN_TYPO_LEN))
+                  .withColumn("__len", F.length("token")).join(lengths, ["lang", "__len"], "left_semi")
                   .select("lang", "token", "doc",
                           F.explode(deletion_keys(F.col("token"))).alias("ck")))
     targets = (vocab.where(F.col("df") >= MIN_TARGET_DF)
@@ -81,29 +91,31 @@ def _keep_case(piece: Column, fix: Column) -> Column:
     return F.when(first != F.lower(first), cap).otherwise(fix)
 
 
-# Per-document fix maps with at most this many rows are broadcast to the
-# documents; above it the documents are joined to them with a shuffle.
-FIXES_BROADCAST_MAX_ROWS = 1_000_000
+# Fix maps of at most so many bytes are broadcast to the documents; above it the
+# documents are joined to them with a shuffle.
+FIXES_BROADCAST_MAX_BYTES = 32 << 20
 
 
 def correct_typos(docs: DataFrame, corrections: DataFrame, key: str = "pid",
                   text: str = "text", materialize: bool = True,
-                  max_broadcast_rows: int = FIXES_BROADCAST_MAX_ROWS) -> DataFrame:
+                  max_broadcast_bytes: int = FIXES_BROADCAST_MAX_BYTES) -> DataFrame:
     """Rewrite ``text`` with each document's corrections (separators kept;
     a capitalised typo gets a capitalised fix).
 
     Only documents holding a typo have a fix map. The maps are checkpointed and
-    counted: when few enough, they are broadcast and the documents (the large
+    measured: when small enough, they are broadcast and the documents (the large
     side) are never shuffled for this join."""
-    fixes = (corrections.groupBy(F.col("doc").alias("__h"))
+    fixes = (corrections.groupBy("lang", F.col("doc").alias("__h"))
                         .agg(F.map_from_entries(F.collect_list(F.struct("token", "fix")))
                              .alias("__fix")))
     if materialize:
         from ..session import cut_lineage
         fixes = cut_lineage(fixes)
-        if fixes.count() <= max_broadcast_rows:
+        words = F.aggregate(F.map_entries("__fix"), F.lit(64), lambda n, e: n + 32 + F.octet_length(e["key"])
+                            + F.octet_length(e["value"]))
+        if (fixes.agg(F.sum(words)).first()[0] or 0) <= max_broadcast_bytes:
             fixes = F.broadcast(fixes)
-    j = (docs.withColumn("__h", doc_hash(key)).join(fixes, "__h", "left").drop("__h"))
+    j = docs.withColumn("__h", doc_hash(key)).join(fixes, ["lang", "__h"], "left").drop("__h")
     pieces = F.regexp_extract_all(F.col(text), F.lit(PIECES), 0)
     fixed = F.array_join(F.transform(pieces, lambda p: F.coalesce(
         _keep_case(p, F.try_element_at(F.col("__fix"), F.lower(p))), p)), "")

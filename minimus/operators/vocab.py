@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.pii import vocabulary_text
 from ..functions.text import distinct_tokens
 
-# Vocabularies with at most this many entries are broadcast to the token
-# lookup; larger ones go through a shuffle join (AQE splits hot tokens).
-BROADCAST_MAX_ROWS = 2_000_000
+# IDF tables of at most so many bytes (token bytes and ENTRY_BYTES a row) are broadcast to
+# the token lookup; larger ones go through a shuffle join (AQE splits hot tokens).
+BROADCAST_MAX_BYTES = 128 << 20
+ENTRY_BYTES = 48
 
 # Scores are sums of IDF values fixed to 2^-30 steps: integer sums are exact,
 # so a score does not depend on the order rows were added in (any engine, any
@@ -19,10 +21,10 @@ NIDF_SCALE = 1073741824.0
 
 def build_vocab(docs: DataFrame, key: str = "pid", text: str = "text",
                 lang: str = "lang") -> DataFrame:
-    """(lang, token, df): documents per token. Tokens are de-duplicated inside
-    each document first, so the count needs no distinct and the shuffle carries
+    """(lang, token, df): documents per token, taken from text masked at 'high'
+    (``vocabulary_text``). Tokens are de-duplicated inside each document first, so the count needs no distinct and the shuffle carries
     partial counts only -- a token in every document costs one row per task."""
-    toks = docs.select(lang, F.explode(distinct_tokens(text)).alias("token"))
+    toks = docs.select(lang, F.explode(distinct_tokens(vocabulary_text(text))).alias("token"))
     return toks.groupBy(lang, "token").agg(F.count(F.lit(1)).alias("df"))
 
 
@@ -32,18 +34,17 @@ def corpus_sizes(docs: DataFrame, lang: str = "lang") -> DataFrame:
 
 def idf_table(vocab: DataFrame, sizes: DataFrame, lang: str = "lang") -> DataFrame:
     """idf = ln((1+N)/(1+df)); nidf = idf / ln(1+N) in [0, 1). N per language.
-    ``sizes`` has one row per language."""
+    ``sizes`` has one row per language; languages come from the data, so the join is
+    left to Spark."""
     n1 = F.col("n_docs") + 1
     nidf = F.ln(n1 / (F.col("df") + 1)) / F.ln(n1)
-    return (vocab.join(F.broadcast(sizes), lang)
+    return (vocab.join(sizes, lang)
                  .select(lang, "token", "df", "n_docs",
                          F.ln(n1 / (F.col("df") + 1)).alias("idf"),
                          nidf.alias("nidf"),
                          F.floor(nidf * F.lit(NIDF_SCALE)).cast("bigint").alias("nidf_q")))
 
 
-def lookup_side(idf: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast the IDF table only behind a row-count check; above it the
-    join stays a shuffle join. ``idf`` should be materialised (checkpointed)
-    so the count does not recompute it."""
-    return F.broadcast(idf) if idf.count() <= max_rows else idf
+def lookup_bytes(idf: DataFrame) -> int:
+    """Bytes of the lookup side. ``idf`` should be materialised (checkpointed)."""
+    return idf.agg(F.sum(F.octet_length("token") + ENTRY_BYTES)).first()[0] or 0

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from ..functions.noise import sql_gumbel, sql_laplace
-from ..functions.pii import sql_mask_pii
+from ..functions.pii import sql_mask_pii, sql_vocabulary_text
 from ..functions.text import (sql_clean_text, sql_distinct_tokens, sql_js_trim, sql_lit,
                               sql_segment_array)
 from ..operators.policy import (DEFAULT_SEED, MAX_ATTEMPTS, sql_attempt_params,
                                 sql_fillers_of, sql_policy_values)
 from ..operators.segments import NORM_DROP
 from ..operators.select import N_BINS, N_BUCKETS
+from ..operators.typos import MIN_TARGET_DF, MIN_TYPO_LEN, PIECES
 from ..operators.vocab import NIDF_SCALE
 
 LEVELS_SQL = "['low', 'medium', 'high']"
@@ -24,8 +25,49 @@ def sql_content_tokens(e: str, lang: str) -> str:
             f"lambda t: NOT list_contains({sql_fillers_of(lang)}, t))")
 
 
+def sql_strip_filler(e: str, lang: str) -> str:
+    kept = (f"list_filter(regexp_extract_all({e}, {sql_lit(PIECES)}), "
+            f"lambda p: NOT list_contains({sql_fillers_of(lang)}, lower(p)))")
+    return f"trim(regexp_replace(array_to_string({kept}, ''), ' {{2,}}', ' ', 'g'))"
+
+
+def typo_ctes() -> str:
+    """CTEs from ``base`` to ``corr`` (corrections) and ``fixes`` (one map per document)."""
+    keys = ("list_transform(range(0, length(token) + 1), lambda i: {'k': CASE WHEN i = 0 "
+            "THEN token ELSE substring(token, 1, i - 1) || substring(token, i + 1, length(token)) "
+            "END, 'kpos': i})")
+    return f"""
+tv AS (SELECT lang, token, count(*) AS df, min(pid) AS doc
+       FROM (SELECT lang, pid, unnest({sql_distinct_tokens(sql_vocabulary_text('text'))}) AS token FROM base)
+       GROUP BY lang, token),
+cands AS (SELECT lang, token, doc, kk.k AS k, kk.kpos AS kpos
+          FROM (SELECT lang, token, doc, unnest({keys}) AS kk FROM tv
+                WHERE df = 1 AND length(token) >= {MIN_TYPO_LEN})),
+tgts AS (SELECT lang, token AS fix, df AS fix_df, kk.k AS k, kk.kpos AS kpos
+         FROM (SELECT lang, token, df, unnest({keys}) AS kk FROM tv
+               WHERE df >= {MIN_TARGET_DF} AND length(token) >= {MIN_TYPO_LEN - 1})),
+pairs_ AS (SELECT DISTINCT c.lang, c.token, c.doc, t.fix, t.fix_df
+          FROM cands c JOIN tgts t ON c.lang = t.lang AND c.k = t.k
+          WHERE (c.kpos = t.kpos AND c.kpos > 0) OR ((c.kpos = 0) <> (t.kpos = 0))),
+corr AS (SELECT lang, token, doc, fix, fix_df FROM (
+           SELECT *, row_number() OVER (PARTITION BY lang, token ORDER BY fix_df DESC, fix) AS rn
+           FROM pairs_) WHERE rn = 1),
+fixes AS (SELECT lang, doc AS pid, map_from_entries(list({{'k': token, 'v': fix}})) AS fx
+          FROM corr GROUP BY lang, doc),"""
+
+
+def sql_fixed(e: str) -> str:
+    """``e`` with the fixes of the map ``f.fx`` (NULL: none)."""
+    return f"""CASE WHEN f.fx IS NULL THEN {e} ELSE array_to_string(
+            list_transform(regexp_extract_all({e}, {sql_lit(PIECES)}), lambda p: coalesce(
+              CASE WHEN substring(p, 1, 1) <> lower(substring(p, 1, 1))
+                   THEN upper(substring(f.fx[lower(p)], 1, 1))
+                        || substring(f.fx[lower(p)], 2, length(f.fx[lower(p)]))
+                   ELSE f.fx[lower(p)] END, p)), '') END"""
+
+
 def chain_ctes(base_sql: str = DOC_BASE, sweep: bool = False, seed: int = DEFAULT_SEED,
-               topk_noise: str | None = None) -> str:
+               topk_noise: str | None = None, typos: bool = False) -> str:
     """CTE list (without the leading WITH) ending in ``chosen``."""
     s = seed
     rank_by = "score"
@@ -35,18 +77,23 @@ def chain_ctes(base_sql: str = DOC_BASE, sweep: bool = False, seed: int = DEFAUL
                if sweep else "SELECT pid, lang, text, level FROM base")
     nidf = "ln((n_docs + 1) / (df + 1)) / ln(n_docs + 1)"
     lap = sql_laplace
+    fixed = "SELECT * FROM hidden"
+    if typos:
+        fixed = (f"SELECT h.pid, h.lang, h.level, {sql_fixed('h.m')} AS m "
+                 "FROM hidden h LEFT JOIN fixes f ON h.pid = f.pid AND h.lang = f.lang")
     return f"""
 base AS ({base_sql}),
 vocab AS (SELECT lang, token, count(*) AS df
-          FROM (SELECT lang, unnest({sql_distinct_tokens('text')}) AS token FROM base)
+          FROM (SELECT lang, unnest({sql_distinct_tokens(sql_vocabulary_text('text'))}) AS token FROM base)
           GROUP BY lang, token),
 sizes AS (SELECT lang, count(*) AS n_docs FROM base GROUP BY lang),
 idf AS (SELECT lang, token, df, n_docs, ln((n_docs + 1) / (df + 1)) AS idf, {nidf} AS nidf,
                CAST(floor({nidf} * {NIDF_SCALE}) AS BIGINT) AS nidf_q
         FROM vocab JOIN sizes USING (lang)),
-prompts AS ({prompts}),
-masked AS (SELECT pid, lang, level, m AS masked, {sql_content_tokens('m', 'lang')} AS orig_tokens
-           FROM (SELECT pid, lang, level, {sql_mask_pii('text', 'level')} AS m FROM prompts)),
+prompts AS ({prompts}),{typo_ctes() if typos else ''}
+hidden AS (SELECT pid, lang, level, {sql_mask_pii('text', 'level')} AS m FROM prompts),
+fixed AS ({fixed}),
+masked AS (SELECT pid, lang, level, m AS masked, {sql_content_tokens('m', 'lang')} AS orig_tokens FROM fixed),
 segs AS (SELECT pid, lang, level, pos, {sql_js_trim('raw')} AS seg
          FROM (SELECT pid, lang, level, unnest(range(len(a))) AS pos, unnest(a) AS raw
                FROM (SELECT pid, lang, level, {sql_segment_array('masked')} AS a FROM masked))
@@ -119,30 +166,38 @@ req AS (SELECT pid, level, list_sort(list(token)) AS required FROM (
           FROM (SELECT pid, lang, level, unnest(orig_tokens) AS token FROM masked) x
           JOIN idf USING (lang, token))
         WHERE rn <= 5 GROUP BY pid, level),
+segcount AS (SELECT pid, level, max(n_seg) AS n_seg FROM scored GROUP BY pid, level),
 att AS (SELECT m.pid, m.lang, m.level, p.attempt, m.orig_tokens, p.pass_score, p.max_missing,
+               CAST(1 / p.b_thr AS DECIMAL(18,6)) AS eps_threshold,
+               CAST(2 * greatest(1, CAST(ceil(p.c_att * coalesce(g.n_seg, 0)) AS BIGINT)) / p.b AS DECIMAL(18,6)) AS eps_hits,
                coalesce(r.simplified, '') AS simplified, coalesce(r.n_kept, 0) AS n_kept,
                coalesce(q.required, []::VARCHAR[]) AS required
         FROM masked m JOIN plan p ON m.level = p.level
         LEFT JOIN rebuilt r ON r.pid = m.pid AND r.level = m.level AND r.attempt = p.attempt
-        LEFT JOIN req q ON q.pid = m.pid AND q.level = m.level),
-reviewed AS (SELECT *, (similarity >= pass_score AND len(missing) <= max_missing) AS passed
+        LEFT JOIN req q ON q.pid = m.pid AND q.level = m.level
+        LEFT JOIN segcount g ON g.pid = m.pid AND g.level = m.level),
+tried AS (SELECT *, (similarity >= pass_score AND len(missing) <= max_missing) AS passed
              FROM (SELECT *,
                      list_sort(list_filter(required, lambda x: NOT list_contains(simp_tokens, x))) AS missing,
                      CASE WHEN len(orig_tokens) = 0 THEN 1.0
                           ELSE len(list_intersect(orig_tokens, simp_tokens)) / len(orig_tokens) END
                        AS similarity
                    FROM (SELECT *, {sql_content_tokens('simplified', 'lang')} AS simp_tokens FROM att))),
-chosen AS (SELECT * EXCLUDE (rn), CASE WHEN passed THEN 'approved' ELSE 'rejected' END AS status
-           FROM (SELECT *, row_number() OVER (
-                   PARTITION BY pid, level
-                   ORDER BY CASE WHEN passed THEN attempt ELSE 100 - attempt END) AS rn
+reviewed AS (SELECT * EXCLUDE (before) FROM (
+               SELECT *, coalesce(max(CAST(passed AS INTEGER)) OVER (
+                 PARTITION BY pid, level ORDER BY attempt
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM tried)
+             WHERE before = 0),
+chosen AS (SELECT * EXCLUDE (simplified, rn), {sql_strip_filler('simplified', 'lang')} AS simplified,
+                  CASE WHEN passed THEN 'approved' ELSE 'rejected' END AS status
+           FROM (SELECT *, row_number() OVER (PARTITION BY pid, level ORDER BY attempt DESC) AS rn
                  FROM reviewed)
            WHERE rn = 1)
 """
 
 
 def with_chain(select_sql: str, base_sql: str = DOC_BASE, sweep: bool = False,
-               topk_noise: str | None = None) -> str:
-    return ("WITH " + chain_ctes(base_sql, sweep, topk_noise=topk_noise).strip() + "\n"
+               topk_noise: str | None = None, typos: bool = False) -> str:
+    return ("WITH " + chain_ctes(base_sql, sweep, topk_noise=topk_noise, typos=typos).strip() + "\n"
             + select_sql)
 

@@ -7,24 +7,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.noise import sql_laplace
-from ..functions.pii import class_counts, sql_class_counts
-from ..functions.text import (clean_text, sql_clean_text, sql_distinct_tokens, sql_lit,
-                              sql_word_count, word_count)
+from ..functions.pii import mask_pii, sql_class_counts, sql_mask_pii
+from ..functions.text import clean_text, sql_clean_text, sql_word_count, word_count
 from ..operators import messages as M
 from ..operators.asof import pair_turns
 from ..operators.knn import centroids, noisy_knn
 from ..operators.policy import DEFAULT_SEED, policy_df
 from ..operators.review import retry_history
-from ..operators.typos import (MIN_TARGET_DF, MIN_TYPO_LEN, PIECES, correct_typos,
-                               typo_corrections, typo_vocab)
+from ..operators.typos import correct_typos, typo_corrections, typo_vocab
 from ..sources.messages import chat_log
 from ..session import cut_lineage
 from ..sources.tables import read_table
 from .catalog import register
-from .chain_sql import DOC_BASE, with_chain
+from .chain_sql import DOC_BASE, sql_fixed, typo_ctes, with_chain
 from .queries_messages import LOG_SQL
 from .queries_text import document_base
-from .simplify import simplify_chain
+from .simplify import minimize, pii_total, simplify_chain
 
 LEVEL_NAMES = ["low", "medium", "high"]
 KNN_K = 5
@@ -33,60 +31,30 @@ KNN_SCALE = 0.05
 
 # ---- O21 ----------------------------------------------------------------------
 
-def _sql_typo_ctes(base_name: str = "base", upto: str = "fixed") -> str:
-    keys = ("list_transform(range(0, length(token) + 1), lambda i: {'k': CASE WHEN i = 0 "
-            "THEN token ELSE substring(token, 1, i - 1) || substring(token, i + 1, length(token)) "
-            "END, 'kpos': i})")
-    text = f"""
-tv AS (SELECT lang, token, count(*) AS df, min(pid) AS doc
-       FROM (SELECT lang, pid, unnest({sql_distinct_tokens('text')}) AS token FROM {base_name})
-       GROUP BY lang, token),
-cands AS (SELECT lang, token, doc, kk.k AS k, kk.kpos AS kpos
-          FROM (SELECT lang, token, doc, unnest({keys}) AS kk FROM tv
-                WHERE df = 1 AND length(token) >= {MIN_TYPO_LEN})),
-tgts AS (SELECT lang, token AS fix, df AS fix_df, kk.k AS k, kk.kpos AS kpos
-         FROM (SELECT lang, token, df, unnest({keys}) AS kk FROM tv
-               WHERE df >= {MIN_TARGET_DF} AND length(token) >= {MIN_TYPO_LEN - 1})),
-pairs AS (SELECT DISTINCT c.lang, c.token, c.doc, t.fix, t.fix_df
-          FROM cands c JOIN tgts t ON c.lang = t.lang AND c.k = t.k
-          WHERE (c.kpos = t.kpos AND c.kpos > 0) OR ((c.kpos = 0) <> (t.kpos = 0))),
-corr AS (SELECT lang, token, doc, fix, fix_df FROM (
-           SELECT *, row_number() OVER (PARTITION BY lang, token ORDER BY fix_df DESC, fix) AS rn
-           FROM pairs) WHERE rn = 1),
-fixes AS (SELECT doc AS pid, map_from_entries(list({{'k': token, 'v': fix}})) AS fx
-          FROM corr GROUP BY doc),
-fixed AS (SELECT b.pid, b.lang, b.level, CASE WHEN f.fx IS NULL THEN b.text ELSE array_to_string(
-            list_transform(regexp_extract_all(b.text, {sql_lit(PIECES)}), lambda p: coalesce(
-              CASE WHEN substring(p, 1, 1) <> lower(substring(p, 1, 1))
-                   THEN upper(substring(f.fx[lower(p)], 1, 1))
-                        || substring(f.fx[lower(p)], 2, length(f.fx[lower(p)]))
-                   ELSE f.fx[lower(p)] END, p)), '') END AS text
-          FROM {base_name} b LEFT JOIN fixes f ON b.pid = f.pid)
-"""
-    if upto == "corr":
-        text = text.split("fixes AS")[0].rstrip().rstrip(",")
-    return text
-
-
 def typo_table(base: DataFrame) -> DataFrame:
     """O21 corrections over a prompt table; the vocabulary is checkpointed once
     because both sides of the deletion-key join read it."""
     return typo_corrections(cut_lineage(typo_vocab(base)))
 
 
-@register("typo_corrections", f"WITH base AS ({DOC_BASE}),\n" + _sql_typo_ctes(upto="corr").strip() + """
-SELECT lang, token, fix, fix_df FROM corr""")
+_TYPO_SQL = f"WITH base AS ({DOC_BASE}),{typo_ctes().rstrip(',')}\n"
+
+
+@register("typo_corrections", _TYPO_SQL + "SELECT lang, token, fix, fix_df FROM corr")
 def q_typo_corrections(spark: SparkSession, sf: str) -> DataFrame:
     """Rare tokens with their frequent same-language neighbour at distance 1."""
     return typo_table(document_base(spark, sf)).select("lang", "token", "fix", "fix_df")
 
 
-@register("preprocess_text", f"WITH base AS ({DOC_BASE}),\n" + _sql_typo_ctes().strip() + """
-SELECT pid, text FROM fixed""")
+@register("preprocess_text", _TYPO_SQL + f"""
+SELECT h.pid, {sql_fixed('h.m')} AS text
+FROM (SELECT pid, lang, {sql_mask_pii('text', 'level')} AS m FROM base) h
+LEFT JOIN fixes f ON h.pid = f.pid AND h.lang = f.lang""")
 def q_preprocess_text(spark: SparkSession, sf: str) -> DataFrame:
-    """O41 + O21: the preprocess stage -- clean-up, then typo fixes."""
+    """The preprocess stage -- clean-up, masking, then typo fixes."""
     base = document_base(spark, sf)
-    return correct_typos(base, typo_table(base)).select("pid", "text")
+    masked = base.withColumn("text", mask_pii("text", "level"))
+    return correct_typos(masked, typo_table(base)).select("pid", "text")
 
 
 # ---- O49 / O05: minimise the prompts of the chat log ---------------------------
@@ -103,28 +71,24 @@ def chat_prompts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return base, log
 
 
-def minimize(spark: SparkSession, sf: str):
-    """Preprocess (O41, O21) -> simplify (O46) -> review / retry
+def minimize_log(spark: SparkSession, sf: str):
+    """Preprocess (O41, O42, O21) -> simplify (O46) -> review / retry
     -> result per prompt with the assistant answer from the log (O19)."""
     base, log = chat_prompts(spark, sf)
-    pre = correct_typos(base, typo_table(base))
-    ch = simplify_chain(pre, policy_df(spark), seed=DEFAULT_SEED)
+    ch = simplify_chain(base, policy_df(spark), seed=DEFAULT_SEED, typos=True)
     pairs = pair_turns(log).select("conv_id", F.col("prompt_turn").alias("turn"),
                                    F.col("reply").alias("answer"))
     parts = F.split("pid", ":")
     res = (ch.chosen.select(parts[0].cast("bigint").alias("conv_id"),
                             parts[1].cast("bigint").alias("turn"),
                             "pid", "level", "attempt", "status", "simplified", "similarity",
-                            "missing", "passed")
+                            "missing", "passed", "eps_threshold", "eps_hits")
            .join(pairs, ["conv_id", "turn"], "left"))
     return res, ch
 
 
-CHAT_BASE = f"""WITH log AS ({LOG_SQL}),
-base0 AS (SELECT conv_id || ':' || turn AS pid, 'und' AS lang, {sql_clean_text('content')} AS text,
-                 simplify AS level FROM log WHERE role = 'user'),
-{_sql_typo_ctes('base0').strip()}
-SELECT pid, lang, text, level FROM fixed"""
+CHAT_BASE = f"""SELECT conv_id || ':' || turn AS pid, 'und' AS lang, {sql_clean_text('content')} AS text,
+  simplify AS level FROM ({LOG_SQL}) WHERE role = 'user'"""
 
 
 @register("minimize_prompts", with_chain(f"""
@@ -138,71 +102,96 @@ SELECT CAST(split_part(c.pid, ':', 1) AS BIGINT) AS conv_id,
 FROM chosen c LEFT JOIN pairs p
   ON p.conv_id = CAST(split_part(c.pid, ':', 1) AS BIGINT)
  AND p.turn = CAST(split_part(c.pid, ':', 2) AS BIGINT)
- AND p.role = 'user' AND p.next_role = 'assistant'""", base_sql=CHAT_BASE))
+ AND p.role = 'user' AND p.next_role = 'assistant'""", base_sql=CHAT_BASE, typos=True))
 def q_minimize_prompts(spark: SparkSession, sf: str) -> DataFrame:
     """O49 over the chat log's user prompts."""
-    res, _ = minimize(spark, sf)
+    res, _ = minimize_log(spark, sf)
     return res.select("conv_id", "turn", "level", "attempt", "status", "simplified",
                       F.round("similarity", 6).alias("similarity"), "answer")
 
 
+@register("minimize_documents", with_chain(
+    "SELECT pid, level, status, simplified, attempt, round(similarity, 6) AS similarity, "
+    "array_to_string(missing, ',') AS missing, eps_threshold, eps_hits FROM chosen", typos=True))
+def q_minimize_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """O49 over ``documents``, which hold PII and secrets, each at its own level."""
+    docs = read_table(spark, sf, "documents", ["doc_id", "text", "lang"], heavy=True)
+    out = minimize(docs.select(F.col("doc_id").alias("pid"), "text", "lang", F.element_at(
+        F.array(*[F.lit(x) for x in LEVEL_NAMES]), (F.pmod("doc_id", F.lit(3)) + 1).cast("int")).alias("level")))
+    return (out.withColumn("similarity", F.round("similarity", 6))
+            .withColumn("missing", F.array_join("missing", ",")))
+
+
 def finalize(res: DataFrame, history: DataFrame) -> DataFrame:
-    """One JSON payload per prompt -- simplified question, answer and the
-    review metadata (status, similarity, missing items, retry history)."""
+    """One JSON payload per prompt -- simplified question, answer, the review
+    metadata (status, similarity, missing items, retry history) and the implied budget.
+    Numbers are decimals, so their text does not depend on the engine."""
     j = res.join(history, ["pid", "level"], "left")
     payload = F.to_json(F.struct(
         F.col("status"),
         F.col("simplified").alias("simplifiedMessage"),
         F.col("answer"),
-        F.struct(F.round("similarity", 6).alias("similarity"),
+        F.struct(F.round("similarity", 6).cast("decimal(8,6)").alias("similarity"),
                  F.col("missing").alias("missingItems"),
-                 F.col("retry_history").alias("retryHistory")).alias("review")))
+                 F.col("retry_history").alias("retryHistory")).alias("review"),
+        F.struct(F.col("eps_threshold").alias("threshold"),
+                 F.col("eps_hits").alias("hits")).alias("epsilon")), {"ignoreNullFields": "false"})
     return j.select("conv_id", "turn", "level", payload.alias("payload"))
 
 
-@register("finalize_payload")
+_PAIRS_SQL = f"""
+, pairs AS (SELECT conv_id, turn, lead(content) OVER w AS answer, role,
+                   lead(role) OVER w AS next_role
+            FROM ({LOG_SQL}) WINDOW w AS (PARTITION BY conv_id ORDER BY turn))"""
+
+
+@register("finalize_payload", with_chain(_PAIRS_SQL + """
+, tries AS (SELECT pid, level, string_agg('{"attempt":' || attempt || ',"similarity":'
+               || CAST(round(similarity, 6) AS DECIMAL(8,6)) || ',"missing_items":' || to_json(missing)::VARCHAR
+               || ',"passed":' || CAST(passed AS VARCHAR) || '}', ',' ORDER BY attempt) AS h
+            FROM reviewed GROUP BY pid, level)
+SELECT CAST(split_part(c.pid, ':', 1) AS BIGINT) AS conv_id,
+       CAST(split_part(c.pid, ':', 2) AS BIGINT) AS turn, c.level,
+       '{"status":' || to_json(c.status)::VARCHAR || ',"simplifiedMessage":' || to_json(c.simplified)::VARCHAR
+       || ',"answer":' || coalesce(to_json(p.answer)::VARCHAR, 'null')
+       || ',"review":{"similarity":' || CAST(round(c.similarity, 6) AS DECIMAL(8,6))
+       || ',"missingItems":' || to_json(c.missing)::VARCHAR || ',"retryHistory":[' || h.h
+       || ']},"epsilon":{"threshold":' || c.eps_threshold || ',"hits":' || c.eps_hits || '}}' AS payload
+FROM chosen c JOIN tries h ON h.pid = c.pid AND h.level = c.level
+LEFT JOIN pairs p
+  ON p.conv_id = CAST(split_part(c.pid, ':', 1) AS BIGINT)
+ AND p.turn = CAST(split_part(c.pid, ':', 2) AS BIGINT)
+ AND p.role = 'user' AND p.next_role = 'assistant'""", base_sql=CHAT_BASE, typos=True))
 def q_finalize_payload(spark: SparkSession, sf: str) -> DataFrame:
-    """O05 (rows-only check: JSON number text differs between engines)."""
-    res, ch = minimize(spark, sf)
-    upto = ch.chosen.select("pid", "level", F.col("attempt").alias("chosen_attempt"))
-    hist = retry_history(ch.reviewed.join(upto, ["pid", "level"]), upto="chosen_attempt")
-    return finalize(res, hist)
+    """The JSON payloads of the chat log's prompts."""
+    res, ch = minimize_log(spark, sf)
+    return finalize(res, retry_history(ch.reviewed))
 
 
 # ---- O51 / O28: level sweep and report -----------------------------------------
 
 def sweep(spark: SparkSession, sf: str):
     base = document_base(spark, sf).drop("level")
-    return simplify_chain(base, policy_df(spark), levels=LEVEL_NAMES, seed=DEFAULT_SEED), base
+    return simplify_chain(base, policy_df(spark), levels=LEVEL_NAMES, seed=DEFAULT_SEED, typos=True,
+                          measure=True)
 
 
 @register("level_sweep", with_chain(
     "SELECT pid, level, attempt, status, simplified, round(similarity, 6) AS similarity "
-    "FROM chosen", sweep=True))
+    "FROM chosen", sweep=True, typos=True))
 def q_level_sweep(spark: SparkSession, sf: str) -> DataFrame:
     """Every document minimised at low, medium and high side by side."""
-    ch, _ = sweep(spark, sf)
-    return ch.chosen.select("pid", "level", "attempt", "status", "simplified",
-                            F.round("similarity", 6).alias("similarity"))
+    return sweep(spark, sf).chosen.select("pid", "level", "attempt", "status", "simplified",
+                                          F.round("similarity", 6).alias("similarity"))
 
 
-def _pii_total(col) -> F.Column:
-    total = None
-    for _, c in class_counts(col):
-        total = c if total is None else total + c
-    return total
-
-
-def minimization_report(chosen: DataFrame, base: DataFrame) -> DataFrame:
+def minimization_report(chosen: DataFrame) -> DataFrame:
     """Characters, words and PII matches before / after, approval rate,
-    by level x language with subtotals (rollup)."""
-    j = chosen.select("pid", "level", "lang", "simplified", "passed").join(
-        base.select("pid", "text"), "pid")
-    m = j.select("level", "lang",
-                 F.length("text").alias("cb"), F.length("simplified").alias("ca"),
-                 word_count("text").alias("wb"), word_count("simplified").alias("wa"),
-                 _pii_total(F.col("text")).alias("pb"), _pii_total(F.col("simplified")).alias("pa"),
-                 F.col("passed").cast("double").alias("ok"))
+    by level x language with subtotals (rollup). ``chosen`` comes from a chain that
+    measures its unmasked input, so the raw text is not read again."""
+    m = chosen.select("level", "lang", "cb", "wb", "pb",
+                      F.length("simplified").alias("ca"), word_count("simplified").alias("wa"),
+                      pii_total("simplified").alias("pa"), F.col("passed").cast("double").alias("ok"))
     return m.rollup("level", "lang").agg(
         F.grouping_id().alias("gid"),
         F.count(F.lit(1)).alias("n_prompts"),
@@ -227,11 +216,10 @@ SELECT level, lang, CAST(GROUPING(level, lang) AS BIGINT) AS gid, count(*) AS n_
        CAST(sum(wb) AS BIGINT) AS words_before, CAST(sum(wa) AS BIGINT) AS words_after,
        CAST(sum(pb) AS BIGINT) AS pii_before, CAST(sum(pa) AS BIGINT) AS pii_after,
        round(avg(ok), 6) AS approval_rate
-FROM m GROUP BY ROLLUP (level, lang)""", sweep=True))
+FROM m GROUP BY ROLLUP (level, lang)""", sweep=True, typos=True))
 def q_minimization_report(spark: SparkSession, sf: str) -> DataFrame:
     """O28 over the level sweep of ``documents``."""
-    ch, base = sweep(spark, sf)
-    return minimization_report(ch.chosen, base)
+    return minimization_report(sweep(spark, sf).chosen)
 
 
 # ---- O22: NoisyKNN over embeddings ----------------------------------------------
@@ -289,14 +277,10 @@ PAYLOAD_SCHEMA = ("status string, simplifiedMessage string, answer string, "
                   "missing_items: array<string>, passed: boolean>>>")
 
 
-@register("payload_fields", with_chain(f"""
-, pairs AS (SELECT conv_id, turn, lead(content) OVER w AS answer, role,
-                   lead(role) OVER w AS next_role
-            FROM ({LOG_SQL}) WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
-, tries AS (SELECT r.pid, r.level, count(*) AS n_attempts,
-                  string_agg(CAST(r.passed AS VARCHAR), ',' ORDER BY r.attempt) AS passed_seq
-           FROM reviewed r JOIN chosen c ON r.pid = c.pid AND r.level = c.level
-           WHERE r.attempt <= c.attempt GROUP BY r.pid, r.level)
+@register("payload_fields", with_chain(_PAIRS_SQL + """
+, tries AS (SELECT pid, level, count(*) AS n_attempts,
+                  string_agg(CAST(passed AS VARCHAR), ',' ORDER BY attempt) AS passed_seq
+           FROM reviewed GROUP BY pid, level)
 SELECT CAST(split_part(c.pid, ':', 1) AS BIGINT) AS conv_id,
        CAST(split_part(c.pid, ':', 2) AS BIGINT) AS turn,
        c.status, c.simplified, p.answer, round(c.similarity, 6) AS similarity,
@@ -305,7 +289,7 @@ FROM chosen c JOIN tries h ON h.pid = c.pid AND h.level = c.level
 LEFT JOIN pairs p
   ON p.conv_id = CAST(split_part(c.pid, ':', 1) AS BIGINT)
  AND p.turn = CAST(split_part(c.pid, ':', 2) AS BIGINT)
- AND p.role = 'user' AND p.next_role = 'assistant'""", base_sql=CHAT_BASE))
+ AND p.role = 'user' AND p.next_role = 'assistant'""", base_sql=CHAT_BASE, typos=True))
 def q_payload_fields(spark: SparkSession, sf: str) -> DataFrame:
     """O05, flat form: each JSON payload parsed back with an explicit schema."""
     pay = q_finalize_payload(spark, sf)

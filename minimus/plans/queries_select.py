@@ -75,7 +75,7 @@ def _review_cols(df: DataFrame) -> DataFrame:
 
 @register("review_attempts", with_chain(REVIEW_SQL))
 def q_review_attempts(spark: SparkSession, sf: str) -> DataFrame:
-    """O47 (with O37 missing items and O38 similarity) for every attempt."""
+    """O47 (with O37 missing items and O38 similarity) for every attempt that is run."""
     return _review_cols(document_chain(spark, sf).reviewed)
 
 
@@ -91,14 +91,12 @@ def q_chosen_attempt(spark: SparkSession, sf: str) -> DataFrame:
 SELECT r.pid, r.level, r.attempt, round(r.similarity, 6) AS similarity,
        array_to_string(r.missing, ',') AS missing, r.passed
 FROM reviewed r JOIN chosen c ON r.pid = c.pid AND r.level = c.level
-WHERE r.attempt <= c.attempt"""))
+"""))
 def q_retry_history(spark: SparkSession, sf: str) -> DataFrame:
-    """O27, flat form: the attempts run up to the chosen one."""
+    """O27, flat form: the attempts that were run."""
     ch = document_chain(spark, sf)
-    upto = ch.chosen.select("pid", "level", F.col("attempt").alias("chosen_attempt"))
-    hist = retry_history(ch.reviewed.join(upto, ["pid", "level"]), upto="chosen_attempt")
-    flat = hist.select("pid", "level", F.explode("retry_history").alias("h"))
-    return flat.select("pid", "level", "h.attempt", F.col("h.similarity").alias("similarity"),
+    flat = retry_history(ch.reviewed).select("pid", "level", F.explode("retry_history").alias("h"))
+    return flat.select("pid", "level", "h.attempt", F.col("h.similarity").cast("double").alias("similarity"),
                        F.array_join("h.missing_items", ",").alias("missing"), "h.passed")
 
 

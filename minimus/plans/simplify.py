@@ -19,27 +19,34 @@ the IDF table as a reliable checkpoint. Either way the lineage is cut, so a
 lost executor costs one stage, not the chain. Stages are materialised lazily,
 the first time they are asked for.
 
-All three attempts are planned at once (``explode(sequence(1, 3))``): one job,
-no driver loop.
+Attempts run one after the other (at most three rounds): attempt n+1 is computed only for
+the prompts whose attempt n failed the review.
+
+Levels follow O08: a missing one becomes 'medium', an unknown one goes to
+``Chain.quarantined`` and no further. A missing language becomes 'und'.
 """
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pii import mask_pii
-from ..functions.text import js_trim, segment_array
+from ..functions.pii import class_counts, mask_pii
+from ..functions.text import js_trim, segment_array, word_count
+from ..operators.messages import with_level
 from ..operators.policy import DEFAULT_SEED, MAX_ATTEMPTS, attempt_params
-from ..operators.review import pick_attempt, required_items, review
-from ..operators.segments import content_tokens, drop_repeats, rebuild
+from ..operators.review import APPROVED, REJECTED, required_items, review
+from ..operators.segments import content_tokens, drop_repeats, rebuild, strip_filler
 from ..operators.select import knn_select, score_segments, svt, thresholds, top_k
-from ..operators.vocab import BROADCAST_MAX_ROWS, build_vocab, corpus_sizes, idf_table
-from ..session import bucketed_stage, cut_lineage
+from ..operators.typos import correct_typos, typo_corrections, typo_vocab
+from ..operators.vocab import (BROADCAST_MAX_BYTES, build_vocab, corpus_sizes, idf_table,
+                               lookup_bytes)
+from ..session import bucket_count, bucketed_stage, cut_lineage
 
 KEYS = ("pid", "lang", "level")
+UNKNOWN_LANG = "und"
 
 
 def attempt_plan(policy: DataFrame, attempts: int = MAX_ATTEMPTS) -> DataFrame:
@@ -51,14 +58,24 @@ def attempt_plan(policy: DataFrame, attempts: int = MAX_ATTEMPTS) -> DataFrame:
 class Chain:
     """Lazily built stages of the chain for one prompt table.
 
-    ``base`` has pid, lang, text (already pre-processed) and, unless ``levels``
-    is given (level sweep), a ``level`` column.
+    ``base`` has pid, lang, text (cleaned) and, unless ``levels`` is given (level
+    sweep), a ``level`` column. ``typos``: correct typing errors (O21) in the masked
+    text. ``measure``: carry characters, words and PII matches of the unmasked text.
     """
 
     def __init__(self, base: DataFrame, policy: DataFrame, levels: list[str] | None = None,
                  seed: int = DEFAULT_SEED, topk_noise: str | None = None,
                  idf: DataFrame | None = None, attempts: int = MAX_ATTEMPTS,
-                 broadcast_max_rows: int = BROADCAST_MAX_ROWS, checkpoint: bool = True):
+                 broadcast_max_bytes: int = BROADCAST_MAX_BYTES, typos: bool = False,
+                 measure: bool = False):
+        # joins keyed (pid, ...) reuse the partitioning by pid
+        base.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        base = base.withColumn("lang", F.coalesce("lang", F.lit(UNKNOWN_LANG)))
+        if levels is None:
+            base, bad = with_level(base, "level")
+            self.quarantined = bad.select("pid", "level")
+        else:
+            self.quarantined = base.where("false").select("pid", F.lit("").alias("level"))
         self.base = base
         self.policy = policy
         self.levels = levels
@@ -66,40 +83,49 @@ class Chain:
         self.topk_noise = topk_noise
         self._idf_in = idf
         self.attempts = attempts
-        self.broadcast_max_rows = broadcast_max_rows
-        self._ckpt = checkpoint
-
-    def _cut(self, df: DataFrame) -> DataFrame:
-        return cut_lineage(df) if self._ckpt else df
+        self.broadcast_max_bytes = broadcast_max_bytes
+        self.typos = typos
+        self.measure = measure
+        self.buckets = bucket_count(base, len(levels or [1]))
 
-    def _stage(self, df: DataFrame, name: str, partitioned: bool = False) -> DataFrame:
+    def _stage(self, df: DataFrame, name: str, partitioned: bool = True) -> DataFrame:
         """Per-prompt stage: bucketed by pid (keeps the partitioning)."""
-        return bucketed_stage(df, "pid", name, partitioned=partitioned) if self._ckpt else df
+        return bucketed_stage(df, "pid", name, self.buckets, partitioned)
 
     # -- O23 / O25 -------------------------------------------------------------
     @cached_property
     def idf(self) -> DataFrame:
         if self._idf_in is not None:
             return self._idf_in
-        return self._cut(idf_table(build_vocab(self.base), corpus_sizes(self.base)))
+        return cut_lineage(idf_table(build_vocab(self.base), corpus_sizes(self.base)))
 
     @cached_property
     def idf_broadcast(self) -> bool:
-        """Broadcast only with a proven size: the (materialised) row count."""
-        return self.idf.count() <= self.broadcast_max_rows
+        """Broadcast only with a proven size: the bytes of the (materialised) table."""
+        return lookup_bytes(self.idf) <= self.broadcast_max_bytes
 
     def idf_side(self, cols) -> DataFrame:
         side = self.idf.select(*cols)
         return F.broadcast(side) if self.idf_broadcast else side
 
-    # -- O42: masked prompts, partitioned by pid --------------------------------
+    # -- O42, O21: masked prompts, partitioned by pid ---------------------------
+    @cached_property
+    def corrections(self) -> DataFrame:
+        return typo_corrections(cut_lineage(typo_vocab(self.base)))
+
     @cached_property
     def masked(self) -> DataFrame:
         prompts = self.base if self.levels is None else self.base.withColumn(
             "level", F.explode(F.array(*[F.lit(x) for x in self.levels])))
-        m = (prompts.select(*KEYS, mask_pii("text", "level").alias("masked"))
-                    .withColumn("orig_tokens", content_tokens("masked", "lang")))
-        return self._stage(m, "masked") if self._ckpt else m.repartition("pid")
+        size = []
+        if self.measure:
+            size = [F.length("text").alias("cb"), word_count("text").alias("wb"),
+                    pii_total("text").alias("pb")]
+        m = prompts.select(*KEYS, mask_pii("text", "level").alias("masked"), *size)
+        if self.typos:
+            m = correct_typos(m, self.corrections, text="masked")
+        return self._stage(m.withColumn("orig_tokens", content_tokens("masked", "lang")), "masked",
+                           partitioned=False)
 
     # -- O43 / O32 ---------------------------------------------------------------
     @cached_property
@@ -120,7 +146,7 @@ class Chain:
         s = score_segments(self.uniq, self.idf_side(["lang", "token", "nidf_q"]), KEYS,
                            back_to="pid" if not self.idf_broadcast else None)
         # with a broadcast lookup the rows never left the masked stage's buckets
-        return self._stage(s, "scored", partitioned=self.idf_broadcast and self._ckpt)
+        return self._stage(s, "scored", partitioned=self.idf_broadcast)
 
     @cached_property
     def plan(self) -> DataFrame:
@@ -130,15 +156,23 @@ class Chain:
     def thresholds(self) -> DataFrame:
         return thresholds(self.scored, self.plan)
 
-    # -- O29 / O33 / O22 / O45 -------------------------------------------------
-    @cached_property
-    def svt(self) -> DataFrame:
-        rows = (self.scored
-                .join(F.broadcast(self.plan.select("level", "attempt", "b_thr", "b", "c_att",
-                                                   "k_att", "knn_att")), "level")
+    # -- O29 / O33 / O22 / O45: all attempts, or those of one round ----------------
+    def _svt(self, scored: DataFrame, attempt: int | None = None) -> DataFrame:
+        plan = self.plan if attempt is None else self.plan.where(F.col("attempt") == attempt)
+        rows = (scored
+                .join(F.broadcast(plan.select("level", "attempt", "b_thr", "b", "c_att",
+                                              "k_att", "knn_att")), "level")
                 .join(F.broadcast(self.thresholds), ["level", "attempt"]))
         return svt(rows, self.seed)
 
+    def _rebuild(self, knn: DataFrame) -> DataFrame:
+        return rebuild(knn.select("pid", "level", "attempt", "pos", "seg"),
+                       keys=("pid", "level", "attempt"))
+
+    @cached_property
+    def svt(self) -> DataFrame:
+        return self._svt(self.scored)
+
     @cached_property
     def topk(self) -> DataFrame:
         return top_k(self.svt, self.seed, self.topk_noise)
@@ -149,34 +183,73 @@ class Chain:
 
     @cached_property
     def rebuilt(self) -> DataFrame:
-        return rebuild(self.knn.select("pid", "level", "attempt", "pos", "seg"),
-                       keys=("pid", "level", "attempt"))
+        return self._rebuild(self.knn)
 
     # -- O47 / O48 / O31 ----------------------------------------------------------
     @cached_property
-    def reviewed(self) -> DataFrame:
-        m = self.masked
-        tok_idf = (m.select("pid", "lang", "level", F.explode("orig_tokens").alias("token"))
-                    .join(self.idf_side(["lang", "token", F.col("nidf_q").alias("idf")]),
-                          ["lang", "token"]))
+    def required(self) -> DataFrame:
+        """Intent items and segment count per prompt, computed once for all rounds."""
+        tok_idf = (self.masked.select("pid", "lang", "level", F.explode("orig_tokens").alias("token"))
+                   .join(self.idf_side(["lang", "token", F.col("nidf_q").alias("idf")]),
+                         ["lang", "token"]))
         if not self.idf_broadcast:
-            tok_idf = tok_idf.repartition("pid")
-        req = required_items(tok_idf, keys=("pid", "level"))
-        att = (m.select("pid", "lang", "level", "orig_tokens")
-                .join(F.broadcast(self.plan.select("level", "attempt", "pass_score",
-                                                   "max_missing")), "level")
-                .join(self.rebuilt, ["pid", "level", "attempt"], "left")
-                .join(req, ["pid", "level"], "left")
-                .withColumn("simplified", F.coalesce("simplified", F.lit("")))
-                .withColumn("n_kept", F.coalesce("n_kept", F.lit(0)))
-                .withColumn("required", F.coalesce("required",
-                                                   F.array().cast("array<string>")))
-                .withColumn("simp_tokens", content_tokens("simplified", "lang")))
+            tok_idf = tok_idf.repartition(self.buckets, "pid")
+        items = required_items(tok_idf, keys=("pid", "level"))
+        counts = self.scored.groupBy("pid", "level").agg(F.max("n_seg").alias("n_seg"))
+        return self._stage(items.join(counts, ["pid", "level"], "full"), "required")
+
+    def round(self, attempt: int, failed: DataFrame | None = None) -> DataFrame:
+        """One attempt with its review, for all prompts or those of ``failed``."""
+        m, scored = self.masked, self.scored
+        if failed is not None:
+            m = m.join(failed, ["pid", "level"], "left_semi")
+            scored = scored.join(failed, ["pid", "level"], "left_semi")
+        kept = self._rebuild(knn_select(top_k(self._svt(scored, attempt), self.seed, self.topk_noise),
+                                        self.seed))
+        plan = self.plan.where(F.col("attempt") == attempt).select(
+            "level", "attempt", "pass_score", "max_missing", "b_thr", "b", "c_att")
+        att = (m.select(*KEYS, "orig_tokens", *(["cb", "wb", "pb"] if self.measure else []))
+               .join(F.broadcast(plan), "level")
+               .join(kept.drop("attempt"), ["pid", "level"], "left")
+               .join(self.required, ["pid", "level"], "left")
+               .withColumn("simplified", F.coalesce("simplified", F.lit("")))
+               .withColumn("n_kept", F.coalesce("n_kept", F.lit(0)))
+               .withColumn("required", F.coalesce("required", F.array().cast("array<string>")))
+               .withColumn("simp_tokens", content_tokens("simplified", "lang")))
+        # the privacy budget that the round's settings imply (SVT): threshold and hits
+        hits = F.greatest(F.lit(1), F.ceil(F.col("c_att") * F.coalesce("n_seg", F.lit(0))).cast("bigint"))
+        att = (att.withColumn("eps_threshold", (1 / F.col("b_thr")).cast("decimal(18,6)"))
+               .withColumn("eps_hits", (2 * hits / F.col("b")).cast("decimal(18,6)"))
+               .drop("b_thr", "b", "c_att", "n_seg"))
         return review(att)
 
+    @cached_property
+    def rounds(self) -> list[DataFrame]:
+        out: list[DataFrame] = []
+        failed = None
+        for attempt in range(1, self.attempts + 1):
+            out.append(self._stage(self.round(attempt, failed), f"round{attempt}"))
+            failed = out[-1].where(~F.col("passed")).select("pid", "level")
+        return out
+
+    @cached_property
+    def reviewed(self) -> DataFrame:
+        """The attempts that were run."""
+        return reduce(DataFrame.unionByName, self.rounds)
+
     @cached_property
     def chosen(self) -> DataFrame:
-        return pick_attempt(self.reviewed)
+        """The first passing attempt, else the last one; each prompt once, because a
+        prompt runs no further attempt once it passed."""
+        done = [r.where("passed") for r in self.rounds[:-1]] + [self.rounds[-1]]
+        return (reduce(DataFrame.unionByName, done)
+                .withColumn("simplified", strip_filler("simplified", "lang"))
+                .withColumn("status", F.when(F.col("passed"), F.lit(APPROVED)).otherwise(F.lit(REJECTED))))
+
+
+def pii_total(col) -> F.Column:
+    """All PII matches of a text."""
+    return reduce(lambda a, b: a + b, [c for _, c in class_counts(col)])
 
 
 def simplify_chain(base: DataFrame, policy: DataFrame, levels: list[str] | None = None,
@@ -185,3 +258,20 @@ def simplify_chain(base: DataFrame, policy: DataFrame, levels: list[str] | None
                    **kw) -> Chain:
     return Chain(base, policy, levels=levels, seed=seed, topk_noise=topk_noise, idf=idf,
                  attempts=attempts, **kw)
+
+
+def minimize(df: DataFrame, level: str | None = None, policy: DataFrame | None = None,
+             **kw) -> DataFrame:
+    """O49 on any table of prompts: clean-up, masking, typo correction, simplification and
+    review. ``df`` has pid and text, perhaps lang; the privacy level is ``level``, or the
+    column of that name. One row per prompt: pid, level, status, simplified, attempt,
+    similarity, missing, and the implied budget (eps_threshold, eps_hits)."""
+    from ..functions.text import clean_text
+    from ..operators.policy import policy_df
+    lang = F.col("lang") if "lang" in df.columns else F.lit(UNKNOWN_LANG)
+    base = df.select(F.col("pid").cast("string").alias("pid"), lang.alias("lang"),
+                     clean_text(F.coalesce("text", F.lit(""))).alias("text"),
+                     (F.col("level") if level is None else F.lit(level)).alias("level"))
+    chain = Chain(base, policy or policy_df(df.sparkSession), typos=True, **kw)
+    return chain.chosen.select("pid", "level", "status", "simplified", "attempt", "similarity",
+                               "missing", "eps_threshold", "eps_hits")

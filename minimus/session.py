@@ -8,9 +8,11 @@ runs and tests).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
@@ -20,37 +22,48 @@ def get_spark(master: str | None = None, app: str = "minimus",
               shuffle_partitions: int | None = None) -> SparkSession:
     """Session with the settings every job here assumes.
 
-    On a cluster, ``master`` stays None and the submitter's settings win; the
-    ones below are only defaults for local runs.
+    What the submitter or the running session sets wins; the values below only fill in
+    what is unset. The driver's memory is set for local runs alone.
     """
+    active = SparkSession.getActiveSession()
+    given = active.sparkContext.getConf() if active else SparkConf()
+    defaults = {
+        "spark.ui.enabled": "false",
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.execution.arrow.pyspark.enabled": "true",
+    }
+    if is_local(given.get("spark.master", master)):
+        defaults["spark.driver.memory"] = "16g"
+        defaults["spark.sql.shuffle.partitions"] = str(shuffle_partitions or os.cpu_count() or 8)
+    elif shuffle_partitions:
+        defaults["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     builder = SparkSession.builder.appName(app)
-    if master:
+    if master and not given.contains("spark.master"):
         builder = builder.master(master)
-    cores = os.cpu_count() or 8
-    builder = (
-        builder
-        .config("spark.ui.enabled", "false")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        # per-prompt joins are keyed (pid, ...) on data already hash-partitioned
-        # by pid (a high-cardinality key): let them reuse that partitioning
-        .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", "16g")
-    )
+    for key, value in defaults.items():
+        if not given.contains(key):
+            builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
 
 
+def is_local(master: str | None) -> bool:
+    """One machine: all tasks see the driver's folders."""
+    return master is not None and re.match(r"local(\[|$)", master) is not None
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only if unset."""
+    """Return the shared checkpoint folder. A local one is set only if the setting is
+    unset and the session runs on this machine alone; a cluster must name one."""
     path = spark.conf.get(CHECKPOINT_CONF, None)
     if not path:
+        if not is_local(spark.sparkContext.master):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="minimus-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, path)
     spark.sparkContext.setCheckpointDir(path)
@@ -87,6 +100,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Estimated input bytes that one bucket stands for.
+BUCKET_BYTES = 1 << 30
+
+
+def bucket_count(df: DataFrame, copies: int = 1) -> int:
+    """Buckets for tables derived from ``df``: one for each ``BUCKET_BYTES`` of what the
+    optimizer estimates for ``copies`` times its rows, and no fewer than the shuffle
+    partitions. A bucket is read by one task, so their number follows the input."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(MAX_BUCKETS, -(-size * copies // BUCKET_BYTES)))
+
+
+#: Spark refuses more buckets than this by default.
+MAX_BUCKETS = 100_000
+
+
 def bucketed_stage(df: DataFrame, key: str, name: str, buckets: int | None = None,
                    partitioned: bool = False) -> DataFrame:
     """Write ``df`` as a table bucketed by ``key`` under the shared checkpoint
@@ -96,7 +126,8 @@ def bucketed_stage(df: DataFrame, key: str, name: str, buckets: int | None = Non
     joins keyed by ``key`` (plus other columns) need no new shuffle.
     Rows are hash-partitioned into ``buckets`` first, so each task writes one
     file; ``partitioned=True`` skips that when ``df`` already comes from a
-    stage bucketed the same way (same key, same count).
+    stage bucketed the same way (same key, same count). The table leaves the catalog at
+    once; the returned frame keeps its files and bucketing.
     """
     spark = df.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -105,7 +136,10 @@ def bucketed_stage(df: DataFrame, key: str, name: str, buckets: int | None = Non
     src = df if partitioned else df.repartition(n, key)
     (src.write.bucketBy(n, key).format("parquet")
         .option("path", path).saveAsTable(table))
-    return spark.table(table)
+    staged = spark.table(table)
+    staged.schema  # analysed: bound to the files, not to the name
+    spark.sql(f"DROP TABLE {table}")
+    return staged
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
