@@ -115,7 +115,7 @@ def with_positions(rows: DataFrame, positions: DataFrame) -> DataFrame:
     """The texts that have positions, with them. Their ids filter the texts first, so
     that only those texts move."""
     ids = stage(positions.select("doc_id"), "place-ids")
-    return rows.join(small_side(ids), "doc_id", "left_semi").join(small_side(positions), "doc_id").select(
+    return rows.join(small_side(ids), "doc_id", "left_semi").join(positions, "doc_id").select(
         "doc_id", "row", "text", "positions")
 
 
@@ -162,11 +162,14 @@ def finish(docs: DataFrame, copies: DataFrame, removed: DataFrame, fn: Callable,
     ``fn(batches)`` over (doc_id, row, text, copy, positions, sizes)."""
     rows = with_rows(docs).unionByName(docs.where(F.col("doc_id").isNull()).select(
         F.col("doc_id").cast("long"), F.lit(0).cast("long").alias("row"), F.coalesce("text", F.lit("")).alias("text")))
-    rows = (rows.join(small_side(copies.withColumn("copy", F.lit(True))), ["doc_id", "row"], "left")
-            .join(small_side(removed), "doc_id", "left"))
-    return map_batches(rows.select("doc_id", "row", "text", F.coalesce("copy", F.lit(False)).alias("copy"),
-                                   F.coalesce("positions", F.array().cast("array<long>")).alias("positions"),
-                                   F.coalesce("sizes", F.array().cast("array<int>")).alias("sizes")), fn, schema)
+    rows = rows.join(small_side(copies.withColumn("copy", F.lit(True))), ["doc_id", "row"], "left").select(
+        "doc_id", "row", "text", F.coalesce("copy", F.lit(False)).alias("copy"))
+    # only the texts that something is removed from meet the spans
+    ids = stage(removed.select("doc_id"), "removed-ids")
+    cut = rows.join(small_side(ids), "doc_id", "left_semi").join(removed, "doc_id")
+    whole = rows.join(small_side(ids), "doc_id", "left_anti").select(
+        "*", F.array().cast("array<long>").alias("positions"), F.array().cast("array<int>").alias("sizes"))
+    return map_batches(cut.unionByName(whole).select("doc_id", "row", "text", "copy", "positions", "sizes"), fn, schema)
 
 
 def row_spans(b: pa.RecordBatch, i: int, row: int) -> tuple[np.ndarray, np.ndarray]:

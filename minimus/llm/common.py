@@ -15,7 +15,7 @@ from ..session import scratch_path, ship_package
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Text bytes that one numpy step handles at a time.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 768 << 10
 
 #: Bytes (as written) up to which a measured side is broadcast.
 BROADCAST_BYTES = 8 << 20
@@ -76,7 +76,7 @@ def ints(col: pa.Array) -> np.ndarray:
 
 
 #: Bytes of one Arrow batch on its way to a Python worker.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 6 << 20
 
 
 def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:

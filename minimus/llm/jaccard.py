@@ -15,7 +15,9 @@ least 85 % of the union. Equal sets are one node from the start. Then:
   pivot have its answers: within a component nothing more is asked. Then only pairs from
   different components that share a list are compared, and a pair whose distances to a
   common pivot differ by more than a link allows is skipped too (Jaccard distance obeys
-  the triangle inequality). No link between components can be lost this way.
+  the triangle inequality), as is a pair whose parity maps (one bit per hashed shingle,
+  flipped by each) differ in more bits than linked sets have unshared shingles. No link
+  between components can be lost this way.
 
 A comparison brings one text to the other's; a pivot with many partners is repeated over
 salted groups of bounded size.
@@ -47,6 +49,8 @@ CHUNK = 1 << 15
 #: Partners that a group compares with one text, and rows that one merge step adds up.
 PARTNERS = 128
 MERGE = 64
+#: Bits of a set's parity map.
+PARITY = 512
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, size: int = SHINGLE):
@@ -66,7 +70,8 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, size: int = SHINGLE):
 
 
 def fingerprints(rows: DataFrame) -> DataFrame:
-    """The rows' columns but text, with n (set size) and a 128-bit fingerprint of the set."""
+    """The rows' columns but text, with n (set size), a 128-bit fingerprint of the set and
+    its parity map."""
     names = [c for c in rows.columns if c != "text"]
 
     def run(batches):
@@ -80,12 +85,16 @@ def fingerprints(rows: DataFrame) -> DataFrame:
                     np.cumsum(mix(h, seed), out=total[1:])
                     edge = np.concatenate([[0], np.cumsum(n)])
                     sums.append(mix(total[edge[1:]] - total[edge[:-1]], seed).view(np.int64))
+                bit = (mix(h, 5) % np.uint64(PARITY)).astype(np.int64)
+                odd = np.bincount(doc * PARITY + bit, minlength=(j - i) * PARITY) & 1
+                maps = np.packbits(odd.astype(np.uint8).reshape(j - i, PARITY), axis=1)
                 yield pa.RecordBatch.from_arrays(
                     [*(b.column(c).slice(i, j - i) for c in names), pa.array(n, pa.int64()),
-                     *(pa.array(s, pa.int64()) for s in sums)], [*names, "n", "f1", "f2"])
+                     *(pa.array(s, pa.int64()) for s in sums),
+                     pa.array([m.tobytes() for m in maps], pa.binary())], [*names, "n", "f1", "f2", "parity"])
 
     kinds = ", ".join(f"{c} long" for c in names)
-    return map_batches(rows.select(*names, "text"), run, f"{kinds}, n long, f1 long, f2 long")
+    return map_batches(rows.select(*names, "text"), run, f"{kinds}, n long, f1 long, f2 long, parity binary")
 
 
 def shingle_counts(rows: DataFrame) -> np.ndarray:
@@ -97,7 +106,7 @@ def shingle_counts(rows: DataFrame) -> np.ndarray:
         for b in batches:
             for _, _, data, off in text_parts(b.column("text")):
                 _, h = shingle_sets(data, off)
-                total += np.bincount((h & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
+                np.add.at(total, (h & np.uint64(SKETCH - 1)).astype(np.int64), np.uint32(1))
         if total.any():
             part = TaskContext.get().partitionId()
             for c in range(SKETCH // CHUNK):
@@ -220,13 +229,13 @@ def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def open_pairs(lists: DataFrame) -> DataFrame:
     """(a, b): pairs of nodes of different components that share a list and may be linked.
-    ``lists``: (tok, n, pos, nid, comp, pivot, dist), with all rows of a shingle."""
+    ``lists``: (tok, n, pos, nid, comp, pivot, dist, parity), with all rows of a shingle."""
     n = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    columns = ["tok", "n", "pos", "nid", "comp", "pivot", "dist"]
+    columns = ["tok", "n", "pos", "nid", "comp", "pivot", "dist", "parity"]
     ordered = lists.select(columns).repartition(n, "tok").sortWithinPartitions("tok", "n", "pos", "nid")
 
     def pairs_of(x):
-        size, pos, nid, comp, pivot, dist = (x[c] for c in columns[1:])
+        size, pos, nid, comp, pivot, dist, parity = (x[c] for c in columns[1:])
         values, at, many = np.unique(comp, return_inverse=True, return_counts=True)
         outside = np.flatnonzero(at != many.argmax())
         new = np.ones(len(size), bool)
@@ -247,13 +256,16 @@ def open_pairs(lists: DataFrame) -> DataFrame:
             ok &= ~((pivot[j] == pivot[i]) & (np.abs(dist[j] - dist[i]) > 1 - NUM / DEN + 1e-9))
             ok &= (pivot[j] != nid[i]) & (pivot[i] != nid[j])  # compared before
             j = j[ok]
+            apart = np.bitwise_count(parity[j] ^ parity[i]).sum(axis=1)
+            j = j[apart <= size[i] + size[j] - 2 * need(size[i], size[j])]
             if len(j):
                 yield np.minimum(nid[i], nid[j]), np.maximum(nid[i], nid[j])
 
     def run(batches):
         held = None
         for b in batches:
-            x = {c: b.column(c).to_numpy(zero_copy_only=False) for c in columns}
+            x = {c: b.column(c).to_numpy(zero_copy_only=False) for c in columns[:-1]}
+            x["parity"] = np.frombuffer(b"".join(b.column("parity").to_pylist()), np.uint64).reshape(b.num_rows, -1)
             if held is not None:
                 x = {c: np.concatenate([held[c], x[c]]) for c in columns}
             if not len(x["tok"]):
@@ -303,9 +315,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
               .withColumn("comp", F.coalesce("root", "nid")))
     mixed = marked.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tok")
     dist = known.select(F.col("a").alias("nid"), F.col("b").alias("pivot"), (1 - F.col("shared") / F.col("together")).alias("dist"))
-    marked = (marked.join(mixed, "tok").join(dist, "nid", "left")
+    maps = nodes.select("nid", "doc_id", "row").join(sets.select("doc_id", "row", "parity").dropDuplicates(["doc_id", "row"]),
+                                                     ["doc_id", "row"]).select("nid", "parity")
+    marked = (marked.join(mixed, "tok").join(dist, "nid", "left").join(maps, "nid")
               .select("tok", "n", "pos", "nid", "comp", F.coalesce("pivot", "nid").alias("pivot"),
-                      F.coalesce("dist", F.lit(0.0)).alias("dist")))
+                      F.coalesce("dist", F.lit(0.0)).alias("dist"), "parity"))
     more = compare(stage(open_pairs(marked), "open-pairs"), texts)
     links = links.unionByName(more.where(linked).select(F.col("a").alias("u"), F.col("b").alias("v")))
     roots = components(links)
