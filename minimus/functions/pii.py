@@ -77,6 +77,11 @@ def luhn_ok(x: Column) -> Column:
                   F.call_function("luhn_check", x)).otherwise(F.lit(False))
 
 
+def _let(value: Column, fn) -> Column:
+    """fn(value) with ``value`` written once in the expression, however often fn uses it."""
+    return F.get(F.transform(F.array(value), fn), 0)
+
+
 def _mask_luhn_cards(t: Column, orig: Column) -> Column:
     pieces = F.transform(
         F.regexp_extract_all(t, F.lit(RUNS), 0),
@@ -96,12 +101,15 @@ def mask_pii(c, level) -> Column:
     holding the level per row. A missing or unknown level masks like 'high'.
     """
     lv = F.lit(level) if level in LEVELS else col_of(level)
-    o = col_of(c)
-    t = _sub(_sub(o, "secret", o), "email", o)
-    t = F.when(lv == "low", _mask_luhn_cards(t, o)).otherwise(_sub(t, "card", o))
-    t = _sub(t, "phone", o)
-    t = F.when(lv == "low", t).otherwise(_sub(t, "ip", o))
-    return F.when(lv.isin("low", "medium"), t).otherwise(_sub(t, "number", o))
+
+    def mask(o: Column) -> Column:
+        t = _let(_sub(o, "secret", o), lambda x: _sub(x, "email", o))
+        t = _let(t, lambda x: F.when(lv == "low", _mask_luhn_cards(x, o)).otherwise(_sub(x, "card", o)))
+        t = _let(t, lambda x: _sub(x, "phone", o))
+        t = _let(t, lambda x: F.when(lv == "low", x).otherwise(_sub(x, "ip", o)))
+        return _let(t, lambda x: F.when(lv.isin("low", "medium"), x).otherwise(_sub(x, "number", o)))
+
+    return _let(col_of(c), mask)
 
 
 def vocabulary_text(c) -> Column:
@@ -151,6 +159,10 @@ def _sql_sub(t: str, cls: str) -> str:
 def sql_mask_pii(e: str, level: str) -> str:
     """``level`` is a SQL expression (a column or a quoted literal)."""
     t = _sql_sub(_sql_sub(e, "secret"), "email")
+    if level == "'high'":
+        for cls in ("card", "phone", "ip", "number"):
+            t = _sql_sub(t, cls)
+        return t
     runs = f"regexp_extract_all({t}, {_sql_lit(RUNS)})"
     luhn = (f"array_to_string(list_transform({runs}, lambda x: CASE WHEN regexp_full_match(x, '[0-9]{{13,}}') "
             f"THEN (CASE WHEN {sql_luhn_ok('x')} THEN '<CARD>' ELSE x END) ELSE x END), '')")

@@ -5,12 +5,12 @@ under cosine distance with Laplace noise.
 ``'vector'`` perturbs each query coordinate with Lap(scale) first (in the spirit
 of Feyisetan et al. 2020) and ranks exactly. Ties by base id.
 
-Plan: the query set is small by contract -- it is checked against
-``MAX_QUERIES`` and shipped inside the expression as a literal, so every base
-row scores all queries locally (no join, no shuffle of the base). The per-query
-top-k is a ``row_number() <= k`` filter, which Catalyst turns into a partial
-WindowGroupLimit before the shuffle: each task forwards at most k rows per
-query, so a query's group never holds the base table.
+Plan: every base row is scored against every query by definition, so the work is queries
+times base rows. Neither side is collected or broadcast by us: base rows are hashed over
+shards, queries are repeated per shard, and the two meet in an equi-join on the shard. The
+per-query top-k is a ``row_number() <= k`` filter, which Catalyst turns into a partial
+WindowGroupLimit before the shuffle: each task forwards at most k rows per query, so a
+query's group never holds the base table.
 """
 
 from __future__ import annotations
@@ -20,8 +20,6 @@ from pyspark.sql import functions as F
 
 from ..functions.noise import laplace
 
-MAX_QUERIES = 4096
-
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
@@ -52,20 +50,16 @@ def noisy_knn(queries: DataFrame, base: DataFrame, k: int, scale: float, seed: i
             scale, seed, F.lit("vec"), F.col("qid"), i)))
     elif noise_on != "distance":
         raise ValueError("noise_on must be 'distance' or 'vector'")
-    n = qs.count()
-    if n > MAX_QUERIES:
-        raise ValueError(f"{n} query vectors; at most {MAX_QUERIES} are scored per pass")
-    rows = qs.collect()
-    qlit = F.array(*[F.struct(F.lit(r["qid"]).alias("qid"),
-                              F.array(*[F.lit(float(x)) for x in r["q"]]).alias("q"))
-                     for r in rows])
+    shards = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    qs = qs.withColumn("qn", F.sqrt(dot(F.col("q"), F.col("q")))).withColumn(
+        "shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     b = base.select(F.col(bid).alias("vec_id"), as_double_array(bvec).alias("v"))
-    b = b.withColumn("vn", F.sqrt(dot(F.col("v"), F.col("v"))))
-    scored = b.select("vec_id", "v", "vn", F.explode(qlit).alias("qq"))
-    cos = dot(F.col("qq.q"), F.col("v")) / (F.sqrt(dot(F.col("qq.q"), F.col("qq.q"))) * F.col("vn"))
-    dist = F.lit(1.0) - cos
+    b = b.withColumn("vn", F.sqrt(dot(F.col("v"), F.col("v")))).withColumn(
+        "shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    scored = b.join(qs, "shard")
+    dist = F.lit(1.0) - dot(F.col("q"), F.col("v")) / (F.col("qn") * F.col("vn"))
     if noise_on == "distance":
-        dist = dist + laplace(scale, seed, F.lit("knn"), F.col("qq.qid"), F.col("vec_id"))
-    d = scored.select(F.col("qq.qid").alias("qid"), "vec_id", dist.alias("distance"))
+        dist = dist + laplace(scale, seed, F.lit("knn"), F.col("qid"), F.col("vec_id"))
+    d = scored.select("qid", "vec_id", dist.alias("distance"))
     w = Window.partitionBy("qid").orderBy("distance", "vec_id")
     return (d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.pii import sql_mask_pii
 from ..functions.text import (clean_text, clock, epoch_millis_ntz, js_trim, sql_clean_text,
                               sql_clock, sql_js_trim, sql_lit, sql_word_count, word_count)
 from ..operators import messages as M
@@ -12,12 +13,13 @@ from ..operators.admission import single_flight
 from ..operators.asof import asof_backward, pair_turns
 from ..schema import REQUEST, RESPONSE
 from ..sources.json_io import decode_request, encode_request
-from ..sources.messages import SQL_CHAT_LOG, chat_log
+from ..sources.messages import SQL_CHAT_LOG, chat_log, other_turns
 from ..sources.tables import read_table
 from .catalog import register
 from .history import conversation_stats, simplify_history
 
-LOG_SQL = SQL_CHAT_LOG.format(clean_prev=sql_clean_text("lag(text) OVER w"))
+LOG_SQL = SQL_CHAT_LOG.format(
+    clean_prev=sql_mask_pii(sql_clean_text("lag(text) OVER w"), "'high'"))
 WITH_LOG = f"WITH log AS ({LOG_SQL})\n"
 
 
@@ -32,6 +34,14 @@ def q_messages_scan(spark: SparkSession, sf: str) -> DataFrame:
                                 "simplify", "simplified_message"))
 
 
+@register("other_turns", """
+SELECT role, count(*) AS n FROM conversations
+WHERE role IS NULL OR role NOT IN ('user', 'assistant') GROUP BY role""")
+def q_other_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """The turns that the chat log leaves out, counted by role."""
+    return other_turns(read_table(spark, sf, "conversations", ["role"]))
+
+
 @register("trimmed_prompts", WITH_LOG + f"""
 SELECT conv_id, turn, 'user' AS role, {sql_js_trim('content')} AS content,
        (epoch_us(ts) // 1000) AS ts_ms, simplify

@@ -26,13 +26,13 @@ def _log_files(spark: SparkSession, sf: str) -> str:
 
 @register("stream_sanitize", WITH_LOG + f"""
 SELECT conv_id, turn, coalesce(simplify, 'medium') AS level,
+       coalesce(simplify, 'medium') IN ('low', 'medium', 'high') AS level_ok,
        {sql_mask_pii(sql_clean_text(sql_js_trim('content')), "coalesce(simplify, 'medium')")} AS masked
-FROM log WHERE role = 'user' AND {sql_js_trim('content')} <> ''
-  AND coalesce(simplify, 'medium') IN ('low', 'medium', 'high')""")
+FROM log WHERE role = 'user' AND {sql_js_trim('content')} <> ''""")
 def q_stream_sanitize(spark: SparkSession, sf: str) -> DataFrame:
-    """O52."""
+    """O52; prompts with an unknown level are kept apart (level_ok)."""
     src = read_message_stream(spark, _log_files(spark, sf))
-    return run_to_table(sanitize_stream(src), spark, "stream-sanitize")
+    return run_to_table(sanitize_stream(src), spark, "stream-sanitize", partition_by="level_ok")
 
 
 @register("stream_single_flight")

@@ -104,13 +104,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 BUCKET_BYTES = 1 << 30
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Estimated bytes of what ``df`` reads: the sum over the leaves of its plan. Leaves of
+    unknown size (local rows, RDDs) count as nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 62)
+
+
 def bucket_count(df: DataFrame, copies: int = 1) -> int:
-    """Buckets for tables derived from ``df``: one for each ``BUCKET_BYTES`` of what the
-    optimizer estimates for ``copies`` times its rows, and no fewer than the shuffle
-    partitions. A bucket is read by one task, so their number follows the input."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Buckets for tables derived from ``df``: one for each ``BUCKET_BYTES`` of what it
+    reads, ``copies`` times, and no fewer than the shuffle partitions. A bucket is read by
+    one task, so their number follows the input."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(MAX_BUCKETS, -(-size * copies // BUCKET_BYTES)))
+    return max(least, min(MAX_BUCKETS, -(-input_bytes(df) * copies // BUCKET_BYTES)))
 
 
 #: Spark refuses more buckets than this by default.

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.pii import mask_pii
 from ..functions.text import clean_text
 from ..operators.asof import lag_value, turn_bucket
 from ..schema import MESSAGE
@@ -41,13 +42,15 @@ def messages_from_conversations(conversations: DataFrame) -> DataFrame:
 
     * user rows: ``simplify`` = one of low/medium/high chosen by (conv_id + turn);
     * assistant rows: ``simplified_message`` = cleaned text of the user prompt
-      right before, NULL when there is none or the reply is an error reply
-      (every 7th (conv_id + turn)).
+      right before, masked at 'high', NULL when there is none or the reply is an
+      error reply (every 7th (conv_id + turn)). Clean-up and masking run where the
+      turns are scanned, so the unmasked prompt does not travel to its reply.
     """
     msgs = conversations.select("conv_id", "turn", "role", "text").where(
         F.col("role").isin("user", "assistant"))
     # previous row of the conversation, by a two-level (bucketed) scan
-    msgs = lag_value(msgs.withColumn("__rt", F.struct("role", "text")),
+    shown = F.when(F.col("role") == "user", mask_pii(clean_text("text"), "high"))
+    msgs = lag_value(msgs.withColumn("__rt", F.struct("role", shown.alias("text"))),
                      "conv_id", "turn", "__rt", "__prev", turn_bucket("turn"))
     prev_role = F.col("__prev.role")
     prev_text = F.col("__prev.text")
@@ -58,7 +61,7 @@ def messages_from_conversations(conversations: DataFrame) -> DataFrame:
                   .when(prev_role != "user", F.lit(None).cast("string"))
                   .when(F.pmod(F.col("conv_id") + F.col("turn"), F.lit(7)) == 0,
                         F.lit(None).cast("string"))
-                  .otherwise(clean_text(prev_text)))
+                  .otherwise(prev_text))
     return msgs.select(
         "conv_id", "turn", "role",
         F.col("text").alias("content"),
@@ -68,6 +71,13 @@ def messages_from_conversations(conversations: DataFrame) -> DataFrame:
     )
 
 
+def other_turns(conversations: DataFrame) -> DataFrame:
+    """The turns that a chat log has no place for (``system``, unknown and missing roles),
+    counted by role: what ``messages_from_conversations`` leaves out."""
+    return (conversations.where(F.col("role").isNull() | ~F.col("role").isin("user", "assistant"))
+            .groupBy("role").agg(F.count(F.lit(1)).alias("n")))
+
+
 def chat_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages_from_conversations(
         read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"]))

@@ -3,10 +3,12 @@
 O52 sanitize (stateless): the same Column functions as the batch jobs.
 O53 single-flight and O54 simplify history (stateful): one state row per
 conversation kept by ``applyInPandasWithState`` -- a busy flag, or the last
-user prompt's time. State is dropped after ``STATE_TIMEOUT_MS`` without activity
-(processing time), so it stays bounded by the number of live conversations.
-Within a micro-batch a conversation's rows are put in turn order first; across
-micro-batches the source is expected to deliver turns in order.
+user prompt's time. State has no timeout: dropping it after a pause would change
+the answers, so it holds one number for each conversation of the log (on a cluster
+in the RocksDB state store, on disk). Within a micro-batch a conversation's rows are put in
+turn order first; across micro-batches the source is expected to deliver turns in order.
+A conversation's rows of one micro-batch are one frame, so ``files_per_trigger`` bounds
+what a task holds.
 """
 
 from __future__ import annotations
@@ -20,10 +22,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.pii import mask_pii
 from ..functions.text import clean_text, clock, is_blank, js_trim
+from ..operators.messages import level_checked
 from ..schema import MESSAGE
 from ..session import scratch_path, ship_package
 
-STATE_TIMEOUT_MS = 3_600_000   # one hour without activity
+FILES_PER_TRIGGER = 64
 
 ADMIT_SCHEMA = "conv_id long, turn long, content string"
 ADMIT_STATE = "busy boolean"
@@ -31,41 +34,33 @@ HISTORY_SCHEMA = "conv_id long, turn long, simplified_message string, display_ts
 HISTORY_STATE = "last_user_ms long"
 
 
-def read_message_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None):
-    r = spark.readStream.schema(MESSAGE)
-    if files_per_trigger:
-        r = r.option("maxFilesPerTrigger", files_per_trigger)
-    return r.parquet(path)
+def read_message_stream(spark: SparkSession, path: str,
+                        files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
+    return (spark.readStream.schema(MESSAGE).option("maxFilesPerTrigger", files_per_trigger)
+            .parquet(path))
 
 
 def sanitize_stream(sdf: DataFrame) -> DataFrame:
-    """Trim, drop blank, default the level, clean and mask arriving prompts."""
-    users = sdf.where(F.col("role") == "user")
-    t = users.where(~is_blank("content"))
-    lv = F.coalesce(F.col("simplify"), F.lit("medium"))
-    t = t.withColumn("level", lv).where(F.col("level").isin("low", "medium", "high"))
-    return t.select("conv_id", "turn", "level",
-                    mask_pii(clean_text(js_trim("content")), "level").alias("masked"))
+    """Trim, drop blank, default the level, clean and mask arriving prompts. Rows
+    with an unknown level stay, masked like 'high', with ``level_ok`` false: the sink
+    puts them in a folder of their own (quarantine)."""
+    t = level_checked(sdf.where((F.col("role") == "user") & ~is_blank("content")))
+    return t.select("conv_id", "turn", F.col("simplify").alias("level"), "level_ok",
+                    mask_pii(clean_text(js_trim("content")), "simplify").alias("masked"))
+
+
+def _in_order(pdfs: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    return pd.concat(list(pdfs)).sort_values("turn", kind="stable").reset_index(drop=True)
 
 
 def _single_flight(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-    if state.hasTimedOut:
-        state.remove()
+    rows = _in_order(pdfs)
+    if rows.empty:
         return
-    busy = bool(state.get[0]) if state.exists else False
-    rows = pd.concat(list(pdfs)).sort_values("turn")
-    keep = []
-    for role, turn, content in zip(rows["role"], rows["turn"], rows["content"]):
-        if role == "user":
-            if not busy:
-                keep.append((key[0], turn, content))
-            busy = True
-        elif role == "assistant":
-            busy = False
-    state.update((busy,))
-    state.setTimeoutDuration(STATE_TIMEOUT_MS)
-    if keep:
-        yield pd.DataFrame(keep, columns=["conv_id", "turn", "content"])
+    # busy before a row: the row before it (or the state) was a prompt
+    busy = (rows["role"] == "user").shift(1, fill_value=bool(state.get[0]) if state.exists else False)
+    state.update((bool(rows["role"].iloc[-1] == "user"),))
+    yield rows.loc[(rows["role"] == "user") & ~busy].assign(conv_id=key[0])[["conv_id", "turn", "content"]]
 
 
 def single_flight_stream(sdf: DataFrame) -> DataFrame:
@@ -75,28 +70,25 @@ def single_flight_stream(sdf: DataFrame) -> DataFrame:
         "conv_id", "turn", "role", "content")
     return msgs.groupBy("conv_id").applyInPandasWithState(
         _single_flight, ADMIT_SCHEMA, ADMIT_STATE, "append",
-        GroupStateTimeout.ProcessingTimeTimeout)
+        GroupStateTimeout.NoTimeout)
 
 
 def _history(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-    if state.hasTimedOut:
-        state.remove()
+    rows = _in_order(pdfs)
+    if rows.empty:
         return
-    last = state.get[0] if state.exists else None
-    rows = pd.concat(list(pdfs)).sort_values("turn")
-    out = []
-    for role, turn, ts_ms, simp in zip(rows["role"], rows["turn"], rows["ts_ms"],
-                                       rows["simplified_message"]):
-        if role == "assistant" and simp is not None and not (isinstance(simp, float)):
-            out.append((key[0], turn, simp, last if last is not None else ts_ms))
-        if role == "user":
-            last = int(ts_ms)
-    if last is not None:
+    asked = rows["ts_ms"].where(rows["role"] == "user").astype("Int64")
+    if state.exists:
+        asked = pd.concat([pd.Series([state.get[0]], dtype="Int64"), asked], ignore_index=True).ffill()
+        last, before = asked.iloc[-1], asked.iloc[:-1]
+    else:
+        asked = asked.ffill()
+        last, before = asked.iloc[-1], asked.shift(1)
+    if pd.notna(last):
         state.update((int(last),))
-    state.setTimeoutDuration(STATE_TIMEOUT_MS)
-    if out:
-        yield pd.DataFrame(out, columns=["conv_id", "turn", "simplified_message",
-                                         "display_ts_ms"])
+    rows["display_ts_ms"] = before.fillna(rows["ts_ms"].astype("Int64"))
+    shown = rows.loc[(rows["role"] == "assistant") & rows["simplified_message"].notna()]
+    yield shown.assign(conv_id=key[0])[["conv_id", "turn", "simplified_message", "display_ts_ms"]]
 
 
 def history_stream(sdf: DataFrame) -> DataFrame:
@@ -107,29 +99,21 @@ def history_stream(sdf: DataFrame) -> DataFrame:
         "conv_id", "turn", "role", epoch_millis_ntz("ts").alias("ts_ms"), "simplified_message")
     out = msgs.groupBy("conv_id").applyInPandasWithState(
         _history, HISTORY_SCHEMA, HISTORY_STATE, "append",
-        GroupStateTimeout.ProcessingTimeTimeout)
+        GroupStateTimeout.NoTimeout)
     shown = F.timestamp_add("MILLISECOND", F.col("display_ts_ms"),
                             F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
     return out.withColumn("clock", clock(shown))
 
 
-def run_to_table(sdf: DataFrame, spark: SparkSession, name: str) -> DataFrame:
+def run_to_table(sdf: DataFrame, spark: SparkSession, name: str,
+                 partition_by: str | None = None) -> DataFrame:
     """Drain a stream (available-now trigger) into Parquet under the shared
-    checkpoint folder and read the result back as a batch DataFrame.
-
-    No-data micro-batches are switched off for the drain: with processing-time
-    state timeouts they would otherwise keep the available-now query running
-    ("cleaning up state") after the input is consumed."""
+    checkpoint folder and read the result back as a batch DataFrame."""
     out = scratch_path(spark, name)
-    ckpt = scratch_path(spark, name + "-ckpt")
-    key = "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = spark.conf.get(key, "true")
-    spark.conf.set(key, "false")
-    try:
-        q = (sdf.writeStream.format("parquet").option("path", out)
-                .option("checkpointLocation", ckpt).outputMode("append")
-                .trigger(availableNow=True).start())
-        q.awaitTermination()
-    finally:
-        spark.conf.set(key, before)
-    return spark.read.parquet(out)
+    writer = sdf.writeStream.format("parquet").option("path", out)
+    if partition_by:
+        writer = writer.partitionBy(partition_by)
+    q = (writer.option("checkpointLocation", scratch_path(spark, name + "-ckpt"))
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.schema(sdf.schema).parquet(out)

@@ -16,7 +16,6 @@ def spark():
          .config("spark.sql.shuffle.partitions", "8")
          .config("spark.ui.enabled", "false")
          .config("spark.sql.session.timeZone", "UTC")
-         .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
          .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="minimus-test-ckpt-"))
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")

@@ -2,6 +2,8 @@
 import contextlib
 import io
 
+import pytest
+
 import __spark_entry__ as E
 from minimus.plans.queries_text import document_chain
 
@@ -14,9 +16,10 @@ def _plan(df) -> str:
 
 
 def test_chain_reuses_pid_buckets(spark, sf):
-    ch = document_chain(spark, sf)
-    plan = _plan(ch.chosen)
+    ch = document_chain(spark, sf)  # in a session without settings of ours
+    plan = _plan(ch.round(1))
     assert "Bucketed: true" in plan
+    assert "Exchange" not in _plan(ch.chosen)
     # after the masked stage the only shuffles are the tiny score histogram
     # (keyed by level); nothing re-partitions the per-prompt rows
     for line in plan.splitlines():
@@ -42,3 +45,53 @@ def test_no_cross_joins_anywhere(spark, sf):
                  "conversation_stats", "pii_findings"]:
         plan = _plan(E.queries()[name](spark, sf))
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_stage_tables_leave_the_catalog(spark, sf):
+    document_chain(spark, sf).masked.count()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("minimus_stage")]
+
+
+def test_buckets_follow_the_input(spark, sf, monkeypatch):
+    from minimus import session
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert session.bucket_count(docs) == least
+    monkeypatch.setattr(session, "BUCKET_BYTES", 1000)
+    n = session.bucket_count(docs)
+    assert n > least and session.bucket_count(docs, 3) > 2 * n
+    monkeypatch.setattr(session, "MAX_BUCKETS", 50)
+    assert session.bucket_count(docs) == 50
+
+
+def test_cluster_needs_a_shared_folder():
+    from minimus import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="share"):
+        session.ensure_checkpoint_dir(Session())
+    assert session.is_local("local[4]") and session.is_local("local")
+    assert not session.is_local("local-cluster[2,1,1024]") and not session.is_local(None)
+
+
+def test_running_settings_win(spark):
+    from minimus.session import get_spark
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    get_spark(shuffle_partitions=777)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_public_view_moves_no_raw_text(spark, sf):
+    plan = E.queries()["public_view"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    import re
+    for exchange in re.findall(r"Exchange hashpartitioning[^\n]*\n\s*\+- [^\n]*", plan):
+        assert not re.search(r"(?<![_a-z.])text#", exchange.split("AS")[0]), exchange

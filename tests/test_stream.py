@@ -41,4 +41,44 @@ def test_history_stream(spark, two_batches):
 def test_sanitize_stream(spark, two_batches):
     log, root = two_batches
     got = run_to_table(sanitize_stream(_stream(spark, root)), spark, "t-san")
-    assert got.count() == log.where("role = 'user'").count()
+    want = sanitize_stream(log)  # the same functions on the batch form
+    assert sorted(got.collect()) == sorted(want.collect())
+    assert got.count() == log.where("role = 'user'").count() and got.where("NOT level_ok").isEmpty()
+
+
+def _odd_log(spark):
+    import datetime as dt
+
+    from minimus.schema import MESSAGE
+    t = dt.datetime(2024, 1, 1, 10)
+    rows = [(1, 0, "user", "a 123456", t, "HIGH", None), (1, 1, "user", "b", t + dt.timedelta(hours=3), None, None),
+            (1, 2, "assistant", "c", t + dt.timedelta(hours=6), None, "s"),
+            (2, 0, "assistant", "first", t, None, "own clock"), (2, 1, "assistant", "x", t, None, None),
+            (2, 2, "user", "y", t + dt.timedelta(hours=9), "low", None),
+            (2, 3, "assistant", "z", t + dt.timedelta(hours=12), None, "")]
+    return spark.createDataFrame(rows, MESSAGE)
+
+
+def test_long_pauses_and_unknown_levels(spark):
+    """Micro-batches hours apart, one row each: the stream equals the batch."""
+    log = _odd_log(spark)
+    root = scratch_path(spark, "pauses")
+    for i, r in enumerate(sorted(log.collect(), key=lambda r: (r.turn, r.conv_id))):
+        log.where((F.col("conv_id") == r.conv_id) & (F.col("turn") == r.turn)).coalesce(1).write.parquet(f"{root}/part={i}")
+    got = run_to_table(single_flight_stream(_stream(spark, root)), spark, "t-sf2")
+    assert sorted(got.collect()) == sorted(single_flight(log).select("conv_id", "turn", "content").collect())
+    got = run_to_table(history_stream(_stream(spark, root)), spark, "t-hist2")
+    cols = ["conv_id", "turn", "simplified_message", "display_ts_ms", "clock"]
+    assert sorted(got.select(*cols).collect()) == sorted(simplify_history(log).select(*cols).collect())
+    got = run_to_table(sanitize_stream(_stream(spark, root)), spark, "t-san2", partition_by="level_ok")
+    rows = {(r.conv_id, r.turn): (r.level, r.level_ok, r.masked) for r in got.collect()}
+    assert rows == {(1, 0): ("HIGH", False, "a <NUM>"), (1, 1): ("medium", True, "b"), (2, 2): ("low", True, "y")}
+
+
+def test_hot_conversation_over_turn_buckets(spark):
+    log = spark.range(10_000).select(
+        F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") % 3 == 2, "assistant").otherwise("user").alias("role"), F.lit("t").alias("content"))
+    many = single_flight(log, bucket_size=512).select("turn")
+    one = single_flight(log, bucket_size=None).select("turn")
+    assert sorted(many.collect()) == sorted(one.collect()) and one.count() > 3000
