@@ -12,7 +12,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark import SparkConf
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
@@ -26,6 +26,8 @@ def get_spark(master: str | None = None, app: str = "minimus",
     what is unset. The driver's memory is set for local runs alone.
     """
     active = SparkSession.getActiveSession()
+    if not active and "PYSPARK_GATEWAY_PORT" in os.environ:  # started by spark-submit
+        SparkContext._ensure_initialized()  # SparkConf() then reads the submitted settings
     given = active.sparkContext.getConf() if active else SparkConf()
     defaults = {
         "spark.ui.enabled": "false",
