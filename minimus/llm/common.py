@@ -35,14 +35,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def written_bytes(staged: DataFrame) -> int:
-    """Bytes of the files behind a staged table."""
+    """Bytes in the folders behind a staged table."""
     jvm = staged.sparkSession._jvm
     conf = staged.sparkSession._jsc.hadoopConfiguration()
-    total = 0
-    for f in staged.inputFiles():
-        p = jvm.org.apache.hadoop.fs.Path(f)
-        total += p.getFileSystem(conf).getFileStatus(p).getLen()
-    return total
+    folders = {f.rsplit("/", 1)[0] for f in staged.inputFiles()}
+    paths = [jvm.org.apache.hadoop.fs.Path(f) for f in folders]
+    return sum(p.getFileSystem(conf).getContentSummary(p).getLength() for p in paths)
 
 
 def small_side(staged: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
