@@ -46,13 +46,14 @@ def test_typo_join_equals_brute_force(spark, sf):
 
 
 def test_typo_rewrite_keeps_separators(spark):
-    docs = spark.createDataFrame([("d1", "Helo, world!\nhelo"), ("d2", "untouched text")],
-                                 "pid string, text string")
+    docs = spark.createDataFrame([("d1", "en", "Helo, world!\nhelo"), ("d2", "en", "untouched text"),
+                                  ("d1", "fr", "helo")], "pid string, lang string, text string")
     corr = spark.createDataFrame([("en", "helo", "d1", "hello", 12)],
                                  "lang string, token string, d string, fix string, fix_df long")
     corr = corr.withColumn("doc", F.xxhash64("d")).drop("d")
-    out = {r.pid: r.text for r in correct_typos(docs, corr).collect()}
-    assert out == {"d1": "Hello, world!\nhello", "d2": "untouched text"}
+    out = {(r.pid, r.lang): r.text for r in correct_typos(docs, corr).collect()}
+    # fixes belong to a language: the same key in another one is left alone
+    assert out == {("d1", "en"): "Hello, world!\nhello", ("d2", "en"): "untouched text", ("d1", "fr"): "helo"}
 
 
 def test_knn_equals_brute_force(spark, sf):
