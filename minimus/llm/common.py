@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,4 +87,19 @@ def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if not 0 < int(spark.conf.get(key).rstrip("bB")) <= BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
-    return df.mapInArrow(fn, schema)
+
+    def run(batches):
+        yield from fn(batches)
+        release_memory()
+
+    return df.mapInArrow(run, schema)
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: a worker waits for its next task beside
+    others, and the allocators would keep what this one had at its peak."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.util.find_library("c")
+    trim = getattr(ctypes.CDLL(libc), "malloc_trim", None) if libc else None
+    if trim:
+        trim(0)
