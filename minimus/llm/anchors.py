@@ -11,7 +11,8 @@ always hold the same anchor at the same offset. Then
    the first place of a class goes on, all windows of the others are repeats. So a
    passage with thousands of copies costs one place;
 3. ``open_places``: first places whose anchor has several classes, which may share some
-   windows but not all: the operator settles these.
+   windows but not all: the operator settles these. Where a document's own copies are no
+   repeats of each other, they are open with its first place.
 
 Whole copies of a text are settled before (``split_copies``).
 
@@ -130,14 +131,22 @@ def classes(held: DataFrame, spans: Callable) -> DataFrame:
 
 def settle(cls: DataFrame, by_place: bool) -> tuple[DataFrame, DataFrame]:
     """(repeats, open): staged places all of whose windows repeat an earlier place
-    (doc_id, pos, lead, size), and staged first places whose anchor has several classes
-    (a, doc_id, pos, n_classes). Earlier: by (doc_id, pos), or by doc_id alone."""
+    (doc_id, pos, lead, size), and staged places whose anchor has several classes and
+    that repeat no earlier one (a, doc_id, pos, n_classes). Earlier: by (doc_id, pos), or
+    by doc_id alone; then all places of the first document are open, not just the first."""
     place = F.struct("doc_id", "pos")
     first = stage(cls.groupBy("a", "c1", "c2").agg(F.min(place).alias("first")), "class-first")
-    later = place > F.col("first") if by_place else F.col("doc_id") > F.col("first.doc_id")
-    repeats = stage(cls.join(first, ["a", "c1", "c2"]).where(later).select("doc_id", "pos", "lead", "size"), "repeats")
     several = first.groupBy("a").agg(F.count(F.lit(1)).alias("n_classes")).where("n_classes > 1")
-    return repeats, stage(first.join(several, "a").select("a", "first.*", "n_classes"), "open-places")
+    others = cls.join(first, ["a", "c1", "c2"]).where(place > F.col("first"))
+    opened = first.select("a", "first.*")
+    if by_place:
+        repeats = stage(others.select("doc_id", "pos", "lead", "size"), "repeats")
+    else:
+        others = stage(others.select("a", "doc_id", "pos", "lead", "size",
+                                     (F.col("doc_id") > F.col("first.doc_id")).alias("later")), "repeats")
+        repeats = others.where("later").select("doc_id", "pos", "lead", "size")
+        opened = opened.unionByName(others.where("NOT later").select("a", "doc_id", "pos"))
+    return repeats, stage(opened.join(several, "a").select("a", "doc_id", "pos", "n_classes"), "open-places")
 
 
 def repeated_windows(held: DataFrame, windows: Callable, by_place: bool) -> DataFrame:

@@ -83,6 +83,25 @@ def test_passages_match_brute_force(make_docs, some):
     assert got == brute_passages(some)
 
 
+def test_passage_repeated_inside_a_document(make_docs):
+    """Copies that fall alike in one document, of a passage that a smaller document has
+    between other words: all of them go, also under a doc_id that repeats."""
+    rng = random.Random(11)
+
+    def prose(n):
+        return " ".join("w%d" % rng.randrange(10 ** 6) for _ in range(n))
+
+    passage = prose(60)
+    block = prose(20) + " " + passage + " " + prose(13)  # 93 words, three periods
+    rows = [(1, prose(100) + " " + passage + " " + prose(100)), (2, " ".join([block] * 5)), (3, block + " " + block)]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256)
+           for r in passages.passage_report(make_docs(rows)).collect()}
+    assert got == brute_passages(rows)
+    assert got[2][1] == 300
+    twin = [rows[0], (2, block), (2, block + " " + prose(40))]
+    assert sorted(r.n_removed for r in passages.passage_report(make_docs(twin)).collect()) == [0, 60, 60]
+
+
 def test_difference_cover():
     shifts = {(a - b) % passages.PERIOD for a in passages.COVER for b in passages.COVER}
     assert shifts == set(range(passages.PERIOD))
