@@ -12,7 +12,7 @@ from ..functions.pii import sql_mask_pii
 from ..functions.text import sql_clean_text, sql_js_trim
 from ..session import scratch_path
 from ..sources.messages import chat_log
-from ..streaming.jobs import (history_stream, read_message_stream, run_to_table,
+from ..streaming.jobs import (history_stream, in_turn_order, read_message_stream, run_to_table,
                               sanitize_stream, single_flight_stream)
 from .catalog import ORACLE, register
 from .queries_messages import WITH_LOG
@@ -38,15 +38,17 @@ def q_stream_sanitize(spark: SparkSession, sf: str) -> DataFrame:
 @register("stream_single_flight")
 def q_stream_single_flight(spark: SparkSession, sf: str) -> DataFrame:
     """O53 (must equal the batch ``single_flight``)."""
-    src = read_message_stream(spark, _log_files(spark, sf))
-    return run_to_table(single_flight_stream(src), spark, "stream-single-flight")
+    path, deliveries = in_turn_order(chat_log(spark, sf), spark)
+    src = read_message_stream(spark, path)
+    return run_to_table(single_flight_stream(src), spark, "stream-single-flight", deliveries=deliveries)
 
 
 @register("stream_history")
 def q_stream_history(spark: SparkSession, sf: str) -> DataFrame:
     """O54 (must equal the batch ``simplify_history``)."""
-    src = read_message_stream(spark, _log_files(spark, sf))
-    return run_to_table(history_stream(src), spark, "stream-history")
+    path, deliveries = in_turn_order(chat_log(spark, sf), spark)
+    src = read_message_stream(spark, path)
+    return run_to_table(history_stream(src), spark, "stream-history", deliveries=deliveries)
 
 
 # batch and stream share one oracle

@@ -6,22 +6,25 @@ conversation kept by ``applyInPandasWithState`` -- a busy flag, or the last
 user prompt's time. State has no timeout: dropping it after a pause would change
 the answers, so it holds one number for each conversation of the log (on a cluster
 in the RocksDB state store, on disk). Within a micro-batch a conversation's rows are put in
-turn order first; across micro-batches the source is expected to deliver turns in order.
+turn order first; across micro-batches the source is expected to deliver turns in order
+(``in_turn_order`` does so for a log at rest, whatever its files).
 A conversation's rows of one micro-batch are one frame, so ``files_per_trigger`` bounds
 what a task holds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.pii import mask_pii
 from ..functions.text import clean_text, clock, is_blank, js_trim
+from ..operators.asof import TURN_BUCKET, turn_bucket
 from ..operators.messages import level_checked
 from ..schema import MESSAGE
 from ..session import scratch_path, ship_package
@@ -105,15 +108,43 @@ def history_stream(sdf: DataFrame) -> DataFrame:
     return out.withColumn("clock", clock(shown))
 
 
+def in_turn_order(log: DataFrame, spark: SparkSession,
+                  bucket_turns: int = TURN_BUCKET) -> tuple[str, Iterable]:
+    """(path, deliveries): a folder to stream ``log`` from, and an iterable whose steps put
+    the next turn bucket of all conversations there, to be drained before the next step.
+    A conversation's rows of one bucket are in one file, so its turns reach the state in
+    order wherever the trigger cuts the files."""
+    b = "__bucket"
+    parts = scratch_path(spark, "chat-log-buckets")
+    (log.select(MESSAGE.names).withColumn(b, turn_bucket("turn", bucket_turns).cast("long"))
+     .repartition("conv_id", b).write.partitionBy(b).option("maxRecordsPerFile", 0).parquet(parts))
+    held = spark.read.schema(StructType([*MESSAGE.fields, StructField(b, LongType())])).parquet(parts)
+    buckets = sorted((r[0] for r in held.select(b).distinct().collect()), key=lambda x: (x is not None, x or 0))
+    if len(buckets) <= 1:
+        return parts, [None]
+    path = scratch_path(spark, "chat-log")
+    held.limit(0).drop(b).write.parquet(path)
+
+    def deliveries():
+        for x in buckets:
+            (held.where(F.col(b).eqNullSafe(F.lit(x))).drop(b).repartition("conv_id")
+             .write.mode("append").option("maxRecordsPerFile", 0).parquet(path))
+            yield x
+
+    return path, deliveries()
+
+
 def run_to_table(sdf: DataFrame, spark: SparkSession, name: str,
-                 partition_by: str | None = None) -> DataFrame:
+                 partition_by: str | None = None, deliveries: Iterable = (None,)) -> DataFrame:
     """Drain a stream (available-now trigger) into Parquet under the shared
-    checkpoint folder and read the result back as a batch DataFrame."""
+    checkpoint folder, once after each delivery, and read the result back as a batch
+    DataFrame."""
     out = scratch_path(spark, name)
     writer = sdf.writeStream.format("parquet").option("path", out)
     if partition_by:
         writer = writer.partitionBy(partition_by)
-    q = (writer.option("checkpointLocation", scratch_path(spark, name + "-ckpt"))
-         .outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
+    writer = (writer.option("checkpointLocation", scratch_path(spark, name + "-ckpt"))
+              .outputMode("append").trigger(availableNow=True))
+    for _ in deliveries:
+        writer.start().awaitTermination()
     return spark.read.schema(sdf.schema).parquet(out)

@@ -82,3 +82,24 @@ def test_hot_conversation_over_turn_buckets(spark):
     many = single_flight(log, bucket_size=512).select("turn")
     one = single_flight(log, bucket_size=None).select("turn")
     assert sorted(many.collect()) == sorted(one.collect()) and one.count() > 3000
+
+
+def test_conversations_over_files_out_of_order(spark, sf, monkeypatch):
+    """The registered jobs on a log whose files hold later turns first, a file a trigger."""
+    from functools import partial
+
+    from minimus.plans import queries_stream as Q
+    turn = F.col("id")
+    log = spark.range(10_000).select(
+        F.lit(1).cast("long").alias("conv_id"), turn.alias("turn"),
+        F.when(turn % 3 == 2, "assistant").otherwise("user").alias("role"), F.lit("t").alias("content"),
+        F.timestamp_add("SECOND", 7 * turn, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).alias("ts"),
+        F.lit(None).cast("string").alias("simplify"), F.lit("s").alias("simplified_message"))
+    log = log.unionByName(log.where("turn < 10").withColumn("conv_id", F.lit(2).cast("long")))
+    want = single_flight(log).select("conv_id", "turn", "content").collect()
+    cols = ["conv_id", "turn", "simplified_message", "display_ts_ms", "clock"]
+    history = simplify_history(log).select(*cols).collect()
+    monkeypatch.setattr(Q, "chat_log", lambda *_: log.repartitionByRange(16, F.desc("turn")))
+    monkeypatch.setattr(Q, "read_message_stream", partial(read_message_stream, files_per_trigger=1))
+    assert sorted(Q.q_stream_single_flight(spark, sf).collect()) == sorted(want)
+    assert sorted(Q.q_stream_history(spark, sf).select(*cols).collect()) == sorted(history)
