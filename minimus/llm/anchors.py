@@ -35,9 +35,10 @@ ROW_SHIFT = 40
 ROW_MASK = (1 << ROW_SHIFT) - 1
 
 
-def with_rows(docs: DataFrame) -> DataFrame:
+def with_rows(docs: DataFrame, once: bool = False) -> DataFrame:
     """(doc_id, row, text): ``row`` numbers the different texts of one doc_id (0 almost
-    always). Rows without doc_id are left out; a null text is empty."""
+    always). Rows without doc_id are left out; a null text is empty. Equal rows (same
+    doc_id and text) have one (doc_id, row); ``once`` gives one row for them."""
     docs = docs.where(F.col("doc_id").isNotNull()).select(
         F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     twice = stage(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "ids-twice")
@@ -45,8 +46,12 @@ def with_rows(docs: DataFrame) -> DataFrame:
         return docs.select("doc_id", F.lit(0).cast("long").alias("row"), "text")
     texts = docs.join(small_side(twice), "doc_id", "left_semi").select("doc_id", F.xxhash64("text").alias("h")).distinct()
     rows = stage(texts.withColumn("row", F.row_number().over(W.partitionBy("doc_id").orderBy("h")) - 1), "id-rows")
-    return (docs.withColumn("h", F.xxhash64("text")).join(small_side(rows), ["doc_id", "h"], "left")
-            .select("doc_id", F.coalesce("row", F.lit(0)).cast("long").alias("row"), "text"))
+    numbered = (docs.withColumn("h", F.xxhash64("text")).join(small_side(rows), ["doc_id", "h"], "left")
+                .select("doc_id", F.coalesce("row", F.lit(0)).cast("long").alias("row"), "text"))
+    if not once:
+        return numbered
+    again = numbered.join(small_side(twice), "doc_id", "left_semi").dropDuplicates(["doc_id", "row"])
+    return numbered.join(small_side(twice), "doc_id", "left_anti").unionByName(stage(again, "rows-once"))
 
 
 def split_copies(rows: DataFrame, by_row: bool) -> DataFrame:

@@ -175,7 +175,7 @@ def _sort_shards(batches):
 
 def repeated_bytes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Staged copies (doc_id, row) and removed byte spans (doc_id, positions, sizes)."""
-    rows = A.with_rows(docs)
+    rows = A.with_rows(docs, once=True)
     copies = A.split_copies(rows, by_row=True)
     rows = rows.join(small_side(copies), ["doc_id", "row"], "left_anti")
     cls = A.classes(A.with_positions(rows, A.live_positions(rows, _anchors, once_per_text=False)), _spans)

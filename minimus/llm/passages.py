@@ -78,7 +78,7 @@ def _windows(data, off, at, pos):
 
 def repeated_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Staged copies (doc_id, row) and removed word spans (doc_id, positions, sizes)."""
-    rows = A.with_rows(docs)
+    rows = A.with_rows(docs, once=True)
     copies = A.split_copies(rows, by_row=False)
     rows = rows.join(small_side(copies), ["doc_id", "row"], "left_anti")
     cls = A.classes(A.with_positions(rows, A.live_positions(rows, _anchors, once_per_text=True)), _spans)

@@ -64,6 +64,24 @@ def test_bytes_of_hot_anchors(make_docs, some, monkeypatch):
     assert got == brute_bytes(some)
 
 
+@pytest.mark.parametrize("spans", [4096, 1])
+def test_bytes_of_equal_rows_with_partial_matches(make_docs, monkeypatch, spans):
+    """Equal rows are one document to the others, and are cut alike, on both ways."""
+    monkeypatch.setattr(byte_dedup, "SHARD_SPANS", spans)
+    rng = random.Random(13)
+
+    def prose(n):
+        return "".join(rng.choice("abcdefghij") for _ in range(n))
+
+    shared, other = prose(300), prose(200)
+    rows = [(1, prose(150) + shared[:200]), (2, shared + other), (4, other + prose(120)),
+            (5, prose(90) + other[:150] + prose(90))]
+    got = byte_dedup.byte_report(make_docs([*rows, rows[1], rows[2], rows[1]])).collect()
+    got = sorted((r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in got)
+    want = brute_bytes(rows)
+    assert got == sorted((d, want[d]) for d in (1, 2, 2, 2, 4, 4, 5))
+
+
 def brute_passages(rows):
     first, out = {}, {}
     for doc_id, text in rows:
