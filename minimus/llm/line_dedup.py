@@ -97,12 +97,16 @@ def removed_lines(docs: DataFrame) -> DataFrame:
               .select("doc_id", "row", "line_no", "line", "line_h", "p.*")
               .select("doc_id", "row", "line_no", "line_h", "b", "lo", "hi", *_around()))
     live = stage(_live(halves), "line-halves")
+    # a null doc_id is an id as well
+    firsts = first.select(*[F.col(f"first.{c}").alias(f"__{c}") for c in ("doc_id", "row", "line_no")])
     cand = (halves.join(small_side(live), ["h1", "h2"]).select("doc_id", "row", "line_no", "b", "lo", "hi")
-            .join(first.select("first.*"), ["doc_id", "row", "line_no"], "left_semi"))
-    cand = stage(cand.groupBy("doc_id", "row").agg(
+            .join(firsts, F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("row") == F.col("__row"))
+                  & (F.col("line_no") == F.col("__line_no")), "left_semi"))
+    cand = stage(cand.groupBy(F.col("doc_id").alias("__doc_id"), F.col("row").alias("__row")).agg(
         F.collect_set(F.struct("line_no", "b", "lo", "hi")).alias("cands")), "line-candidates")
     held = stage(docs.select("doc_id", F.xxhash64("text").alias("row"), F.split("text", "\n").alias("ls"))
-                 .join(small_side(cand), ["doc_id", "row"]).dropDuplicates(["doc_id", "row"])
+                 .join(small_side(cand), F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("row") == F.col("__row")))
+                 .dropDuplicates(["doc_id", "row"])
                  .select("doc_id", "row", "ls", F.explode("cands").alias("c"))
                  .select("doc_id", "row", "c.*", F.trim(F.get("ls", F.col("c.line_no")), F.lit(SPACES)).alias("line")),
                  "line-texts")

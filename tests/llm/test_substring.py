@@ -190,3 +190,12 @@ def test_lines_match_brute_force(make_docs):
     want = brute_lines(rows)
     assert sum(v[0] for v in want.values()) > 30
     assert got == want
+
+
+def test_near_lines_of_rows_without_id(make_docs):
+    """Rows without doc_id come first, and their lines are compared like any other."""
+    rows = [(None, "a line of some length\nand one more of them"), (1, "a line of sume length\nsomething else here"),
+            (2, "something else her\nand one more of thm"), (None, "a line of some lengthy")]
+    got = line_dedup.line_report(make_docs(rows)).collect()
+    assert sum(r.n_removed for r in got if r.doc_id is None) == 1
+    assert {r.doc_id: r.n_removed for r in got if r.doc_id is not None} == {1: 1, 2: 2}
