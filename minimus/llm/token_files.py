@@ -23,19 +23,20 @@ empty table gives files without blocks. Other columns of the input are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
+import struct
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import map_batches
+from .common import map_batches, stage
 
 END_ID = 2
 #: Documents and bytes of id pieces that the dictionary is trained on, at most.
@@ -47,7 +48,7 @@ DICT_BYTES = 64 << 10
 BLOCK_BYTES = 1 << 20
 BLOCK_DOCS = 4096
 #: Distinct words whose ids a worker keeps.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 600_000
 LEVEL = 3
 
 BLOCKS = ("shard int, block int, first_id long, last_id long, n_ids long, dict_hash string, width int, "
@@ -66,15 +67,24 @@ def _byte_characters() -> dict[int, int]:
     return {x: x for x in own} | {x: 256 + i for i, x in enumerate(rest)}
 
 
+#: What the shortcut of ``Encoder`` rests on; a tokenizer with other steps is refused.
+NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "behavior": "Removed", "invert": True, "pattern": {
+        "Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
+
 class Encoder:
     """Serialized ids of texts.
 
-    The tokenizer turns white space into single spaces and joins nothing across one, so a
-    text's ids are those of its pieces between spaces and line ends. A piece is encoded
-    once and kept, up to ``CACHE_WORDS`` pieces. Pieces that are Latin-1 letters, perhaps
-    with final punctuation, are a run of letters and a run of punctuation for the
-    tokenizer, so their lower-case letters go to its BPE model directly; all others go
-    through the whole pipeline."""
+    The tokenizer drops white space and joins nothing across it, so a text's ids are those
+    of its pieces between ASCII white space. Arrow splits the texts and finds the distinct
+    pieces; each is encoded once and kept, up to ``CACHE_WORDS`` of them, and numpy lays the
+    ids out. Pieces that are Latin-1 letters, perhaps with final punctuation, are a run of
+    letters and a run of punctuation for the tokenizer, so their lower-case letters go to
+    its BPE model directly; all others go through the whole pipeline."""
 
     def __init__(self, path: str, end_id: int = END_ID):
         import json
@@ -83,51 +93,81 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
+        self.dtype = np.dtype(f"<u{self.width}")
+        self.code = "<%d" + {2: "H", 4: "I"}[self.width]
         self.end = end_id.to_bytes(self.width, "little")
         self.cache: dict[str, bytes] = {}
+        self.tails = {"": b""}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        steps = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
-        cuts = [x.get("type") for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
-        if steps != ["NFC", "Replace", "Lowercase"] or cuts != ["Split", "ByteLevel"]:
+        added = [x["content"] for x in spec.get("added_tokens", [])]
+        if (spec.get("normalizer") != NORMALIZER or spec.get("pre_tokenizer") != PRE_TOKENIZER
+                or any(re.search(r"\s", x) or not re.search(r"[^A-Za-z]", x.rstrip(".,!?")) for x in added)):
             raise ValueError(f"{path}: not a tokenizer with word ends, lower case and dropped white space")
         self.table = _byte_characters()
 
-    def _word(self, stem: str) -> bytes:
-        text = stem.lower().encode().decode("latin-1").translate(self.table)
-        return b"".join([t.id.to_bytes(self.width, "little") for t in self.model.tokenize(text)])
+    def _stem(self, stem: str) -> bytes:
+        """Ids of lower-case Latin-1 letters."""
+        if not stem.isascii():
+            stem = stem.encode().decode("latin-1").translate(self.table)
+        ids = [t.id for t in self.model.tokenize(stem)]
+        return struct.pack(self.code % len(ids), *ids)
 
     def _learn(self, pieces: list[str], known: dict[str, bytes]) -> None:
-        tails = {"": b""}
         rest = []
         for w in pieces:
             stem = w.rstrip(".,!?")
-            if stem.isalpha() and max(stem) < "\u0100":
-                tail = w[len(stem):]
-                if tail not in tails:
-                    tails[tail] = self._full([tail])[0]
-                known[w] = self._word(stem) + tails[tail]
+            if stem.isalpha() and (stem.isascii() or max(stem) < "\u0100"):
+                low = stem.lower()
+                ids = self.cache.get(low) or known.get(low)
+                if ids is None:
+                    ids = known[low] = self._stem(low)
+                if len(w) > len(stem):
+                    tail = w[len(stem):]
+                    if tail not in self.tails:
+                        self.tails[tail] = self._full([tail])[0]
+                    ids += self.tails[tail]
+                known[w] = ids
             else:
                 rest.append(w)
-        for w, ids in zip(rest, self._full(rest), strict=True):
-            known[w] = ids
+        known.update(zip(rest, self._full(rest), strict=True))
 
     def _full(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, f"<u{self.width}").tobytes()
+        return [np.array(e.ids, self.dtype).tobytes()
                 for i in range(0, len(pieces), 20_000)
                 for e in self.tokenizer.encode_batch_fast(pieces[i:i + 20_000], add_special_tokens=False)]
 
+    def ids(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a column, end ids included, and where each text's begin
+        (one place more than texts). A null text counts as empty."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(col, ""))
+        found = lists.flatten().dictionary_encode()
+        words = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        parts = list(map(self.cache.get, words))
+        new = [i for i, x in enumerate(parts) if x is None]
+        # full: what is new is known for these texts only
+        known = self.cache if len(self.cache) + len(new) <= CACHE_WORDS else {}
+        self._learn([words[i] for i in new], known)
+        for i in new:
+            parts[i] = known[words[i]]
+        parts.append(self.end)
+        flat = np.frombuffer(b"".join(parts), self.dtype)
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // self.width
+        first = np.cumsum(size) - size
+        off = lists.offsets.to_numpy().astype(np.int64)
+        piece = np.insert(found.indices.to_numpy().astype(np.int64), off[1:] - off[0], len(words))
+        length = size[piece]
+        stop = np.cumsum(length)
+        place = np.repeat(first[piece] - (stop - length), length)
+        place += np.arange(len(place))
+        starts = np.concatenate([[0], stop[off[1:] - off[0] + np.arange(len(col))]])
+        return flat[place], starts
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        pieces = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = list(set(chain.from_iterable(pieces)) - self.cache.keys())
-        known = self.cache
-        if len(known) + len(new) > CACHE_WORDS:  # full: what is new is known for these texts only
-            known = {}
-        self._learn(new, known)
-        if known is not self.cache:
-            cache = self.cache
-            return [b"".join([known[w] if w in known else cache[w] for w in p]) + self.end for p in pieces]
-        return [b"".join(map(known.__getitem__, p)) + self.end for p in pieces]
+        """The serialized ids of each text."""
+        ids, at = self.ids(pa.array(texts, pa.string()))
+        data = memoryview(ids.tobytes())
+        return [bytes(data[i:j]) for i, j in zip(at[:-1] * self.width, at[1:] * self.width, strict=True)]
 
 
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
@@ -150,9 +190,18 @@ def _batches(col: pa.Array, step: int = 2 << 20):
         i = j
 
 
+def _sample(df: DataFrame, key: Column, rows: int, most: int) -> DataFrame:
+    """About ``most`` of the ``rows`` rows: those whose hashed key is below a threshold, so
+    each task picks its own and nothing is sorted. All of them if there are no more."""
+    if rows <= most:
+        return df
+    return df.where(F.pmod(key, F.lit(1 << 32)) < int((1 << 32) * most / rows))
+
+
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> bytes:
-    """Dictionary over 4 KB pieces of the whole id arrays of a bounded sample: the
-    ``SAMPLE_DOCS`` documents whose hashed id is smallest. Empty if there is too little."""
+    """Dictionary over 4 KB pieces of the whole id arrays of a bounded sample: about
+    ``SAMPLE_DOCS`` documents and at most ``SAMPLE_BYTES`` of pieces, chosen by hash. Empty
+    if there is too little."""
     def pieces(batches):
         enc = encoder(tokenizer, end_id)
         for b in batches:
@@ -161,10 +210,11 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> b
                        for k in range(0, len(x), PIECE_BYTES)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["piece"])
 
-    some = docs.select("text", F.xxhash64("doc_id").alias("k")).orderBy("k").limit(SAMPLE_DOCS).select("text")
-    got = (map_batches(some, pieces, "piece binary").orderBy(F.xxhash64("piece"))
-           .limit(SAMPLE_BYTES // PIECE_BYTES).collect())
-    samples = [bytes(r.piece) for r in got]
+    some = _sample(docs.select("doc_id", "text"), F.xxhash64("doc_id", "text"), docs.count(), SAMPLE_DOCS)
+    cut = stage(map_batches(some.select("text"), pieces, "piece binary"), "dictionary-pieces")
+    most = SAMPLE_BYTES // PIECE_BYTES
+    got = _sample(cut, F.xxhash64("piece"), cut.count(), most).limit(2 * most).collect()
+    samples = sorted(bytes(r.piece) for r in got)
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too few samples
@@ -200,10 +250,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
         for b in batches:
             for i, j in _batches(b.column(1)):
-                ids = b.column(0)[i:j].to_pylist()
-                for doc_id, x in zip(ids, enc.encode(b.column(1)[i:j].to_pylist()), strict=True):
-                    frame = zip_.compress(x)
-                    n = len(x) // enc.width
+                ids, at = enc.ids(b.column(1)[i:j])
+                data = memoryview(ids).cast("B")
+                for k, doc_id in enumerate(b.column(0)[i:j].to_pylist()):
+                    n = int(at[k + 1] - at[k])
+                    frame = zip_.compress(data[at[k] * enc.width:at[k + 1] * enc.width])
                     index.append({"doc_id": doc_id, "start": start, "n_tokens": n, "offset": size, "length": len(frame)})
                     frames.append(frame)
                     start, size = start + n, size + len(frame)
