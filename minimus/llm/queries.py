@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_dedup, chat, decontaminate, jaccard, line_dedup, mix, passages, quality, token_files, topk
+from . import byte_dedup, chat, decontaminate, jaccard, line_dedup, mix, packing, passages, quality, token_files, topk
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,8 @@ def op1_byte_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_jaccard_join")
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_report(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op12_pack")
+def op12_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_report(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path())
