@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_dedup, chat, decontaminate, jaccard, line_dedup, mix, packing, passages, quality, token_files, topk
+from . import (byte_dedup, chat, decontaminate, jaccard, lexical, line_dedup, mix, packing, passages, quality, repair,
+               token_files, topk)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +87,14 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_pack")
 def op12_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_report(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path())
+
+
+@query("op11_repair", repair.REPORT_SQL)
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return repair.repair_report(repair.damage(turns), turns)
+
+
+@query("op13_ranked_search", lexical.SEARCH_SQL)
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
