@@ -89,9 +89,12 @@ def row_matrices() -> np.ndarray:
     return out
 
 
+ROWS = row_matrices()
+
+
 def block_matrix(kinds: np.ndarray, faults: np.ndarray, copies: np.ndarray) -> np.ndarray:
     """The min-plus product of a block's rows; further copies of a row are deleted."""
-    m = row_matrices()[kinds, faults] + (DELETE * (copies - 1))[:, None, None]
+    m = ROWS[kinds, faults] + (DELETE * (copies - 1))[:, None, None]
     while len(m) > 1:
         if len(m) % 2:
             unit = np.where(np.eye(4, dtype=bool), 0, NEVER)[None]
