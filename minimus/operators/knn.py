@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.noise import laplace
+from ..functions.secret_noise import SecretNoise
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -42,8 +43,10 @@ def centroids(emb: DataFrame, key: str = "label", vec: str = "embedding") -> Dat
 
 def noisy_knn(queries: DataFrame, base: DataFrame, k: int, scale: float, seed: int,
               noise_on: str = "distance", qid: str = "qid", qvec: str = "qvec",
-              bid: str = "vec_id", bvec: str = "embedding") -> DataFrame:
-    """(qid, rank, vec_id, distance) for the k nearest base rows per query."""
+              bid: str = "vec_id", bvec: str = "embedding", noise: SecretNoise | None = None) -> DataFrame:
+    """(qid, rank, vec_id, distance) for the k nearest base rows per query. With ``noise`` (its
+    scales name ``scale``) the noise on distances is drawn under its secret salt and
+    ``distance`` is an integer on its grid."""
     qs = queries.select(F.col(qid).alias("qid"), as_double_array(qvec).alias("q"))
     if noise_on == "vector":
         qs = qs.withColumn("q", F.transform("q", lambda x, i: x + laplace(
@@ -58,8 +61,19 @@ def noisy_knn(queries: DataFrame, base: DataFrame, k: int, scale: float, seed: i
         "shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
     scored = b.join(qs, "shard")
     dist = F.lit(1.0) - dot(F.col("q"), F.col("v")) / (F.col("qn") * F.col("vn"))
+    if noise is not None:
+        if noise_on != "distance":
+            raise ValueError("secret noise goes on distances")
+        d = noise.draws(scored.select("qid", "vec_id", noise.value(dist).alias("d"), F.lit(float(scale)).alias("scale")),
+                        "scale", "draw", "knn", "qid", "vec_id")
+        d = d.select("qid", "vec_id", (F.col("d") + F.col("draw")).alias("distance"))
+        return nearest(d, k)
     if noise_on == "distance":
         dist = dist + laplace(scale, seed, F.lit("knn"), F.col("qid"), F.col("vec_id"))
-    d = scored.select("qid", "vec_id", dist.alias("distance"))
+    return nearest(scored.select("qid", "vec_id", dist.alias("distance")), k)
+
+
+def nearest(d: DataFrame, k: int) -> DataFrame:
+    """The k smallest distances of each query, ties by base id, ranked from 1."""
     w = Window.partitionBy("qid").orderBy("distance", "vec_id")
     return (d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))

@@ -52,6 +52,11 @@ def policy_df(spark: SparkSession, rows=None) -> DataFrame:
     return spark.createDataFrame(rows or POLICY_ROWS, POLICY_SCHEMA)
 
 
+def noise_scales(rows=None) -> dict[str, list[str]]:
+    """The policy's noise scales as decimals, by column (for ``SecretNoise``)."""
+    return {name: [repr(r[POLICY_COLUMNS.index(name)]) for r in rows or POLICY_ROWS] for name in ("b_thr", "b")}
+
+
 def with_policy(df: DataFrame, policy: DataFrame, level: str = "level") -> DataFrame:
     """Attach the level's parameters (policy is 3 rows: broadcast)."""
     return df.join(F.broadcast(policy), df[level] == policy["level"], "inner").drop(policy["level"])

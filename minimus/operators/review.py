@@ -55,8 +55,9 @@ def pick_attempt(attempts: DataFrame, keys=("pid", "level")) -> DataFrame:
                                 .otherwise(F.lit(REJECTED))))
 
 
-def retry_history(attempts: DataFrame, keys=("pid", "level")) -> DataFrame:
-    """Per prompt, the attempts that were run, in order (at most three)."""
+def retry_history(attempts: DataFrame, keys=("pid", "level"), extra: tuple[Column, ...] = ()) -> DataFrame:
+    """Per prompt, the attempts that were run, in order (at most three), each with the
+    ``extra`` columns."""
     rec = F.struct("attempt", F.round("similarity", 6).cast("decimal(8,6)").alias("similarity"),
-                   F.col("missing").alias("missing_items"), "passed")
+                   F.col("missing").alias("missing_items"), "passed", *extra)
     return attempts.groupBy(*keys).agg(F.sort_array(F.collect_list(rec)).alias("retry_history"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.noise import gumbel, laplace
+from ..functions.secret_noise import SecretNoise
 from .segments import content_tokens
 from .vocab import NIDF_SCALE
 
@@ -81,7 +82,16 @@ def thresholds(scored: DataFrame, plan: DataFrame) -> DataFrame:
     a fixed 10,000-bin histogram. Distributed count per bin (partial aggregation),
     then a cumulative sum over at most 10,000 rows per level -- no global sort of
     the scores and no group holding the data. ``plan`` has (level, attempt, q_att)."""
-    hist = scored.groupBy("level", score_bin().alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return thresholds_of(histogram(scored), plan)
+
+
+def histogram(scored: DataFrame) -> DataFrame:
+    """(level, bin, n): segments by score bin."""
+    return scored.groupBy("level", score_bin().alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def thresholds_of(hist: DataFrame, plan: DataFrame) -> DataFrame:
+    """The thresholds that a histogram (level, bin, n) gives."""
     w = Window.partitionBy("level").orderBy("bin")
     cum = (hist.withColumn("cum", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
                .withColumn("total", F.sum("n").over(Window.partitionBy("level"))))
@@ -91,39 +101,52 @@ def thresholds(scored: DataFrame, plan: DataFrame) -> DataFrame:
                .agg((F.min("bin") / F.lit(float(N_BINS))).alias("t")))
 
 
-def svt(rows: DataFrame, seed: int, keys=("pid", "level", "attempt")) -> DataFrame:
+def svt(rows: DataFrame, seed: int, keys=("pid", "level", "attempt"),
+        noise: SecretNoise | None = None) -> DataFrame:
     """O29 sparse vector technique over a prompt's segments in ``pos`` order.
 
     Needs score, t, b_thr, b, c_att, n_seg. One noisy threshold per prompt
     (rho ~ Lap(b_thr)), one noise draw per segment (nu ~ Lap(b)); a segment is
     above when score + nu >= t + rho; stop after c = max(1, ceil(c_att*n_seg))
     hits. The running hit count is a prefix sum over earlier rows.
+    With ``noise`` the draws and the comparison are integers under its secret salt.
     """
     k = list(keys)
+    if noise is not None:
+        rows = noise.draws(noise.draws(rows, "b_thr", "__rho", "rho", *k), "b", "__nu", "nu", *k, "pos")
+        above = noise.value(F.col("score")) + F.col("__nu") >= noise.value(F.col("t")) + F.col("__rho")
+        return _first_hits(rows.withColumn("above", above).drop("__rho", "__nu"), k)
     rho = laplace(F.col("b_thr"), seed, F.lit("rho"), *[F.col(x) for x in k])
     nu = laplace(F.col("b"), seed, F.lit("nu"), *[F.col(x) for x in k], F.col("pos"))
     above = (F.col("score") + nu) >= (F.col("t") + rho)
+    return _first_hits(rows.withColumn("above", above), k)
+
+
+def _first_hits(rows: DataFrame, k: list[str]) -> DataFrame:
+    """The first c rows above the threshold, by ``pos``."""
     c = F.greatest(F.lit(1), F.ceil(F.col("c_att") * F.col("n_seg")).cast("bigint"))
     w = Window.partitionBy(*k).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    t = (rows.withColumn("above", above)
-             .withColumn("hits_before",
-                         F.coalesce(F.sum(F.col("above").cast("int")).over(w), F.lit(0))))
+    t = rows.withColumn("hits_before", F.coalesce(F.sum(F.col("above").cast("int")).over(w), F.lit(0)))
     return t.where(F.col("above") & (F.col("hits_before") < c)).drop("above", "hits_before")
 
 
-def top_k(rows: DataFrame, seed: int | None = None, noise: str | None = None,
+def top_k(rows: DataFrame, seed: int | None = None, noise: str | SecretNoise | None = None,
           keys=("pid", "level", "attempt")) -> DataFrame:
     """The k = max(1, ceil(k_att*n_seg)) best-scored segments, ties by pos.
-    ``noise='gumbel'`` ranks by score + Gumbel(b) (one-shot noisy top-k)."""
+    ``noise='gumbel'`` ranks by score + Gumbel(b) (one-shot noisy top-k), a ``SecretNoise``
+    by the score on its grid + a geometric draw."""
     k = list(keys)
     rank_by = F.col("score")
-    if noise == "gumbel":
+    if isinstance(noise, SecretNoise):
+        rows = noise.draws(rows, "b", "__draw", "topk", *k, "pos", two_sided=False)
+        rank_by = noise.value(rank_by) + F.col("__draw")
+    elif noise == "gumbel":
         rank_by = rank_by + gumbel(F.col("b"), seed, F.lit("topk"), *[F.col(x) for x in k],
                                    F.col("pos"))
     kk = F.greatest(F.lit(1), F.ceil(F.col("k_att") * F.col("n_seg")).cast("bigint"))
     w = Window.partitionBy(*k).orderBy(rank_by.desc(), F.col("pos"))
     return (rows.withColumn("__rn", F.row_number().over(w))
-                .where(F.col("__rn") <= kk).drop("__rn"))
+                .where(F.col("__rn") <= kk).drop("__rn", "__draw"))
 
 
 def cosine_distance_to_prompt() -> Column:
@@ -131,14 +154,19 @@ def cosine_distance_to_prompt() -> Column:
     return F.lit(1.0) - F.when(denom > 0, F.col("dot") / denom).otherwise(F.lit(0.0))
 
 
-def knn_select(rows: DataFrame, seed: int, keys=("pid", "level", "attempt")) -> DataFrame:
+def knn_select(rows: DataFrame, seed: int, keys=("pid", "level", "attempt"),
+               noise: SecretNoise | None = None) -> DataFrame:
     """O22 in the chain: keep the kk = max(1, ceil(knn_att*n_seg)) segments
     nearest the whole prompt under cosine distance + Lap(b) per segment."""
     k = list(keys)
-    dist = cosine_distance_to_prompt() + laplace(
-        F.col("b"), seed, F.lit("knn"), *[F.col(x) for x in k], F.col("pos"))
+    if noise is not None:
+        rows = noise.draws(rows, "b", "__draw", "knn", *k, "pos")
+        dist = noise.value(cosine_distance_to_prompt()) + F.col("__draw")
+    else:
+        dist = cosine_distance_to_prompt() + laplace(
+            F.col("b"), seed, F.lit("knn"), *[F.col(x) for x in k], F.col("pos"))
     kk = F.greatest(F.lit(1), F.ceil(F.col("knn_att") * F.col("n_seg")).cast("bigint"))
     w = Window.partitionBy(*k).orderBy(F.col("__d"), F.col("pos"))
     return (rows.withColumn("__d", dist)
                 .withColumn("__rn", F.row_number().over(w))
-                .where(F.col("__rn") <= kk).drop("__rn", "__d"))
+                .where(F.col("__rn") <= kk).drop("__rn", "__d", "__draw"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from ..functions.noise import sql_gumbel, sql_laplace
 from ..functions.pii import sql_mask_pii, sql_vocabulary_text
+from ..functions.secret_noise import sql_draw, sql_value
 from ..functions.text import (sql_clean_text, sql_distinct_tokens, sql_js_trim, sql_lit,
                               sql_segment_array)
-from ..operators.policy import (DEFAULT_SEED, MAX_ATTEMPTS, sql_attempt_params,
+from ..operators.budget import EPS, SQL_ATTEMPT_TOTAL, sql_costs
+from ..operators.policy import (DEFAULT_SEED, MAX_ATTEMPTS, noise_scales, sql_attempt_params,
                                 sql_fillers_of, sql_policy_values)
 from ..operators.segments import NORM_DROP
 from ..operators.select import N_BINS, N_BUCKETS
@@ -20,6 +22,11 @@ DOC_BASE = f"""SELECT CAST(doc_id AS VARCHAR) AS pid, lang, {sql_clean_text('tex
 FROM documents"""
 
 
+DISTANCE_SQL = """1.0 - (CASE WHEN sqrt(CAST(ss AS DOUBLE) * CAST(pp AS DOUBLE)) > 0
+                                      THEN dot / sqrt(CAST(ss AS DOUBLE) * CAST(pp AS DOUBLE))
+                                      ELSE 0.0 END)"""
+
+
 def sql_content_tokens(e: str, lang: str) -> str:
     return (f"list_filter({sql_distinct_tokens(e)}, "
             f"lambda t: NOT list_contains({sql_fillers_of(lang)}, t))")
@@ -67,16 +74,23 @@ def sql_fixed(e: str) -> str:
 
 
 def chain_ctes(base_sql: str = DOC_BASE, sweep: bool = False, seed: int = DEFAULT_SEED,
-               topk_noise: str | None = None, typos: bool = False) -> str:
-    """CTE list (without the leading WITH) ending in ``chosen``."""
+               topk_noise: str | None = None, typos: bool = False, salt: bytes | None = None) -> str:
+    """CTE list (without the leading WITH) ending in ``chosen``. ``salt``: a private run's."""
     s = seed
     rank_by = "score"
+    keys = ("pid", "level", "attempt")
+    value, lap = str, sql_laplace
+    if salt is not None:
+        topk_noise, value = "geometric", sql_value
+
+        def lap(scale, _, purpose, *names, two_sided=True):
+            return sql_draw(salt, noise_scales()[scale], scale, purpose.strip("'"), *names, two_sided=two_sided)
+        rank_by = f"({value('score')} + {lap('b', s, 'topk', *keys, 'pos', two_sided=False)})"
     if topk_noise == "gumbel":
         rank_by = f"(score + {sql_gumbel('b', s, chr(39) + 'topk' + chr(39), 'pid', 'level', 'attempt', 'pos')})"
     prompts = ("SELECT pid, lang, text, unnest(" + LEVELS_SQL + ") AS level FROM base"
                if sweep else "SELECT pid, lang, text, level FROM base")
     nidf = "ln((n_docs + 1) / (df + 1)) / ln(n_docs + 1)"
-    lap = sql_laplace
     fixed = "SELECT * FROM hidden"
     if typos:
         fixed = (f"SELECT h.pid, h.lang, h.level, {sql_fixed('h.m')} AS m "
@@ -141,8 +155,8 @@ svt AS (SELECT * EXCLUDE (above, hits_before) FROM (
           SELECT *, coalesce(sum(CAST(above AS INTEGER)) OVER (
                    PARTITION BY pid, level, attempt ORDER BY pos
                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS hits_before
-          FROM (SELECT *, (score + {lap('b', s, "'nu'", 'pid', 'level', 'attempt', 'pos')})
-                          >= (t + {lap('b_thr', s, "'rho'", 'pid', 'level', 'attempt')}) AS above
+          FROM (SELECT *, ({value('score')} + {lap('b', s, "'nu'", 'pid', 'level', 'attempt', 'pos')})
+                          >= ({value('t')} + {lap('b_thr', s, "'rho'", 'pid', 'level', 'attempt')}) AS above
                 FROM rows_))
         WHERE above AND hits_before < greatest(1, CAST(ceil(c_att * n_seg) AS BIGINT))),
 topk AS (SELECT * EXCLUDE (rn) FROM (
@@ -151,9 +165,7 @@ topk AS (SELECT * EXCLUDE (rn) FROM (
          WHERE rn <= greatest(1, CAST(ceil(k_att * n_seg) AS BIGINT))),
 knn AS (SELECT * EXCLUDE (rn, d) FROM (
           SELECT *, row_number() OVER (PARTITION BY pid, level, attempt ORDER BY d, pos) AS rn
-          FROM (SELECT *, 1.0 - (CASE WHEN sqrt(CAST(ss AS DOUBLE) * CAST(pp AS DOUBLE)) > 0
-                                      THEN dot / sqrt(CAST(ss AS DOUBLE) * CAST(pp AS DOUBLE))
-                                      ELSE 0.0 END)
+          FROM (SELECT *, {value(DISTANCE_SQL)}
                           + {lap('b', s, "'knn'", 'pid', 'level', 'attempt', 'pos')} AS d
                 FROM topk))
         WHERE rn <= greatest(1, CAST(ceil(knn_att * n_seg) AS BIGINT))),
@@ -168,8 +180,7 @@ req AS (SELECT pid, level, list_sort(list(token)) AS required FROM (
         WHERE rn <= 5 GROUP BY pid, level),
 segcount AS (SELECT pid, level, max(n_seg) AS n_seg FROM scored GROUP BY pid, level),
 att AS (SELECT m.pid, m.lang, m.level, p.attempt, m.orig_tokens, p.pass_score, p.max_missing,
-               CAST(1 / p.b_thr AS DECIMAL(18,6)) AS eps_threshold,
-               CAST(2 * greatest(1, CAST(ceil(p.c_att * coalesce(g.n_seg, 0)) AS BIGINT)) / p.b AS DECIMAL(18,6)) AS eps_hits,
+               {sql_costs(topk_noise, 'g.n_seg')},
                coalesce(r.simplified, '') AS simplified, coalesce(r.n_kept, 0) AS n_kept,
                coalesce(q.required, []::VARCHAR[]) AS required
         FROM masked m JOIN plan p ON m.level = p.level
@@ -188,16 +199,19 @@ reviewed AS (SELECT * EXCLUDE (before) FROM (
                  PARTITION BY pid, level ORDER BY attempt
                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM tried)
              WHERE before = 0),
+spent AS (SELECT pid, level, CAST(sum({SQL_ATTEMPT_TOTAL}) AS {EPS}) AS spent_eps,
+                 CAST(sum(rho_q) AS BIGINT) AS spent_rho_q, CAST(sum(exact_steps) AS BIGINT) AS spent_exact
+          FROM reviewed GROUP BY pid, level),
 chosen AS (SELECT * EXCLUDE (simplified, rn), {sql_strip_filler('simplified', 'lang')} AS simplified,
                   CASE WHEN passed THEN 'approved' ELSE 'rejected' END AS status
            FROM (SELECT *, row_number() OVER (PARTITION BY pid, level ORDER BY attempt DESC) AS rn
-                 FROM reviewed)
+                 FROM reviewed) JOIN spent USING (pid, level)
            WHERE rn = 1)
 """
 
 
 def with_chain(select_sql: str, base_sql: str = DOC_BASE, sweep: bool = False,
-               topk_noise: str | None = None, typos: bool = False) -> str:
-    return ("WITH " + chain_ctes(base_sql, sweep, topk_noise=topk_noise, typos=typos).strip() + "\n"
+               topk_noise: str | None = None, typos: bool = False, salt: bytes | None = None) -> str:
+    return ("WITH " + chain_ctes(base_sql, sweep, topk_noise=topk_noise, typos=typos, salt=salt).strip() + "\n"
             + select_sql)
 

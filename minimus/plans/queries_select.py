@@ -6,7 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.secret_noise import SecretNoise, write_key
+from ..operators.budget import sql_zcdp_eps, zcdp_eps
 from ..operators.review import retry_history
+from ..session import scratch_path
 from .catalog import register
 from .chain_sql import with_chain
 from .queries_text import document_chain
@@ -51,6 +54,45 @@ def q_top_k_gumbel(spark: SparkSession, sf: str) -> DataFrame:
     return ch.topk.select("pid", "level", "attempt", "pos")
 
 
+#: A public salt, so that SQL can draw the same numbers. A private run names its own key file.
+TEST_SALT = b"a public salt, for the tests only"
+
+
+def salted_noise(spark: SparkSession, scales: dict[str, list[str]]) -> SecretNoise:
+    path = scratch_path(spark, "test-key")
+    write_key(spark, path, TEST_SALT)
+    return SecretNoise(spark, path, scales)
+
+
+def private_chain(spark: SparkSession, sf: str):
+    from ..operators.policy import noise_scales, policy_df
+    from .queries_text import document_base
+    from .simplify import simplify_chain
+    return simplify_chain(document_base(spark, sf), policy_df(spark), noise=salted_noise(spark, noise_scales()))
+
+
+@register("svt_private", with_chain("SELECT pid, level, attempt, pos FROM svt", salt=TEST_SALT))
+def q_svt_private(spark: SparkSession, sf: str) -> DataFrame:
+    """O29 with discrete Laplace draws under a salt."""
+    return private_chain(spark, sf).svt.select("pid", "level", "attempt", "pos")
+
+
+@register("top_k_private", with_chain("SELECT pid, level, attempt, pos FROM topk", salt=TEST_SALT))
+def q_top_k_private(spark: SparkSession, sf: str) -> DataFrame:
+    """O33, one-shot top-k with geometric draws under a salt, after private SVT."""
+    return private_chain(spark, sf).topk.select("pid", "level", "attempt", "pos")
+
+
+@register("minimize_private", with_chain(
+    f"SELECT pid, level, attempt, status, simplified, spent_eps AS eps_total, {sql_zcdp_eps('spent_rho_q')} AS eps_zcdp, "
+    "spent_exact AS exact_steps FROM chosen", salt=TEST_SALT))
+def q_minimize_private(spark: SparkSession, sf: str) -> DataFrame:
+    """O46 to O48 as a private run: no step ranks by exact scores, so the budget bounds all."""
+    return private_chain(spark, sf).chosen.select(
+        "pid", "level", "attempt", "status", "simplified", F.col("spent_eps").alias("eps_total"),
+        zcdp_eps("spent_rho_q").alias("eps_zcdp"), F.col("spent_exact").alias("exact_steps"))
+
+
 @register("knn_segments", with_chain("SELECT pid, level, attempt, pos FROM knn"))
 def q_knn_segments(spark: SparkSession, sf: str) -> DataFrame:
     """O22 (chain form): segments nearest the whole prompt under noisy cosine distance."""

@@ -34,7 +34,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pii import class_counts, mask_pii
+from ..functions.secret_noise import SecretNoise
 from ..functions.text import js_trim, segment_array, word_count
+from ..operators.budget import add_spent, spent_before, with_costs, zcdp_eps
 from ..operators.messages import with_level
 from ..operators.policy import DEFAULT_SEED, MAX_ATTEMPTS, attempt_params
 from ..operators.review import APPROVED, REJECTED, required_items, review
@@ -60,16 +62,23 @@ class Chain:
 
     ``base`` has pid, lang, text (cleaned) and, unless ``levels`` is given (level
     sweep), a ``level`` column. ``typos``: correct typing errors (O21) in the masked
-    text. ``measure``: carry characters, words and PII matches of the unmasked text.
+    text. ``measure``: carry characters, words and PII matches of the unmasked text. ``noise``: draw
+    the noise of SVT, top-k and NoisyKNN under a secret salt (a private run) instead of ``seed``.
+    ``idf``, ``score_thresholds``: those of a corpus snapshot (``operators.corpus_state``) instead of
+    the prompts' own.
     """
 
     def __init__(self, base: DataFrame, policy: DataFrame, levels: list[str] | None = None,
                  seed: int = DEFAULT_SEED, topk_noise: str | None = None,
                  idf: DataFrame | None = None, attempts: int = MAX_ATTEMPTS,
                  broadcast_max_bytes: int = BROADCAST_MAX_BYTES, typos: bool = False,
-                 measure: bool = False):
+                 measure: bool = False, noise: SecretNoise | None = None,
+                 score_thresholds: DataFrame | None = None):
         # joins keyed (pid, ...) reuse the partitioning by pid
         base.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        # a union of bucketed tables claims their partitioning, but bucketed reading may be
+        # turned off below it later: a group over the rounds would come out in pieces
+        base.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
         base = base.withColumn("lang", F.coalesce("lang", F.lit(UNKNOWN_LANG)))
         if levels is None:
             base, bad = with_level(base, "level")
@@ -80,8 +89,10 @@ class Chain:
         self.policy = policy
         self.levels = levels
         self.seed = seed
-        self.topk_noise = topk_noise
+        self.noise = noise
+        self.topk_noise = noise.top_noise if noise else topk_noise
         self._idf_in = idf
+        self._thresholds_in = score_thresholds
         self.attempts = attempts
         self.broadcast_max_bytes = broadcast_max_bytes
         self.typos = typos
@@ -154,6 +165,8 @@ class Chain:
 
     @cached_property
     def thresholds(self) -> DataFrame:
+        if self._thresholds_in is not None:
+            return self._thresholds_in
         return thresholds(self.scored, self.plan)
 
     # -- O29 / O33 / O22 / O45: all attempts, or those of one round ----------------
@@ -163,7 +176,10 @@ class Chain:
                 .join(F.broadcast(plan.select("level", "attempt", "b_thr", "b", "c_att",
                                               "k_att", "knn_att")), "level")
                 .join(F.broadcast(self.thresholds), ["level", "attempt"]))
-        return svt(rows, self.seed)
+        return svt(rows, self.seed, noise=self.noise)
+
+    def _top_k(self, rows: DataFrame) -> DataFrame:
+        return top_k(rows, self.seed, self.noise or self.topk_noise)
 
     def _rebuild(self, knn: DataFrame) -> DataFrame:
         return rebuild(knn.select("pid", "level", "attempt", "pos", "seg"),
@@ -175,11 +191,11 @@ class Chain:
 
     @cached_property
     def topk(self) -> DataFrame:
-        return top_k(self.svt, self.seed, self.topk_noise)
+        return self._top_k(self.svt)
 
     @cached_property
     def knn(self) -> DataFrame:
-        return knn_select(self.topk, self.seed)
+        return knn_select(self.topk, self.seed, noise=self.noise)
 
     @cached_property
     def rebuilt(self) -> DataFrame:
@@ -201,14 +217,15 @@ class Chain:
     def round(self, attempt: int, failed: DataFrame | None = None) -> DataFrame:
         """One attempt with its review, for all prompts or those of ``failed``."""
         m, scored = self.masked, self.scored
+        before = []  # what the attempts before have spent
         if failed is not None:
-            m = m.join(failed, ["pid", "level"], "left_semi")
-            scored = scored.join(failed, ["pid", "level"], "left_semi")
-        kept = self._rebuild(knn_select(top_k(self._svt(scored, attempt), self.seed, self.topk_noise),
-                                        self.seed))
+            m = m.join(failed, ["pid", "level"])
+            before = [c for c in failed.columns if c not in ("pid", "level")]
+            scored = scored.join(failed.select("pid", "level"), ["pid", "level"], "left_semi")
+        kept = self._rebuild(knn_select(self._top_k(self._svt(scored, attempt)), self.seed, noise=self.noise))
         plan = self.plan.where(F.col("attempt") == attempt).select(
-            "level", "attempt", "pass_score", "max_missing", "b_thr", "b", "c_att")
-        att = (m.select(*KEYS, "orig_tokens", *(["cb", "wb", "pb"] if self.measure else []))
+            "level", "attempt", "pass_score", "max_missing", "b_thr", "b", "c_att", "k_att", "knn_att")
+        att = (m.select(*KEYS, "orig_tokens", *before, *(["cb", "wb", "pb"] if self.measure else []))
                .join(F.broadcast(plan), "level")
                .join(kept.drop("attempt"), ["pid", "level"], "left")
                .join(self.required, ["pid", "level"], "left")
@@ -216,12 +233,8 @@ class Chain:
                .withColumn("n_kept", F.coalesce("n_kept", F.lit(0)))
                .withColumn("required", F.coalesce("required", F.array().cast("array<string>")))
                .withColumn("simp_tokens", content_tokens("simplified", "lang")))
-        # the privacy budget that the round's settings imply (SVT): threshold and hits
-        hits = F.greatest(F.lit(1), F.ceil(F.col("c_att") * F.coalesce("n_seg", F.lit(0))).cast("bigint"))
-        att = (att.withColumn("eps_threshold", (1 / F.col("b_thr")).cast("decimal(18,6)"))
-               .withColumn("eps_hits", (2 * hits / F.col("b")).cast("decimal(18,6)"))
-               .drop("b_thr", "b", "c_att", "n_seg"))
-        return review(att)
+        att = add_spent(with_costs(att, self.topk_noise), failed is not None)
+        return review(att.drop("b_thr", "b", "c_att", "k_att", "knn_att", "n_seg"))
 
     @cached_property
     def rounds(self) -> list[DataFrame]:
@@ -229,7 +242,7 @@ class Chain:
         failed = None
         for attempt in range(1, self.attempts + 1):
             out.append(self._stage(self.round(attempt, failed), f"round{attempt}"))
-            failed = out[-1].where(~F.col("passed")).select("pid", "level")
+            failed = out[-1].where(~F.col("passed")).select("pid", "level", *spent_before(out[-1]))
         return out
 
     @cached_property
@@ -265,7 +278,8 @@ def minimize(df: DataFrame, level: str | None = None, policy: DataFrame | None =
     """O49 on any table of prompts: clean-up, masking, typo correction, simplification and
     review. ``df`` has pid and text, perhaps lang; the privacy level is ``level``, or the
     column of that name. One row per prompt: pid, level, status, simplified, attempt,
-    similarity, missing, and the implied budget (eps_threshold, eps_hits)."""
+    similarity, missing, the budget of the chosen attempt's steps (eps_<step>) and that of all
+    attempts (eps_total, eps_zcdp, exact_steps; see ``operators.budget``)."""
     from ..functions.text import clean_text
     from ..operators.policy import policy_df
     lang = F.col("lang") if "lang" in df.columns else F.lit(UNKNOWN_LANG)
@@ -274,4 +288,6 @@ def minimize(df: DataFrame, level: str | None = None, policy: DataFrame | None =
                      (F.col("level") if level is None else F.lit(level)).alias("level"))
     chain = Chain(base, policy or policy_df(df.sparkSession), typos=True, **kw)
     return chain.chosen.select("pid", "level", "status", "simplified", "attempt", "similarity",
-                               "missing", "eps_threshold", "eps_hits")
+                               "missing", "eps_threshold", "eps_hits", "eps_top_k", "eps_knn",
+                               F.col("spent_eps").alias("eps_total"), zcdp_eps("spent_rho_q").alias("eps_zcdp"),
+                               F.col("spent_exact").alias("exact_steps"))
