@@ -33,7 +33,7 @@ def load_all() -> None:
     """Import the modules that register queries."""
     import importlib
     for mod in ("queries_messages", "queries_text", "queries_select", "queries_flow",
-                "queries_stream"):
+                "queries_stream", "queries_state"):
         try:
             importlib.import_module(f"{__package__}.{mod}")
         except ModuleNotFoundError as e:

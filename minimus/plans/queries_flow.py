@@ -7,11 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.noise import sql_laplace
+from ..functions.secret_noise import sql_draw, sql_value
 from ..functions.pii import mask_pii, sql_class_counts, sql_mask_pii
 from ..functions.text import clean_text, sql_clean_text, sql_word_count, word_count
 from ..operators import messages as M
 from ..operators.asof import pair_turns
+from ..operators.budget import (EPS, SQL_ATTEMPT_TOTAL, attempt_total, compose, ledger, rho, sql_rho, sql_zcdp_eps,
+                                steps_of)
 from ..operators.knn import centroids, noisy_knn
+from ..operators.knn_pruned import pruned_knn
 from ..operators.policy import DEFAULT_SEED, policy_df
 from ..operators.review import retry_history
 from ..operators.typos import correct_typos, typo_corrections, typo_vocab
@@ -21,7 +25,8 @@ from ..sources.tables import read_table
 from .catalog import register
 from .chain_sql import DOC_BASE, sql_fixed, typo_ctes, with_chain
 from .queries_messages import LOG_SQL
-from .queries_text import document_base
+from .queries_select import TEST_SALT, salted_noise
+from .queries_text import document_base, document_chain
 from .simplify import minimize, pii_total, simplify_chain
 
 LEVEL_NAMES = ["low", "medium", "high"]
@@ -82,7 +87,8 @@ def minimize_log(spark: SparkSession, sf: str):
     res = (ch.chosen.select(parts[0].cast("bigint").alias("conv_id"),
                             parts[1].cast("bigint").alias("turn"),
                             "pid", "level", "attempt", "status", "simplified", "similarity",
-                            "missing", "passed", "eps_threshold", "eps_hits")
+                            "missing", "passed", "eps_threshold", "eps_hits", "eps_top_k", "eps_knn",
+                            "spent_eps", "spent_rho_q", "spent_exact")
            .join(pairs, ["conv_id", "turn"], "left"))
     return res, ch
 
@@ -112,7 +118,8 @@ def q_minimize_prompts(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("minimize_documents", with_chain(
     "SELECT pid, level, status, simplified, attempt, round(similarity, 6) AS similarity, "
-    "array_to_string(missing, ',') AS missing, eps_threshold, eps_hits FROM chosen", typos=True))
+    "array_to_string(missing, ',') AS missing, eps_threshold, eps_hits, eps_top_k, eps_knn, "
+    f"spent_eps AS eps_total, {sql_zcdp_eps('spent_rho_q')} AS eps_zcdp, spent_exact AS exact_steps FROM chosen", typos=True))
 def q_minimize_documents(spark: SparkSession, sf: str) -> DataFrame:
     """O49 over ``documents``, which hold PII and secrets, each at its own level."""
     docs = read_table(spark, sf, "documents", ["doc_id", "text", "lang"], heavy=True)
@@ -124,8 +131,8 @@ def q_minimize_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 def finalize(res: DataFrame, history: DataFrame) -> DataFrame:
     """One JSON payload per prompt -- simplified question, answer, the review
-    metadata (status, similarity, missing items, retry history) and the implied budget.
-    Numbers are decimals, so their text does not depend on the engine."""
+    metadata (status, similarity, missing items, retry history) and the budget: of each step of
+    the chosen attempt, of each attempt (in the retry history), and of all together. Numbers are decimals, so their text does not depend on the engine."""
     j = res.join(history, ["pid", "level"], "left")
     payload = F.to_json(F.struct(
         F.col("status"),
@@ -134,8 +141,11 @@ def finalize(res: DataFrame, history: DataFrame) -> DataFrame:
         F.struct(F.round("similarity", 6).cast("decimal(8,6)").alias("similarity"),
                  F.col("missing").alias("missingItems"),
                  F.col("retry_history").alias("retryHistory")).alias("review"),
-        F.struct(F.col("eps_threshold").alias("threshold"),
-                 F.col("eps_hits").alias("hits")).alias("epsilon")), {"ignoreNullFields": "false"})
+        F.struct(F.col("eps_threshold").alias("threshold"), F.col("eps_hits").alias("hits"),
+                 F.col("eps_top_k").alias("topK"), F.col("eps_knn").alias("knn"),
+                 F.col("attempt").alias("attempts"), F.col("spent_eps").alias("total"),
+                 rho("spent_rho_q").alias("rho"), F.col("spent_exact").alias("exactSteps")).alias("epsilon")),
+        {"ignoreNullFields": "false"})
     return j.select("conv_id", "turn", "level", payload.alias("payload"))
 
 
@@ -145,18 +155,22 @@ _PAIRS_SQL = f"""
             FROM ({LOG_SQL}) WINDOW w AS (PARTITION BY conv_id ORDER BY turn))"""
 
 
-@register("finalize_payload", with_chain(_PAIRS_SQL + """
-, tries AS (SELECT pid, level, string_agg('{"attempt":' || attempt || ',"similarity":'
+@register("finalize_payload", with_chain(_PAIRS_SQL + f"""
+, tries AS (SELECT pid, level, string_agg('{{"attempt":' || attempt || ',"similarity":'
                || CAST(round(similarity, 6) AS DECIMAL(8,6)) || ',"missing_items":' || to_json(missing)::VARCHAR
-               || ',"passed":' || CAST(passed AS VARCHAR) || '}', ',' ORDER BY attempt) AS h
+               || ',"passed":' || CAST(passed AS VARCHAR)
+               || ',"epsilon":' || CAST({SQL_ATTEMPT_TOTAL} AS {EPS}) || '}}', ',' ORDER BY attempt) AS h
             FROM reviewed GROUP BY pid, level)
 SELECT CAST(split_part(c.pid, ':', 1) AS BIGINT) AS conv_id,
        CAST(split_part(c.pid, ':', 2) AS BIGINT) AS turn, c.level,
-       '{"status":' || to_json(c.status)::VARCHAR || ',"simplifiedMessage":' || to_json(c.simplified)::VARCHAR
+       '{{"status":' || to_json(c.status)::VARCHAR || ',"simplifiedMessage":' || to_json(c.simplified)::VARCHAR
        || ',"answer":' || coalesce(to_json(p.answer)::VARCHAR, 'null')
-       || ',"review":{"similarity":' || CAST(round(c.similarity, 6) AS DECIMAL(8,6))
+       || ',"review":{{"similarity":' || CAST(round(c.similarity, 6) AS DECIMAL(8,6))
        || ',"missingItems":' || to_json(c.missing)::VARCHAR || ',"retryHistory":[' || h.h
-       || ']},"epsilon":{"threshold":' || c.eps_threshold || ',"hits":' || c.eps_hits || '}}' AS payload
+       || ']}},"epsilon":{{"threshold":' || c.eps_threshold || ',"hits":' || c.eps_hits
+       || ',"topK":' || coalesce(CAST(c.eps_top_k AS VARCHAR), 'null') || ',"knn":' || c.eps_knn
+       || ',"attempts":' || c.attempt || ',"total":' || c.spent_eps || ',"rho":' || {sql_rho('c.spent_rho_q')}
+       || ',"exactSteps":' || c.spent_exact || '}}}}' AS payload
 FROM chosen c JOIN tries h ON h.pid = c.pid AND h.level = c.level
 LEFT JOIN pairs p
   ON p.conv_id = CAST(split_part(c.pid, ':', 1) AS BIGINT)
@@ -165,7 +179,30 @@ LEFT JOIN pairs p
 def q_finalize_payload(spark: SparkSession, sf: str) -> DataFrame:
     """The JSON payloads of the chat log's prompts."""
     res, ch = minimize_log(spark, sf)
-    return finalize(res, retry_history(ch.reviewed))
+    return finalize(res, retry_history(ch.reviewed, extra=(attempt_total().alias("epsilon"),)))
+
+
+# ---- budget: composition over steps and attempts, ledger over a conversation ----
+
+@register("prompt_budget", with_chain("""
+SELECT pid, level, 4 * count(*) AS n_steps, any_value(spent_eps) AS eps_total, any_value(spent_exact) AS exact_steps
+FROM reviewed JOIN spent USING (pid, level) GROUP BY pid, level"""))
+def q_prompt_budget(spark: SparkSession, sf: str) -> DataFrame:
+    """O48 with the accountant: basic composition over the steps of all attempts of a prompt,
+    from the long table of steps."""
+    return compose(steps_of(document_chain(spark, sf).reviewed), "pid", "level")
+
+
+@register("privacy_ledger", with_chain(f"""
+SELECT CAST(split_part(pid, ':', 1) AS BIGINT) AS conv_id, count(*) AS n_prompts,
+       CAST(sum(attempt) AS BIGINT) AS n_attempts, CAST(sum(spent_eps) AS {EPS}) AS eps_total,
+       {sql_rho('sum(spent_rho_q)')} AS rho_total, {sql_zcdp_eps('sum(spent_rho_q)')} AS eps_zcdp,
+       CAST(sum(spent_exact) AS BIGINT) AS exact_steps
+FROM chosen GROUP BY 1""", base_sql=CHAT_BASE, typos=True))
+def q_privacy_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """What the prompts of each conversation of the chat log have spent together."""
+    res, _ = minimize_log(spark, sf)
+    return ledger(res, "conv_id")
 
 
 # ---- O51 / O28: level sweep and report -----------------------------------------
@@ -188,8 +225,9 @@ def q_level_sweep(spark: SparkSession, sf: str) -> DataFrame:
 def minimization_report(chosen: DataFrame) -> DataFrame:
     """Characters, words and PII matches before / after, approval rate,
     by level x language with subtotals (rollup). ``chosen`` comes from a chain that
-    measures its unmasked input, so the raw text is not read again."""
-    m = chosen.select("level", "lang", "cb", "wb", "pb",
+    measures its unmasked input, so the raw text is not read again. Prompts compose in
+    parallel, so eps_total is the largest of a group."""
+    m = chosen.select("level", "lang", "cb", "wb", "pb", "spent_eps", "spent_exact",
                       F.length("simplified").alias("ca"), word_count("simplified").alias("wa"),
                       pii_total("simplified").alias("pa"), F.col("passed").cast("double").alias("ok"))
     return m.rollup("level", "lang").agg(
@@ -198,7 +236,8 @@ def minimization_report(chosen: DataFrame) -> DataFrame:
         F.sum("cb").alias("chars_before"), F.sum("ca").alias("chars_after"),
         F.sum("wb").alias("words_before"), F.sum("wa").alias("words_after"),
         F.sum("pb").alias("pii_before"), F.sum("pa").alias("pii_after"),
-        F.round(F.avg("ok"), 6).alias("approval_rate"))
+        F.round(F.avg("ok"), 6).alias("approval_rate"),
+        F.max("spent_eps").alias("eps_total"), F.max("spent_exact").alias("exact_steps"))
 
 
 def _sql_pii_total(e: str) -> str:
@@ -209,13 +248,13 @@ def _sql_pii_total(e: str) -> str:
 , m AS (SELECT c.level, c.lang, length(b.text) AS cb, length(c.simplified) AS ca,
                {sql_word_count('b.text')} AS wb, {sql_word_count('c.simplified')} AS wa,
                {_sql_pii_total('b.text')} AS pb, {_sql_pii_total('c.simplified')} AS pa,
-               CAST(c.passed AS DOUBLE) AS ok
+               CAST(c.passed AS DOUBLE) AS ok, c.spent_eps, c.spent_exact
         FROM chosen c JOIN base b ON c.pid = b.pid)
 SELECT level, lang, CAST(GROUPING(level, lang) AS BIGINT) AS gid, count(*) AS n_prompts,
        CAST(sum(cb) AS BIGINT) AS chars_before, CAST(sum(ca) AS BIGINT) AS chars_after,
        CAST(sum(wb) AS BIGINT) AS words_before, CAST(sum(wa) AS BIGINT) AS words_after,
        CAST(sum(pb) AS BIGINT) AS pii_before, CAST(sum(pa) AS BIGINT) AS pii_after,
-       round(avg(ok), 6) AS approval_rate
+       round(avg(ok), 6) AS approval_rate, max(spent_eps) AS eps_total, max(spent_exact) AS exact_steps
 FROM m GROUP BY ROLLUP (level, lang)""", sweep=True, typos=True))
 def q_minimization_report(spark: SparkSession, sf: str) -> DataFrame:
     """O28 over the level sweep of ``documents``."""
@@ -227,6 +266,10 @@ def q_minimization_report(spark: SparkSession, sf: str) -> DataFrame:
 def knn_job(spark: SparkSession, sf: str, noise_on: str) -> DataFrame:
     emb = read_table(spark, sf, "embeddings", ["vec_id", "embedding", "label"])
     qs = centroids(emb).select(F.col("label").alias("qid"), F.col("centroid").alias("qvec"))
+    if noise_on == "private":
+        noise = salted_noise(spark, {"scale": [repr(KNN_SCALE)]})
+        out = noisy_knn(qs, emb, KNN_K, KNN_SCALE, DEFAULT_SEED, noise=noise)
+        return out.select("qid", F.col("rank").cast("bigint").alias("rank"), "vec_id", "distance")
     out = noisy_knn(qs, emb, KNN_K, KNN_SCALE, DEFAULT_SEED, noise_on=noise_on)
     return out.select("qid", F.col("rank").cast("bigint").alias("rank"), "vec_id",
                       F.round("distance", 6).alias("distance"))
@@ -234,7 +277,11 @@ def knn_job(spark: SparkSession, sf: str, noise_on: str) -> DataFrame:
 
 def _sql_knn(noise_on: str) -> str:
     s = DEFAULT_SEED
-    if noise_on == "vector":
+    value, out = str, "round(distance, 6)"
+    if noise_on == "private":
+        q, value, out = "q0", sql_value, "distance"
+        noise = sql_draw(TEST_SALT, [repr(KNN_SCALE)], "scale", "knn", "qid", "vec_id")
+    elif noise_on == "vector":
         q = (f"list_transform(q0, lambda x, i: x + "
              f"{sql_laplace(repr(KNN_SCALE), s, chr(39) + 'vec' + chr(39), 'qid', 'i - 1')})")
         noise = "0.0"
@@ -248,11 +295,10 @@ co AS (SELECT label, dim, avg(x) AS m
        GROUP BY label, dim),
 cent AS (SELECT label AS qid, list(m ORDER BY dim) AS q0 FROM co GROUP BY label),
 qv AS (SELECT qid, {q} AS q FROM cent),
-d AS (SELECT qid, vec_id,
-             1.0 - list_dot_product(q, v) / (sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(v, v)))
+d AS (SELECT qid, vec_id, {value('1.0 - list_dot_product(q, v) / (sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(v, v)))')}
              + {noise} AS distance
-      FROM qv, e)
-SELECT qid, rank, vec_id, round(distance, 6) AS distance FROM (
+      FROM (SELECT *, CAST({KNN_SCALE!r} AS DOUBLE) AS scale FROM qv, e))
+SELECT qid, rank, vec_id, {out} AS distance FROM (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, vec_id) AS rank FROM d)
 WHERE rank <= {KNN_K}"""
 
@@ -263,6 +309,31 @@ def q_noisy_knn(spark: SparkSession, sf: str) -> DataFrame:
     return knn_job(spark, sf, "distance")
 
 
+@register("noisy_knn_private", _sql_knn("private"))
+def q_noisy_knn_private(spark: SparkSession, sf: str) -> DataFrame:
+    """K nearest embeddings to each label centroid, discrete Laplace draws under a salt."""
+    return knn_job(spark, sf, "private")
+
+
+def pruned_job(spark: SparkSession, sf: str, noise_on: str) -> DataFrame:
+    emb = read_table(spark, sf, "embeddings", ["vec_id", "embedding", "label"])
+    qs = centroids(emb).select(F.col("label").alias("qid"), F.col("centroid").alias("qvec"))
+    out = pruned_knn(qs, emb, KNN_K, KNN_SCALE, DEFAULT_SEED, noise_on=noise_on)
+    return out.select("qid", F.col("rank").cast("bigint").alias("rank"), "vec_id", F.round("distance", 6).alias("distance"))
+
+
+@register("knn_pruned", _sql_knn("distance"))
+def q_knn_pruned(spark: SparkSession, sf: str) -> DataFrame:
+    """O22 by pivots and blocks, noise on distances: the rows of ``noisy_knn``."""
+    return pruned_job(spark, sf, "distance")
+
+
+@register("knn_pruned_vector", _sql_knn("vector"))
+def q_knn_pruned_vector(spark: SparkSession, sf: str) -> DataFrame:
+    """O22 by pivots and blocks, noise per coordinate: the rows of ``noisy_knn_vector``."""
+    return pruned_job(spark, sf, "vector")
+
+
 @register("noisy_knn_vector", _sql_knn("vector"))
 def q_noisy_knn_vector(spark: SparkSession, sf: str) -> DataFrame:
     """K nearest embeddings to each noisy label centroid (noise per coordinate)."""
