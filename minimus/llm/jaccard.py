@@ -12,14 +12,17 @@ least 85 % of the union. Equal sets are one node from the start. Then:
   a whole.
 * Answers from a similar set's answers. First, every node is compared with one pivot, the
   smallest set of a list and size class that it meets most often. Nodes linked to a
-  pivot have its answers: within a component nothing more is asked. Then only pairs from
-  different components that share a list are compared, and a pair whose distances to a
-  common pivot differ by more than a link allows is skipped too (Jaccard distance obeys
-  the triangle inequality), as is a pair whose parity maps (one bit per hashed shingle,
-  flipped by each) differ in more bits than linked sets have unshared shingles. No link
-  between components can be lost this way.
-
-A comparison brings one text to the other's; a pivot with many partners is repeated over
+  pivot have its answers: within a component nothing more is asked. Then, in rounds, the
+  nodes outside a list's largest component ask: each is compared with the nodes of other
+  components that it may be linked with, the nearest first (1, then 4, 16 ... of them), and
+  links merge components before the next round. A pair whose distances to a common pivot
+  differ by more than a link allows is skipped (Jaccard distance obeys the triangle
+  inequality), as is a pair whose parity maps (one bit per hashed shingle, flipped by
+  each) differ in more bits than linked sets have unshared shingles. It ends when
+  nobody has anyone left to ask, so no link between components is lost; a round's questions
+  are a few per node and list, whatever a list's length.
+
+Long lists are dealt over chunks, and askers go to all chunks of their lists. A comparison brings one text to the other's; a pivot with many partners is repeated over
 salted groups of bounded size.
 
 Defined results: a null text or one without words has an empty set, linked with nothing;
@@ -32,7 +35,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from .anchors import with_rows
@@ -49,6 +52,11 @@ CHUNK = 1 << 15
 #: Partners that a group compares with one text, and rows that one merge step adds up.
 PARTNERS = 128
 MERGE = 64
+#: Rows of a chunk of a list, about; pairs that one numpy step looks at; by how much more names a
+#: node gets in each round.
+LIST_CHUNK = 4096
+PAIR_STEP = 1 << 17
+MORE = 4
 #: Bits of a set's parity map.
 PARITY = 512
 
@@ -227,61 +235,95 @@ def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return stage(map_batches(grouped, run, "a long, b long, shared long, together long").distinct(), "compared")
 
 
-def open_pairs(lists: DataFrame) -> DataFrame:
-    """(a, b): pairs of nodes of different components that share a list and may be linked.
-    ``lists``: (tok, n, pos, nid, comp, pivot, dist, parity), with all rows of a shingle."""
-    n = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    columns = ["tok", "n", "pos", "nid", "comp", "pivot", "dist", "parity"]
-    ordered = lists.select(columns).repartition(n, "tok").sortWithinPartitions("tok", "n", "pos", "nid")
-
-    def pairs_of(x):
-        size, pos, nid, comp, pivot, dist, parity = (x[c] for c in columns[1:])
-        values, at, many = np.unique(comp, return_inverse=True, return_counts=True)
-        outside = np.flatnonzero(at != many.argmax())
-        new = np.ones(len(size), bool)
-        new[1:] = (size[1:] != size[:-1]) | (pos[1:] != pos[:-1])
-        begin = np.flatnonzero(new)  # blocks of equal size and place
-        end = np.append(begin[1:], len(size))
-        bsize, bpos = size[begin], pos[begin]
-        for i in outside.tolist():
-            low, high = np.minimum(size[i], bsize), np.maximum(size[i], bsize)
-            passes = ((NUM * high <= DEN * low)
-                      & (np.minimum(size[i] - pos[i], bsize - bpos) >= need(size[i], bsize)))
-            blocks = np.flatnonzero(passes)
-            if not len(blocks):
-                continue
-            j = np.concatenate([np.arange(begin[k], end[k]) for k in blocks.tolist()])
-            ok = comp[j] != comp[i]
-            ok &= (at[j] == many.argmax()) | (j < i)  # two outsiders meet once
-            ok &= ~((pivot[j] == pivot[i]) & (np.abs(dist[j] - dist[i]) > 1 - NUM / DEN + 1e-9))
-            ok &= (pivot[j] != nid[i]) & (pivot[i] != nid[j])  # compared before
-            j = j[ok]
-            apart = np.bitwise_count(parity[j] ^ parity[i]).sum(axis=1)
-            j = j[apart <= size[i] + size[j] - 2 * need(size[i], size[j])]
-            if len(j):
-                yield np.minimum(nid[i], nid[j]), np.maximum(nid[i], nid[j])
+def dealt_lists(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, askers) of the lists of more than one component, staged. ``lists``: (tok, n, pos,
+    nid, comp, pivot, dist, parity). A list's members are dealt over chunks of about ``LIST_CHUNK``
+    rows; its nodes outside its largest component ask, so of any two nodes of different
+    components at least one asks, and an asker is sent to all chunks of its lists."""
+    sizes = lists.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("c"))
+    sizes = (sizes.groupBy("tok").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("rows"))
+             .where("m.c < rows").select("tok", F.col("m.comp").alias("main"), F.ceil(F.col("rows") / LIST_CHUNK).cast("int").alias("chunks")))
+    mixed = lists.join(sizes, "tok")
+    columns = ["tok", "n", "pos", "nid", "pivot", "dist", "parity"]
+    members = mixed.select(*columns, F.pmod(F.xxhash64("nid"), F.col("chunks")).cast("int").alias("chunk"))
+    askers = mixed.where("comp <> main").select(*columns, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    return stage(members, "list-members"), stage(askers, "list-askers")
+
+
+def ask(members: DataFrame, askers: DataFrame, roots: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(a, b): for every asker the ``k`` nodes, by parity maps the nearest, that share a list with
+    it, are in another component now, may be linked with it and were not asked before.
+    ``roots``: (node, root); ``asked``: (a, b) so far."""
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    before = asked.groupBy("a").agg(F.collect_list("b").alias("asked")).withColumnRenamed("a", "nid")  # an asker's own: a few times k
+    both = members.withColumn("role", F.lit(0)).withColumn("asked", F.lit(None).cast("array<long>")).unionByName(
+        askers.withColumn("role", F.lit(1)).join(before, "nid", "left"))
+    both = (both.join(roots.withColumnRenamed("node", "nid"), "nid", "left")
+            .withColumn("comp", F.coalesce("root", "nid")).drop("root"))
+    names = ["tok", "chunk", "role", "n", "pos", "nid", "comp", "pivot", "dist"]
+    ordered = both.select(*names, "parity", "asked").repartition(n, "tok", "chunk").sortWithinPartitions("tok", "chunk", "role")
+
+    def may_link(x, i, j):
+        """Of the index pairs (i, j): those that may be linked, and how far apart they look."""
+        ok = x["comp"][i] != x["comp"][j]
+        i, j = i[ok], j[ok]
+        ni, nj = x["n"][i], x["n"][j]
+        least = need(ni, nj)
+        ok = NUM * np.maximum(ni, nj) <= DEN * np.minimum(ni, nj)
+        ok &= np.minimum(ni - x["pos"][i], nj - x["pos"][j]) >= least
+        ok &= (x["pivot"][i] != x["nid"][j]) & (x["pivot"][j] != x["nid"][i])  # compared before
+        ok &= ~((x["pivot"][i] == x["pivot"][j]) & (np.abs(x["dist"][i] - x["dist"][j]) > 1 - NUM / DEN + 1e-9))
+        i, j, room = i[ok], j[ok], (ni + nj - 2 * least)[ok]
+        apart = np.bitwise_count(x["parity"][i] ^ x["parity"][j]).sum(axis=1)
+        ok = apart <= room
+        return i[ok], j[ok], apart[ok]
+
+    def nearest(x, done):
+        """Pairs of one batch of whole chunks (members first, then askers)."""
+        new = np.append(True, (x["tok"][1:] != x["tok"][:-1]) | (x["chunk"][1:] != x["chunk"][:-1]))
+        group = np.cumsum(new) - 1
+        begin = np.flatnonzero(new)
+        members_of = np.bincount(group, x["role"] == 0, len(begin)).astype(np.int64)
+        asking = np.flatnonzero(x["role"] == 1)
+        many = members_of[group[asking]]
+        upto = np.cumsum(many)
+        at = 0
+        while at < len(asking):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIR_STEP, "right")))
+            some, times = asking[at:to], many[at:to]
+            i = np.repeat(some, times)
+            j = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + begin[group[i]]
+            i, j, apart = may_link(x, i, j)
+            if done and len(i):
+                ok = np.array([p not in done for p in zip(x["nid"][i].tolist(), x["nid"][j].tolist(), strict=True)], bool)
+                i, j, apart = i[ok], j[ok], apart[ok]
+            order = np.lexsort((x["nid"][j], apart, i))
+            i, j, apart = i[order], j[order], apart[order]
+            first = np.arange(len(i)) - np.searchsorted(i, i) < k
+            yield pa.RecordBatch.from_arrays([pa.array(x["nid"][i[first]], pa.int64()), pa.array(x["nid"][j[first]], pa.int64()),
+                                              pa.array(apart[first].astype(np.int64), pa.int64())], ["a", "b", "apart"])
+            at = to
 
     def run(batches):
-        held = None
+        held = None  # the members of a chunk that may go on
         for b in batches:
-            x = {c: b.column(c).to_numpy(zero_copy_only=False) for c in columns[:-1]}
+            x = {c: b.column(c).to_numpy(zero_copy_only=False) for c in names}
             x["parity"] = np.frombuffer(b"".join(b.column("parity").to_pylist()), np.uint64).reshape(b.num_rows, -1)
+            lists_of = b.column("asked")
+            done = {(a, o) for a, some in zip(x["nid"].tolist(), lists_of.to_pylist(), strict=True) if some for o in some} \
+                if lists_of.null_count < len(lists_of) else set()
             if held is not None:
-                x = {c: np.concatenate([held[c], x[c]]) for c in columns}
+                x = {c: np.concatenate([held[c], v]) for c, v in x.items()}
             if not len(x["tok"]):
                 continue
-            edges = np.flatnonzero(np.append(True, x["tok"][1:] != x["tok"][:-1]))
-            held = {c: v[edges[-1]:] for c, v in x.items()}  # its shingle may go on
-            yield from emit(x, edges)
-        if held is not None:
-            yield from emit(held, np.array([0, len(held["tok"])]))
-
-    def emit(x, edges):
-        for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            for lo, hi in pairs_of({c: v[s:e] for c, v in x.items()}):
-                yield pa.RecordBatch.from_arrays([pa.array(hi, pa.int64()), pa.array(lo, pa.int64())], ["a", "b"])
+            yield from nearest(x, done)
+            last = (x["tok"] == x["tok"][-1]) & (x["chunk"] == x["chunk"][-1]) & (x["role"] == 0)
+            held = {c: v[last] for c, v in x.items()}
 
-    return map_batches(ordered, run, "a long, b long").distinct()
+    found = map_batches(ordered, run, "a long, b long, apart long")
+    found = found.groupBy("a", "b").agg(F.min("apart").alias("apart"))
+    place = F.row_number().over(W.partitionBy("a").orderBy("apart", "b"))
+    return stage(found.withColumn("place", place).where(F.col("place") <= k).select("a", "b"), "asked")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -310,19 +352,30 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     links = known.where(linked).select(F.col("a").alias("u"), F.col("b").alias("v"))
     roots = components(links)
 
-    # what is left: pairs of different components that share a list
-    marked = (lists.join(roots.withColumnRenamed("node", "nid"), "nid", "left")
-              .withColumn("comp", F.coalesce("root", "nid")))
-    mixed = marked.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tok")
+    # what is left: nodes of different components that share a list
     dist = known.select(F.col("a").alias("nid"), F.col("b").alias("pivot"), (1 - F.col("shared") / F.col("together")).alias("dist"))
     maps = nodes.select("nid", "doc_id", "row").join(sets.select("doc_id", "row", "parity").dropDuplicates(["doc_id", "row"]),
                                                      ["doc_id", "row"]).select("nid", "parity")
+    marked = lists.join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("comp", F.coalesce("root", "nid"))
+    mixed = marked.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tok")
     marked = (marked.join(mixed, "tok").join(dist, "nid", "left").join(maps, "nid")
               .select("tok", "n", "pos", "nid", "comp", F.coalesce("pivot", "nid").alias("pivot"),
                       F.coalesce("dist", F.lit(0.0)).alias("dist"), "parity"))
-    more = compare(stage(open_pairs(marked), "open-pairs"), texts)
-    links = links.unionByName(more.where(linked).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    roots = components(links)
+    members, askers = dealt_lists(marked)
+    asked = links.select(F.col("u").alias("a"), F.col("v").alias("b")).limit(0)
+    k = 1
+    while True:
+        now = ask(members, askers, roots, asked, k)
+        if now.isEmpty():
+            break
+        links = links.unionByName(compare(now, texts).where(linked).select(F.col("a").alias("u"), F.col("b").alias("v")))
+        roots = components(links)
+        # who got fewer than k names has none left: components only grow
+        active = stage(now.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= k).select("a"), "still-asking")
+        askers = stage(askers.join(active.withColumnRenamed("a", "nid"), "nid", "left_semi"), "list-askers")
+        members = stage(members.join(askers.select("tok", "chunk").distinct(), ["tok", "chunk"], "left_semi"), "list-members")
+        asked = asked.unionByName(now).join(active, "a", "left_semi")
+        k *= MORE
 
     joined = (sets.join(nodes.select("f1", "f2", "n", "nid"), ["f1", "f2", "n"], "left")
               .join(roots.withColumnRenamed("node", "nid"), "nid", "left")

@@ -62,6 +62,47 @@ def test_chains_at_the_threshold(make_docs):
     check(make_docs, [(i, t) for i, (_, t) in enumerate(rows)])
 
 
+def near_group(size, rng):
+    """Near copies around one text, some linked with each other, some not, and an outsider
+    with the same rare words."""
+    w = [f"g{i}" for i in range(120)]
+    rows = []
+    for _ in range(size):
+        x = list(w)
+        for _ in range(rng.randint(0, 6)):
+            x[rng.randrange(len(x))] = f"n{rng.randrange(10 ** 6)}"
+        rows.append(" ".join(x))
+    rows.append(" ".join(w[:60] + [f"o{i}" for i in range(60)]))
+    return rows
+
+
+def test_lists_in_chunks(make_docs, some, monkeypatch):
+    """Lists longer than a chunk, and steps of a few pairs."""
+    monkeypatch.setattr(jaccard, "LIST_CHUNK", 3)
+    monkeypatch.setattr(jaccard, "PAIR_STEP", 10)
+    texts = [t for _, t in some[:20]] + near_group(30, random.Random(9))
+    check(make_docs, list(enumerate(texts)))
+
+
+def test_pairs_grow_with_rows(make_docs, monkeypatch):
+    """A near-copy group of a third of all rows: what is compared grows with the rows."""
+    real, counts = jaccard.ask, []
+
+    def counted(*args):
+        out = real(*args)
+        counts.append(out.count())
+        return out
+    monkeypatch.setattr(jaccard, "ask", counted)
+    seen = []
+    for size in (40, 160):
+        rng = random.Random(size)
+        other = [" ".join(f"x{rng.randrange(10 ** 6)}" for _ in range(30)) for _ in range(2 * size)]
+        counts.clear()
+        check(make_docs, list(enumerate(near_group(size, rng) + other)))
+        seen.append(sum(counts))
+    assert seen[1] <= 6 * max(seen[0], 40)
+
+
 def test_odd_rows(make_docs, corpus):
     rows = jaccard.jaccard_report(make_docs(corpus)).collect()
     assert len(rows) == len(corpus)
