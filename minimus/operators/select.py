@@ -26,51 +26,40 @@ def token_bucket(tok) -> Column:
 
 def score_segments(segs: DataFrame, idf: DataFrame, keys=("pid", "lang", "level"),
                    back_to: str | None = None) -> DataFrame:
-    """O34 plus the prompt statistics the later steps need, in one pass.
+    """O34 plus the prompt statistics the later steps need.
 
     score = mean normalised IDF over the segment's distinct non-filler tokens
     (0 when none is known), summed in fixed point (see ``vocab.NIDF_SCALE``).
-    Hashed term vectors (64 md5 buckets): one hash aggregate per segment counts
-    its IDF sum and its tokens per bucket (c_0..c_63); one window per prompt
-    sums those into the prompt vector P. Then dot = <c, P>, ss = |c|^2,
-    pp = |P|^2 and n_seg (segments in the prompt).
+    Hashed term vectors (64 md5 buckets) are sparse: one row per segment and bucket that
+    it holds, with its token count n and IDF sum. A window over (prompt, bucket) adds up the
+    prompt's count p, and one aggregate per segment gives dot = sum n p, ss = sum n^2 and
+    the score; pp = |P|^2 is the sum of dot over the prompt, n_seg its segments. ``idf`` brings
+    the bucket of every known token; md5 runs for the others only.
 
     ``idf`` may be a broadcast side (then nothing here shuffles on data
     partitioned by ``pid``). Otherwise pass ``back_to='pid'``: token rows are
-    looked up with a shuffle join (segments without tokens get a unique dummy
-    key so they do not pile up on the NULL key) and go straight back to prompt
-    partitions.
+    looked up with a shuffle join and go straight back to prompt partitions. ``segs`` is
+    read twice, so it should be staged.
     """
     k = list(keys)
-    rows = (segs.select(*k, "pos", "seg",
-                        F.explode_outer(content_tokens("seg", "lang")).alias("token"))
-                .withColumn("bucket", token_bucket("token")))
-    if back_to:
-        rows = rows.withColumn("token", F.coalesce(
-            "token", F.concat(F.lit("\u0000"), F.col("pid"), F.lit(":"),
-                              F.col("pos").cast("string"))))
-    j = rows.join(idf.select("lang", "token", "nidf_q"), ["lang", "token"], "left")
+    rows = segs.select("pid", "lang", "level", "pos", F.explode(content_tokens("seg", "lang")).alias("token"))
+    j = rows.join(idf.select("lang", "token", "nidf_q", "bucket"), ["lang", "token"], "left")
     if back_to:
         j = j.repartition(back_to)
-    # the 64 counts travel as one array column: a row of 128 plain columns would
-    # exceed spark.sql.codegen.maxFields and drop whole-stage code generation
-    agg = j.groupBy(*k, "pos", "seg").agg(
-        (F.sum("nidf_q") / (F.count("nidf_q") * F.lit(NIDF_SCALE))).alias("score"),
-        F.array(*[F.count_if(F.col("bucket") == i) for i in range(N_BUCKETS)]).alias("c"))
-    w = Window.partitionBy("pid", "level")
-    withp = agg.select(*k, "pos", "seg", F.coalesce("score", F.lit(0.0)).alias("score"), "c",
-                       F.array(*[F.sum(F.col("c")[i]).over(w) for i in range(N_BUCKETS)])
-                       .alias("p"),
-                       F.count(F.lit(1)).over(w).alias("n_seg"))
-
-    def sumprod(a, b):
-        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0).cast("bigint"),
-                           lambda acc, x: acc + x)
-    return withp.select(*k, "pos", "seg", "score",
-                        sumprod(F.col("c"), F.col("p")).alias("dot"),
-                        sumprod(F.col("c"), F.col("c")).alias("ss"),
-                        "n_seg",
-                        sumprod(F.col("p"), F.col("p")).alias("pp"))
+    cells = (j.withColumn("bucket", F.coalesce("bucket", token_bucket("token")))
+              .groupBy("pid", "level", "pos", "bucket")
+              .agg(F.count(F.lit(1)).alias("n"), F.sum("nidf_q").alias("q"), F.count("nidf_q").alias("m")))
+    prompt_bucket = Window.partitionBy("pid", "level", "bucket")
+    parts = (cells.withColumn("p", F.sum("n").over(prompt_bucket)).groupBy("pid", "level", "pos").agg(
+        (F.sum("q") / (F.when(F.sum("m") > 0, F.sum("m")) * F.lit(NIDF_SCALE))).alias("score"),
+        F.sum(F.col("n") * F.col("p")).alias("dot"), F.sum(F.col("n") * F.col("n")).alias("ss")))
+    prompt = Window.partitionBy("pid", "level")
+    zero = F.lit(0).cast("bigint")
+    joined = segs.select(*k, "pos", "seg").join(parts, ["pid", "level", "pos"], "left")
+    return joined.select(*k, "pos", "seg", F.coalesce("score", F.lit(0.0)).alias("score"),
+                         F.coalesce("dot", zero).alias("dot"), F.coalesce("ss", zero).alias("ss"),
+                         F.count(F.lit(1)).over(prompt).alias("n_seg"),
+                         F.coalesce(F.sum("dot").over(prompt), zero).alias("pp"))
 
 
 def score_bin(score: str = "score") -> Column:

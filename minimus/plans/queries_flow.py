@@ -15,6 +15,7 @@ from ..operators.asof import pair_turns
 from ..operators.budget import (EPS, SQL_ATTEMPT_TOTAL, attempt_total, compose, ledger, rho, sql_rho, sql_zcdp_eps,
                                 steps_of)
 from ..operators.knn import centroids, noisy_knn
+from ..operators.language import fit_language, sql_identify, with_language
 from ..operators.knn_pruned import pruned_knn
 from ..operators.policy import DEFAULT_SEED, policy_df
 from ..operators.review import retry_history
@@ -65,15 +66,19 @@ def q_preprocess_text(spark: SparkSession, sf: str) -> DataFrame:
 # ---- O49 / O05: minimise the prompts of the chat log ---------------------------
 
 def chat_prompts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """(prompt table, log). Prompts are the user turns: pid 'conv:turn', no
-    language tag ('und'), cleaned text, the level the user picked."""
+    """(prompt table, log). Prompts are the user turns: pid 'conv:turn', cleaned text, the
+    level the user picked, and the language that a model of ``documents`` identifies."""
     log = chat_log(spark, sf)
     users = M.by_role(log, "user")
     base = users.select(F.concat_ws(":", F.col("conv_id").cast("string"),
                                     F.col("turn").cast("string")).alias("pid"),
-                        F.lit("und").alias("lang"), clean_text("content").alias("text"),
-                        F.col("simplify").alias("level"))
-    return base, log
+                        clean_text("content").alias("text"), F.col("simplify").alias("level"))
+    return with_language(base, document_language_model(spark, sf)).select("pid", "lang", "text", "level"), log
+
+
+def document_language_model(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents", ["text", "lang"], heavy=True)
+    return fit_language(docs.select("lang", clean_text("text").alias("text")))
 
 
 def minimize_log(spark: SparkSession, sf: str):
@@ -93,8 +98,17 @@ def minimize_log(spark: SparkSession, sf: str):
     return res, ch
 
 
-CHAT_BASE = f"""SELECT conv_id || ':' || turn AS pid, 'und' AS lang, {sql_clean_text('content')} AS text,
+_CHAT_PROMPTS = f"""SELECT conv_id || ':' || turn AS pid, {sql_clean_text('content')} AS text,
   simplify AS level FROM ({LOG_SQL}) WHERE role = 'user'"""
+_CHAT_LANGUAGE = sql_identify(_CHAT_PROMPTS, f"SELECT lang, {sql_clean_text('text')} AS text FROM documents")
+CHAT_BASE = f"""SELECT p.pid, coalesce(l.lang, 'und') AS lang, p.text, p.level
+FROM ({_CHAT_PROMPTS}) p LEFT JOIN ({_CHAT_LANGUAGE}) l ON l.pid = p.pid"""
+
+
+@register("prompt_language", f"SELECT pid, lang FROM ({CHAT_BASE})")
+def q_prompt_language(spark: SparkSession, sf: str) -> DataFrame:
+    """The language of every prompt of the chat log (for O44, O21 and O23)."""
+    return chat_prompts(spark, sf)[0].select("pid", "lang")
 
 
 @register("minimize_prompts", with_chain(f"""

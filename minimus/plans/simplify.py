@@ -41,7 +41,7 @@ from ..operators.messages import with_level
 from ..operators.policy import DEFAULT_SEED, MAX_ATTEMPTS, attempt_params
 from ..operators.review import APPROVED, REJECTED, required_items, review
 from ..operators.segments import content_tokens, drop_repeats, rebuild, strip_filler
-from ..operators.select import knn_select, score_segments, svt, thresholds, top_k
+from ..operators.select import knn_select, score_segments, svt, thresholds, token_bucket, top_k
 from ..operators.typos import correct_typos, typo_corrections, typo_vocab
 from ..operators.vocab import (BROADCAST_MAX_BYTES, build_vocab, corpus_sizes, idf_table,
                                lookup_bytes)
@@ -104,11 +104,18 @@ class Chain:
         return bucketed_stage(df, "pid", name, self.buckets, partitioned)
 
     # -- O23 / O25 -------------------------------------------------------------
+    @cached_property
+    def vocab(self) -> DataFrame:
+        """(lang, token, df, ...): one pass over the corpus serves the IDF table and the typos."""
+        return cut_lineage(typo_vocab(self.base)) if self.typos else build_vocab(self.base)
+
     @cached_property
     def idf(self) -> DataFrame:
-        if self._idf_in is not None:
-            return self._idf_in
-        return cut_lineage(idf_table(build_vocab(self.base), corpus_sizes(self.base)))
+        """The IDF table with each token's hash bucket, so that token rows need no md5."""
+        idf = self._idf_in
+        if idf is None:
+            idf = idf_table(self.vocab.select("lang", "token", "df"), corpus_sizes(self.base))
+        return cut_lineage(idf.withColumn("bucket", token_bucket("token")))
 
     @cached_property
     def idf_broadcast(self) -> bool:
@@ -122,26 +129,46 @@ class Chain:
     # -- O42, O21: masked prompts, partitioned by pid ---------------------------
     @cached_property
     def corrections(self) -> DataFrame:
-        return typo_corrections(cut_lineage(typo_vocab(self.base)))
+        return typo_corrections(self.vocab)
 
     @cached_property
-    def masked(self) -> DataFrame:
-        prompts = self.base if self.levels is None else self.base.withColumn(
-            "level", F.explode(F.array(*[F.lit(x) for x in self.levels])))
+    def variants(self) -> DataFrame:
+        """Masked prompts. In a level sweep, levels that mask a prompt alike are one row, named by
+        the first of them, with all of them in ``levels``: they are segmented and scored once."""
         size = []
         if self.measure:
             size = [F.length("text").alias("cb"), word_count("text").alias("wb"),
                     pii_total("text").alias("pb")]
-        m = prompts.select(*KEYS, mask_pii("text", "level").alias("masked"), *size)
+        if self.levels is None:
+            m = self.base.select(*KEYS, mask_pii("text", "level").alias("masked"), *size)
+        else:
+            texts = {x: f"__masked_{x}" for x in self.levels}
+            m = self.base.select("pid", "lang", *[mask_pii("text", x).alias(c) for x, c in texts.items()], *size)
+            m = m.withColumn("masked", F.explode(F.array_distinct(F.array(*texts.values()))))
+            same = F.array_compact(F.array(*[F.when(F.col(c) == F.col("masked"), x) for x, c in texts.items()]))
+            m = m.withColumn("levels", same).withColumn("level", F.get("levels", F.lit(0))).drop(*texts.values())
         if self.typos:
             m = correct_typos(m, self.corrections, text="masked")
         return self._stage(m.withColumn("orig_tokens", content_tokens("masked", "lang")), "masked",
                            partitioned=False)
 
+    def _every_level(self, df: DataFrame) -> DataFrame:
+        """Rows of variants (pid, level, ...) for each of their levels; no shuffle, all is
+        bucketed by pid."""
+        if self.levels is None:
+            return df
+        if "levels" not in df.columns:
+            df = df.join(self.variants.select("pid", "level", "levels"), ["pid", "level"])
+        return df.withColumn("level", F.explode("levels")).drop("levels")
+
+    @property
+    def masked(self) -> DataFrame:
+        return self._every_level(self.variants)
+
     # -- O43 / O32 ---------------------------------------------------------------
     @cached_property
     def segments(self) -> DataFrame:
-        return (self.masked.select(*KEYS, F.posexplode(segment_array("masked"))
+        return (self.variants.select(*KEYS, F.posexplode(segment_array("masked"))
                                    .alias("pos", "raw"))
                            .select(*KEYS, F.col("pos").cast("bigint").alias("pos"),
                                    js_trim("raw").alias("seg"))
@@ -149,16 +176,20 @@ class Chain:
 
     @cached_property
     def uniq(self) -> DataFrame:
-        return drop_repeats(self.segments, KEYS)
+        return self._stage(drop_repeats(self.segments, KEYS), "segments")
 
     # -- O34 ---------------------------------------------------------------------
     @cached_property
-    def scored(self) -> DataFrame:
-        s = score_segments(self.uniq, self.idf_side(["lang", "token", "nidf_q"]), KEYS,
+    def scored_variants(self) -> DataFrame:
+        s = score_segments(self.uniq, self.idf_side(["lang", "token", "nidf_q", "bucket"]), KEYS,
                            back_to="pid" if not self.idf_broadcast else None)
         # with a broadcast lookup the rows never left the masked stage's buckets
         return self._stage(s, "scored", partitioned=self.idf_broadcast)
 
+    @property
+    def scored(self) -> DataFrame:
+        return self._every_level(self.scored_variants)
+
     @cached_property
     def plan(self) -> DataFrame:
         return attempt_plan(self.policy, self.attempts)
@@ -205,14 +236,14 @@ class Chain:
     @cached_property
     def required(self) -> DataFrame:
         """Intent items and segment count per prompt, computed once for all rounds."""
-        tok_idf = (self.masked.select("pid", "lang", "level", F.explode("orig_tokens").alias("token"))
+        tok_idf = (self.variants.select("pid", "lang", "level", F.explode("orig_tokens").alias("token"))
                    .join(self.idf_side(["lang", "token", F.col("nidf_q").alias("idf")]),
                          ["lang", "token"]))
         if not self.idf_broadcast:
             tok_idf = tok_idf.repartition(self.buckets, "pid")
         items = required_items(tok_idf, keys=("pid", "level"))
-        counts = self.scored.groupBy("pid", "level").agg(F.max("n_seg").alias("n_seg"))
-        return self._stage(items.join(counts, ["pid", "level"], "full"), "required")
+        counts = self.scored_variants.groupBy("pid", "level").agg(F.max("n_seg").alias("n_seg"))
+        return self._every_level(self._stage(items.join(counts, ["pid", "level"], "full"), "required"))
 
     def round(self, attempt: int, failed: DataFrame | None = None) -> DataFrame:
         """One attempt with its review, for all prompts or those of ``failed``."""
