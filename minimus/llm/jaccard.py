@@ -14,7 +14,7 @@ least 85 % of the union. Equal sets are one node from the start. Then:
   smallest set of a list and size class that it meets most often. Nodes linked to a
   pivot have its answers: within a component nothing more is asked. Then, in rounds, the
   nodes outside a list's largest component ask: each is compared with the nodes of other
-  components that it may be linked with, the nearest first (1, then 4, 16 ... of them), and
+  components that it may be linked with, the nearest first (4, then 64 ... of them), and
   links merge components before the next round. A pair whose distances to a common pivot
   differ by more than a link allows is skipped (Jaccard distance obeys the triangle
   inequality), as is a pair whose parity maps (one bit per hashed shingle, flipped by
@@ -52,11 +52,11 @@ CHUNK = 1 << 15
 #: Partners that a group compares with one text, and rows that one merge step adds up.
 PARTNERS = 128
 MERGE = 64
-#: Rows of a chunk of a list, about; pairs that one numpy step looks at; by how much more names a
-#: node gets in each round.
+#: Rows of a chunk of a list, about; pairs that one numpy step looks at.
 LIST_CHUNK = 4096
 PAIR_STEP = 1 << 17
-MORE = 4
+#: Names that a node gets in the first round, and how many times more in each further one.
+FIRST, MORE = 4, 16
 #: Bits of a set's parity map.
 PARITY = 512
 
@@ -235,31 +235,38 @@ def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return stage(map_batches(grouped, run, "a long, b long, shared long, together long").distinct(), "compared")
 
 
-def dealt_lists(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, askers) of the lists of more than one component, staged. ``lists``: (tok, n, pos,
-    nid, comp, pivot, dist, parity). A list's members are dealt over chunks of about ``LIST_CHUNK``
-    rows; its nodes outside its largest component ask, so of any two nodes of different
-    components at least one asks, and an asker is sent to all chunks of its lists."""
+def dealt_lists(lists: DataFrame, known: DataFrame, maps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, askers) of the lists of more than one component. ``lists``: (tok, n, pos, nid,
+    comp); ``known``: (nid, pivot, dist); ``maps``: (nid, parity). A list's members are dealt
+    over chunks of about ``LIST_CHUNK`` rows; its nodes outside its largest component ask, so of
+    any two nodes of different components at least one asks, and an asker is sent to all
+    chunks of its lists. Both are read from one staged table."""
     sizes = lists.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("c"))
     sizes = (sizes.groupBy("tok").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("rows"))
              .where("m.c < rows").select("tok", F.col("m.comp").alias("main"), F.ceil(F.col("rows") / LIST_CHUNK).cast("int").alias("chunks")))
-    mixed = lists.join(sizes, "tok")
-    columns = ["tok", "n", "pos", "nid", "pivot", "dist", "parity"]
+    mixed = stage(lists.join(sizes, "tok").join(known, "nid", "left").join(maps, "nid").select(
+        "tok", "n", "pos", "nid", "comp", F.coalesce("pivot", "nid").alias("pivot"), F.coalesce("dist", F.lit(0.0)).alias("dist"),
+        "parity", "main", "chunks"), "mixed-lists")
+    columns = ["tok", "n", "pos", "nid", "comp", "pivot", "dist", "parity"]
     members = mixed.select(*columns, F.pmod(F.xxhash64("nid"), F.col("chunks")).cast("int").alias("chunk"))
     askers = mixed.where("comp <> main").select(*columns, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    return stage(members, "list-members"), stage(askers, "list-askers")
+    return members, askers
 
 
-def ask(members: DataFrame, askers: DataFrame, roots: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+def renamed(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """List rows with the components of now."""
+    return (rows.drop("comp").join(roots.withColumnRenamed("node", "nid"), "nid", "left")
+            .withColumn("comp", F.coalesce("root", "nid")).drop("root"))
+
+
+def ask(members: DataFrame, askers: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """(a, b): for every asker the ``k`` nodes, by parity maps the nearest, that share a list with
-    it, are in another component now, may be linked with it and were not asked before.
-    ``roots``: (node, root); ``asked``: (a, b) so far."""
+    it, are in another component, may be linked with it and were not asked before
+    (``asked``: (a, b) so far)."""
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     before = asked.groupBy("a").agg(F.collect_list("b").alias("asked")).withColumnRenamed("a", "nid")  # an asker's own: a few times k
     both = members.withColumn("role", F.lit(0)).withColumn("asked", F.lit(None).cast("array<long>")).unionByName(
         askers.withColumn("role", F.lit(1)).join(before, "nid", "left"))
-    both = (both.join(roots.withColumnRenamed("node", "nid"), "nid", "left")
-            .withColumn("comp", F.coalesce("root", "nid")).drop("root"))
     names = ["tok", "chunk", "role", "n", "pos", "nid", "comp", "pivot", "dist"]
     ordered = both.select(*names, "parity", "asked").repartition(n, "tok", "chunk").sortWithinPartitions("tok", "chunk", "role")
 
@@ -356,25 +363,21 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     dist = known.select(F.col("a").alias("nid"), F.col("b").alias("pivot"), (1 - F.col("shared") / F.col("together")).alias("dist"))
     maps = nodes.select("nid", "doc_id", "row").join(sets.select("doc_id", "row", "parity").dropDuplicates(["doc_id", "row"]),
                                                      ["doc_id", "row"]).select("nid", "parity")
-    marked = lists.join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("comp", F.coalesce("root", "nid"))
-    mixed = marked.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tok")
-    marked = (marked.join(mixed, "tok").join(dist, "nid", "left").join(maps, "nid")
-              .select("tok", "n", "pos", "nid", "comp", F.coalesce("pivot", "nid").alias("pivot"),
-                      F.coalesce("dist", F.lit(0.0)).alias("dist"), "parity"))
-    members, askers = dealt_lists(marked)
+    members, askers = dealt_lists(renamed(lists.withColumn("comp", F.col("nid")), roots), dist, maps)
     asked = links.select(F.col("u").alias("a"), F.col("v").alias("b")).limit(0)
-    k = 1
+    k = FIRST
     while True:
-        now = ask(members, askers, roots, asked, k)
+        now = ask(members, askers, asked, k)
         if now.isEmpty():
             break
-        links = links.unionByName(compare(now, texts).where(linked).select(F.col("a").alias("u"), F.col("b").alias("v")))
+        links = stage(links.unionByName(compare(now, texts).where(linked).select(F.col("a").alias("u"), F.col("b").alias("v"))), "all-links")
         roots = components(links)
         # who got fewer than k names has none left: components only grow
         active = stage(now.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= k).select("a"), "still-asking")
-        askers = stage(askers.join(active.withColumnRenamed("a", "nid"), "nid", "left_semi"), "list-askers")
-        members = stage(members.join(askers.select("tok", "chunk").distinct(), ["tok", "chunk"], "left_semi"), "list-members")
-        asked = asked.unionByName(now).join(active, "a", "left_semi")
+        askers = stage(renamed(askers.join(small_side(active.withColumnRenamed("a", "nid")), "nid", "left_semi"), roots), "list-askers")
+        chunks = stage(askers.select("tok", "chunk").distinct(), "open-chunks")
+        members = stage(renamed(members.join(small_side(chunks), ["tok", "chunk"], "left_semi"), roots), "list-members")
+        asked = stage(asked.unionByName(now).join(active, "a", "left_semi"), "asked-so-far")
         k *= MORE
 
     joined = (sets.join(nodes.select("f1", "f2", "n", "nid"), ["f1", "f2", "n"], "left")
