@@ -16,9 +16,11 @@ DataFrame functions only. The signatures are broadcast behind a check of their w
 size, else joined by a shuffle.
 
 Defined results: null, empty and wordless texts neither contaminate nor are contaminated;
-rows that repeat a doc_id or item_id count as one document or item holding the union of
-their shingles; a null id is an id of its own kind and takes no part; empty tables give
-no pairs.
+rows that repeat a doc_id count as one document holding the union of their shingles; an item_id
+with several texts is reported by the text of which a document holds most; a null id is an id of
+its own kind and takes no part; empty tables give no pairs. An item of fewer words than a
+shingle is found wherever its words stand in a row, but ``clean_documents`` drops documents for items
+of at least ``LEAST_WORDS`` words only: one common word is no leak.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from .common import small_side, stage
 SHINGLE = 5
 #: Contaminated from this share of an item's shingles on: PARTS[0] / PARTS[1].
 PARTS = (4, 5)
+#: Words of the shortest item that removes documents.
+LEAST_WORDS = SHINGLE
 
 
 def normal_words(text: Column) -> Column:
@@ -56,30 +60,32 @@ def _both_at(words: str, h: str, size: int):
 
 
 def item_shingles(items: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(item_id, k, shingle, h, n, n_sig): distinct shingles of k words with their hashes, the
-    size of the item's set, and how many of its smallest hashes form the signature."""
-    rows = items.where(F.col("item_id").isNotNull()).select("item_id", normal_words(F.col("text")).alias("words"))
+    """(item_id, v, k, shingle, h, n, n_sig): of each text v of an item the distinct shingles of k
+    words with their hashes, the size of the set, and how many of its smallest hashes form the
+    signature."""
+    rows = items.where(F.col("item_id").isNotNull()).select(
+        "item_id", F.xxhash64("text").alias("v"), normal_words(F.col("text")).alias("words"))
     rows = (rows.where(F.size("words") > 0)
             .withColumn("k", F.least(F.size("words"), F.lit(size)))
             .withColumn("hs", F.transform("words", lambda w: F.xxhash64(w))))
     pieces = [rows.where(F.col("k") == k).select(
-        "item_id", "k", F.explode(_windows("words", k, _both_at("words", "hs", k))).alias("s"))
+        "item_id", "v", "k", F.explode(_windows("words", k, _both_at("words", "hs", k))).alias("s"))
         for k in range(1, size + 1)]
     out = pieces[0]
     for p in pieces[1:]:
         out = out.unionByName(p)
-    out = out.select("item_id", "k", "s.shingle", "s.h").distinct()
-    per = out.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    out = out.select("item_id", "v", "k", "s.shingle", "s.h").distinct()
+    per = out.groupBy("item_id", "v").agg(F.count(F.lit(1)).alias("n"))
     spare = F.floor(F.col("n") * (PARTS[1] - PARTS[0]) / PARTS[1])
-    return out.join(per.withColumn("n_sig", spare + 1), "item_id")
+    return out.join(per.withColumn("n_sig", spare + 1), ["item_id", "v"])
 
 
 def signatures(shingles: DataFrame) -> DataFrame:
-    """(item_id, k, h): the n_sig smallest hashes of each item."""
-    least = shingles.groupBy("item_id", "n_sig").agg(
+    """(item_id, k, h): the n_sig smallest hashes of each text of an item."""
+    least = shingles.groupBy("item_id", "v", "n_sig").agg(
         F.array_sort(F.collect_set(F.struct(F.col("h"), F.col("k")))).alias("all"))
     return least.select("item_id", F.explode(F.slice("all", 1, F.col("n_sig").cast("int"))).alias("s")).select(
-        "item_id", "s.k", "s.h")
+        "item_id", "s.k", "s.h").distinct()
 
 
 def _doc_hashes(docs: DataFrame, lengths: list[int]) -> DataFrame:
@@ -111,16 +117,19 @@ def find_contamination(docs: DataFrame, items: DataFrame, size: int = SHINGLE) -
     grams = held[0]
     for g in held[1:]:
         grams = grams.unionByName(g)
-    found = grams.join(small_side(shingles).select("item_id", "k", "shingle", "n"), ["k", "shingle"])
-    shared = (found.select("doc_id", "item_id", "n", "shingle").distinct()
-              .groupBy("doc_id", "item_id", "n").agg(F.count(F.lit(1)).alias("shared")))
+    found = grams.join(small_side(shingles).select("item_id", "v", "k", "shingle", "n"), ["k", "shingle"])
+    shared = (found.select("doc_id", "item_id", "v", "n", "shingle").distinct()
+              .groupBy("doc_id", "item_id", "v", "n").agg(F.count(F.lit(1)).alias("shared")))
+    most = F.max(F.struct((F.col("shared") / F.col("n")).alias("part"), "shared", "n")).alias("m")
     return (shared.join(pairs, ["doc_id", "item_id"], "left_semi")
             .where(F.col("shared") * PARTS[1] >= F.col("n") * PARTS[0])
-            .select("doc_id", "item_id", "shared", F.col("n").alias("n_shingles")))
+            .groupBy("doc_id", "item_id").agg(most)
+            .select("doc_id", "item_id", "m.shared", F.col("m.n").alias("n_shingles")))
 
 
-def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that no item contaminates."""
+def clean_documents(docs: DataFrame, items: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """The documents that no item of at least ``least_words`` words contaminates."""
+    items = items.where(F.size(normal_words(F.col("text"))) >= least_words)
     bad = stage(find_contamination(docs, items).select("doc_id").distinct(), "contaminated")
     return docs.join(small_side(bad), "doc_id", "left_anti").select(docs.columns)
 
@@ -128,14 +137,16 @@ def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
 FIND_SQL = r"""
 WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w
             FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-iw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w
+iw AS (SELECT DISTINCT item_id, text, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w
        FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
-i AS (SELECT DISTINCT item_id, least(len(w), 5) AS k,
+i AS (SELECT DISTINCT item_id, text, least(len(w), 5) AS k,
         unnest(list_transform(range(1, len(w) - least(len(w), 5) + 2), lambda p: array_to_string(w[p:p + least(len(w), 5) - 1], ' '))) AS s
       FROM iw WHERE len(w) > 0),
-n AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id),
+n AS (SELECT item_id, text, count(*) AS n FROM i GROUP BY item_id, text),
 d AS (SELECT DISTINCT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda p: array_to_string(w[p:p + k - 1], ' '))) AS s
       FROM dw, (SELECT DISTINCT k FROM i) WHERE len(w) >= k),
-c AS (SELECT d.doc_id, i.item_id, count(*) AS shared FROM d JOIN i ON d.k = i.k AND d.s = i.s GROUP BY 1, 2)
-SELECT c.doc_id, c.item_id, c.shared, n.n AS n_shingles FROM c JOIN n USING (item_id) WHERE c.shared * 5 >= n.n * 4
+c AS (SELECT d.doc_id, i.item_id, i.text, count(*) AS shared FROM d JOIN i ON d.k = i.k AND d.s = i.s GROUP BY 1, 2, 3),
+best AS (SELECT c.doc_id, c.item_id, max({'part': c.shared / n.n, 'shared': c.shared, 'n': n.n}) AS m
+         FROM c JOIN n USING (item_id, text) WHERE c.shared * 5 >= n.n * 4 GROUP BY c.doc_id, c.item_id)
+SELECT doc_id, item_id, m.shared AS shared, m.n AS n_shingles FROM best
 """

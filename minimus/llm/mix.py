@@ -12,7 +12,7 @@ plus a prefix sum over bucket totals, so a source with a third of all rows is sp
 over the buckets and no window holds a whole source.
 
 Defined results: a null text has size 0; a null source is a source of its own, ranked
-last; a null doc_id is an ordinary row; equal rows are separate documents; sources
+last; a row without doc_id is shuffled by its text; equal rows are separate documents; sources
 without words get target 0; an empty table gives an empty mix.
 """
 
@@ -70,9 +70,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, budget=BUDGET, repeats: in
             .select("source", "source_size", "target"))
 
 
-def shuffle_key(doc_id: Column, copy: Column) -> Column:
-    return F.md5(F.concat(F.lit(SEED + ":"), copy.cast("string"), F.lit(":"),
-                          F.coalesce(doc_id.cast("string"), F.lit(""))))
+def shuffle_key(name: Column, copy: Column) -> Column:
+    return F.md5(F.concat(F.lit(SEED + ":"), copy.cast("string"), F.lit(":"), name))
 
 
 def queue_entries(sizes: DataFrame, targets: DataFrame, repeats: int = REPEATS,
@@ -81,7 +80,7 @@ def queue_entries(sizes: DataFrame, targets: DataFrame, repeats: int = REPEATS,
     ``served`` (words, at most size) and virtual ``start`` and ``finish``."""
     digits = len(f"{buckets - 1:x}")
     rows = (sizes.withColumn("copy", F.explode(F.array(*[F.lit(i) for i in range(repeats)])))
-            .withColumn("__key", shuffle_key(F.col("doc_id"), F.col("copy")))
+            .withColumn("__key", shuffle_key(F.col("__name"), F.col("copy")))
             .withColumn("__bucket", F.col("copy") * buckets
                         + F.conv(F.substring("__key", 1, digits), 16, 10).cast("int") % buckets)
             .withColumn("__src", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))))
@@ -106,8 +105,10 @@ def queue_entries(sizes: DataFrame, targets: DataFrame, repeats: int = REPEATS,
 
 def sized(docs: DataFrame, *more: Column) -> DataFrame:
     """The narrow table that the mix works on, written once: row (a key of the row, as
-    doc_id may repeat), doc_id, source and size."""
-    return stage(docs.select("doc_id", "source", words_in(F.col("text")).alias("size"), *more)
+    doc_id may repeat), doc_id, source, size and what the shuffle goes by: the doc_id, or a hash of
+    the text where there is none, so that such rows spread as well."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
+    return stage(docs.select("doc_id", "source", words_in(F.col("text")).alias("size"), name.alias("__name"), *more)
                  .withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
 
 
@@ -151,7 +152,8 @@ def mix_report(docs: DataFrame) -> DataFrame:
 
 REPORT_SQL = r"""
 WITH sizes AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) AS name
   FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size FROM sizes GROUP BY source),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rnk FROM per),
@@ -170,7 +172,7 @@ targets AS (
          ELSE least(c.lvl * l.w, l.cap::DOUBLE) END AS target
   FROM levels l LEFT JOIN cut c ON true),
 entries AS (
-  SELECT s.*, c.copy, md5('mix:' || c.copy || ':' || coalesce(s.doc_id::VARCHAR, '')) AS k
+  SELECT s.*, c.copy, md5('mix:' || c.copy || ':' || s.name) AS k
   FROM sizes s CROSS JOIN (SELECT unnest([0, 1]) AS copy) c),
 summed AS (
   SELECT *, sum(size) OVER (PARTITION BY source ORDER BY copy, k, size, doc_id

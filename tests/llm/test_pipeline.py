@@ -56,3 +56,29 @@ def test_stages(spark, sf):
         start += len(ids)
     assert got == want
     assert quality.CUT == 0.3
+
+
+def test_odd_rows(spark, sf, make_docs):
+    """Nulls, empty and repeated rows, a clashing column, and no rows at all, through all stages."""
+    text = "plain words of a text that stands here for a document and goes on for some time"
+    odd = [(1, None), (2, ""), (None, text), (None, None), (3, text), (3, text), (4, text + " more"), (5, " \n"),
+           (6, "a"), (7, "x" * 30000), (8, text, None)]
+    for rows in (odd, []):
+        docs = make_docs(rows)
+        columns = docs.columns
+        for name, step in P.STAGES[:-1]:
+            before = docs
+            docs = stage(step(spark, docs, sf), f"test-odd-{name}")
+            assert docs.columns == columns
+            kept = docs.select("doc_id", "text").distinct()
+            assert kept.exceptAll(before.select("doc_id", "text").distinct()).isEmpty()
+        out = P.STAGES[-1][1](spark, docs, sf)
+        assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() == docs.count()
+    # stage by stage on the odd rows themselves
+    docs = make_docs(odd)
+    one = P.keep_one_of_each(spark, docs, sf)
+    assert sorted((r.doc_id is not None, r.doc_id or 0) for r in one.collect() if r.text and r.text.startswith("plain")) == \
+        [(False, 0), (True, 3), (True, 3)]
+    assert P.keep_uncontaminated(spark, docs, sf).count() == len(odd)
+    mixed = P.mix_sources(spark, docs, sf)
+    assert all(r.text and r.text.strip() for r in mixed.collect())

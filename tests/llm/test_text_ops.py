@@ -137,13 +137,26 @@ def test_decontamination_matches_sql(spark, make_docs):
     assert sorted(map(tuple, decontaminate.find_contamination(docs, bench).collect())) == want
     clean = decontaminate.clean_documents(docs, bench)
     assert clean.columns == docs.columns
-    bad = {d for d, *_ in want}
+    short = {4, 5, 21}  # items under five words remove nothing
+    bad = {d for d, i, *_ in want if i not in short}
     assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(d) for d, _ in rows if d not in bad)
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_contamination(docs, none).collect() == []
     assert decontaminate.find_contamination(make_docs([]), bench).collect() == []
 
 
+def test_short_items_and_repeated_ids(spark, make_docs):
+    """A one-word item is found but removes nothing; each text of an item_id counts by itself."""
+    whole = " ".join(f"held{i}" for i in range(20))
+    other = " ".join(f"else{i}" for i in range(30))
+    bench = spark.createDataFrame([(1, "yes"), (2, whole), (2, other), (2, whole)], "item_id long, text string")
+    docs = make_docs([(1, "oh yes indeed"), (2, "so " + whole + " end"), (3, "no"), (4, whole[:60])])
+    got = sorted(map(tuple, decontaminate.find_contamination(docs, bench).collect()))
+    assert got == [(1, 1, 1, 1), (2, 2, 16, 16)]
+    assert sorted(r.doc_id for r in decontaminate.clean_documents(docs, bench).collect()) == [1, 3, 4]
+    assert sorted(r.doc_id for r in decontaminate.clean_documents(docs, bench, 1).collect()) == [3, 4]
+
+
 # ---- chat formatting
 
 TURNS = [(1, 0, "user", "hi"), (1, 1, "user", "there <|im_sep|> \\l \\e"), (1, 2, "assistant", "a<b\\n"),
