@@ -1,5 +1,6 @@
-"""Registered jobs over stored state: the append-only log (O04) and the corpus state that
-versions of documents keep up to date (O25, O23, the histogram of O29)."""
+"""Registered jobs over stored state: the append-only log (O04), prefix scans by range over a
+log (O18, O30, O50) and the corpus state that versions of documents keep up to date (O25, O23, the
+histogram of O29)."""
 
 from __future__ import annotations
 
@@ -8,13 +9,14 @@ from pyspark.sql import functions as F
 
 from ..operators.corpus_state import CorpusState
 from ..operators.policy import DEFAULT_SEED, policy_df
+from ..operators.range_scan import history_by_range, single_flight_by_range
 from ..schema import MESSAGE
 from ..session import scratch_path
 from ..sources.log_store import Log
 from ..sources.messages import chat_log
 from ..sources.tables import read_table
 from ..streaming.jobs import read_message_stream
-from .catalog import register
+from .catalog import ORACLE, register
 from .chain_sql import DOC_BASE, with_chain
 from .queries_messages import WITH_LOG
 from .queries_text import document_base
@@ -35,6 +37,18 @@ def q_append_log(spark: SparkSession, sf: str) -> DataFrame:
     return log.read()
 
 
+@register("history_by_range", ORACLE["simplify_history"])
+def q_history_by_range(spark: SparkSession, sf: str) -> DataFrame:
+    """O50 by a prefix scan over ranges of (conversation, turn)."""
+    return history_by_range(chat_log(spark, sf))
+
+
+@register("single_flight_by_range", ORACLE["single_flight"])
+def q_single_flight_by_range(spark: SparkSession, sf: str) -> DataFrame:
+    """O30 by a prefix scan over ranges of (conversation, turn)."""
+    return single_flight_by_range(chat_log(spark, sf)).select("conv_id", "turn", "content")
+
+
 # Versions of the corpus: English documents come first, the others next, and what ``labels``
 # marks toxic is taken down again.
 TOXIC_SQL = "(SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE toxic = 1)"
