@@ -196,9 +196,10 @@ class Chain:
 
     @cached_property
     def thresholds(self) -> DataFrame:
+        """A row per level and attempt, kept: every round reads it."""
         if self._thresholds_in is not None:
-            return self._thresholds_in
-        return thresholds(self.scored, self.plan)
+            return cut_lineage(self._thresholds_in)
+        return cut_lineage(thresholds(self.scored, self.plan))
 
     # -- O29 / O33 / O22 / O45: all attempts, or those of one round ----------------
     def _svt(self, scored: DataFrame, attempt: int | None = None) -> DataFrame:
