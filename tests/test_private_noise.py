@@ -158,3 +158,11 @@ def test_ledger(spark):
 def test_no_segments_count_as_one(spark):
     row = budget.with_costs(attempt(spark, [("p", "low", 1, 1.0, 1.0, 0.5, 0.5, 0.5, None)]), "gumbel").first()
     assert (row.eps_hits, row.eps_top_k, row.eps_knn) == (2, 2, 2)
+
+
+def test_a_draw_can_be_made_for_some_rows_only(spark, noise):
+    """The noisy threshold of a prompt is drawn once, not once a segment."""
+    rows = spark.range(40).withColumn("b", F.lit(0.2))
+    every = {r.id: r.x for r in noise.draws(rows, "b", "x", "nu", "id").collect()}
+    some = {r.id: r.x for r in noise.draws(rows, "b", "x", "nu", "id", only=F.col("id") % 4 == 0).collect()}
+    assert some == {i: x if i % 4 == 0 else None for i, x in every.items()}
