@@ -7,7 +7,7 @@ from minimus.functions.pii import mask_pii
 from minimus.operators.knn import noisy_knn
 from minimus.operators.policy import policy_df
 from minimus.operators.typos import correct_typos, typo_corrections, typo_vocab
-from minimus.operators.vocab import build_vocab
+from minimus.operators.vocab import ENTRY_BYTES, build_vocab, frequent_from, lookup_bytes
 from minimus.plans.queries_text import document_base
 from minimus.plans.simplify import Chain, minimize
 
@@ -86,3 +86,24 @@ def test_many_queries(spark):
         (F.col("id") % 5).cast("double"), F.lit(1.0), F.lit(2.0)).alias("qvec"))
     out = noisy_knn(qs, base, 2, 0.01, 1)
     assert out.count() == 10000
+
+
+def test_a_large_idf_table_is_broadcast_in_part(spark, sf):
+    """Only tokens of few documents are looked up by a shuffle; the rows are the same."""
+    base = document_base(spark, sf)
+    cols = ["pid", "level", "attempt", "simplified", "similarity", "missing"]
+    one = Chain(base, policy_df(spark), attempts=2)
+    limit = lookup_bytes(one.idf) // 2
+    two = Chain(base, policy_df(spark), attempts=2, broadcast_max_bytes=limit)
+    head, rest = two.idf_parts
+    assert 0 < lookup_bytes(head) <= limit and head.count() + rest.count() == two.idf.count()
+    assert head.agg(F.min("df")).first()[0] > rest.agg(F.max("df")).first()[0]
+    assert sorted(one.scored.collect()) == sorted(two.scored.collect())
+    assert sorted(one.chosen.select(cols).collect()) == sorted(two.chosen.select(cols).collect())
+    assert not {"orig_tokens", "simp_tokens"} & set(two.rounds[0].columns)
+
+
+def test_frequent_tokens_fill_the_limit(spark):
+    idf = spark.createDataFrame([("t%d" % d, d) for d in (1, 2, 3, 4, 7, 8, 9)], "token string, df long")
+    each = 2 + ENTRY_BYTES
+    assert [frequent_from(idf, n * each) for n in (7, 6, 5, 4, 3, 2, 1, 0)] == [1, 2, 4, 4, 8, 8, 16, 16]
