@@ -65,7 +65,7 @@ def _halves() -> Column:
     for b in (F.col("n"), F.col("n") - 1):
         p = F.floor(b / 2)
         out += [_piece(b, F.lit(0), p), _piece(b, p, b)]
-    return F.filter(F.array(*out), lambda x: x.b >= MIN_CHARS)
+    return F.array(*out)
 
 
 def _around() -> list[Column]:
@@ -94,8 +94,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     halves = (lines.where(F.col("n") >= MIN_CHARS)
               .select("doc_id", "row", "line_no", "line", F.xxhash64("line").alias("line_h"),
                       F.explode(_halves()).alias("p"))
-              .select("doc_id", "row", "line_no", "line", "line_h", "p.*")
+              .select("doc_id", "row", "line_no", "line", "line_h", "p.*").where(F.col("b") >= MIN_CHARS)
               .select("doc_id", "row", "line_no", "line_h", "b", "lo", "hi", *_around()))
+    halves = stage(halves, "line-cuts")  # read twice: the lines are cut and hashed once
     live = stage(_live(halves), "line-halves")
     # a null doc_id is an id as well
     firsts = first.select(*[F.col(f"first.{c}").alias(f"__{c}") for c in ("doc_id", "row", "line_no")])
