@@ -47,8 +47,10 @@ DICT_BYTES = 64 << 10
 #: A block ends at so many payload bytes or documents.
 BLOCK_BYTES = 1 << 20
 BLOCK_DOCS = 4096
-#: Distinct words whose ids a worker keeps.
-CACHE_WORDS = 600_000
+#: Distinct words whose ids a worker keeps, and bits of its table of words met once: a word is
+#: kept when it is met again, so that words that never recur take no room.
+CACHE_WORDS = 300_000
+SEEN_BITS = 22
 LEVEL = 3
 
 BLOCKS = ("shard int, block int, first_id long, last_id long, n_ids long, dict_hash string, width int, "
@@ -97,6 +99,7 @@ class Encoder:
         self.code = "<%d" + {2: "H", 4: "I"}[self.width]
         self.end = end_id.to_bytes(self.width, "little")
         self.cache: dict[str, bytes] = {}
+        self.seen = np.zeros(1 << SEEN_BITS, bool)
         self.tails = {"": b""}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -132,6 +135,15 @@ class Encoder:
                 rest.append(w)
         known.update(zip(rest, self._full(rest), strict=True))
 
+    def _keep(self, known: dict[str, bytes]) -> None:
+        """Keep the words that were met before; remember that the others were met."""
+        words = list(known)
+        at = np.fromiter(map(hash, words), np.int64, len(words)) & ((1 << SEEN_BITS) - 1)
+        again = self.seen[at]
+        self.seen[at] = True
+        room = CACHE_WORDS - len(self.cache)
+        self.cache.update((words[i], known[words[i]]) for i in np.flatnonzero(again)[:room].tolist())
+
     def _full(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes()
                 for i in range(0, len(pieces), 20_000)
@@ -145,11 +157,12 @@ class Encoder:
         words = found.dictionary.to_numpy(zero_copy_only=False).tolist()
         parts = list(map(self.cache.get, words))
         new = [i for i, x in enumerate(parts) if x is None]
-        # full: what is new is known for these texts only
-        known = self.cache if len(self.cache) + len(new) <= CACHE_WORDS else {}
+        known: dict[str, bytes] = {}  # for these texts only
         self._learn([words[i] for i in new], known)
         for i in new:
             parts[i] = known[words[i]]
+        if len(self.cache) < CACHE_WORDS:
+            self._keep(known)
         parts.append(self.end)
         flat = np.frombuffer(b"".join(parts), self.dtype)
         size = np.fromiter(map(len, parts), np.int64, len(parts)) // self.width

@@ -267,3 +267,29 @@ def test_oracle(spark, sf, name):
     want = con.sql(queries.ORACLE[name]).df()[order].astype(object).map(repr).values.tolist()
     got = df.select(order).toPandas().astype(object).map(repr).values.tolist()
     assert sorted(got) == sorted(want)
+
+
+def test_words_that_never_recur_are_not_kept():
+    import pyarrow as pa
+
+    from minimus.llm import token_files
+    from minimus.llm.queries import tokenizer_path
+    enc = token_files.Encoder(tokenizer_path())
+    for i in range(3):
+        ids, at = enc.ids(pa.array(["one Common word, q%dx z%dy" % (i, i)] * 2))
+        assert [len(ids)] == list(at[-1:]) and list(ids[:at[1]]) == list(ids[at[1]:])
+    assert {"one", "Common", "word,"} <= set(enc.cache)
+    assert not [w for w in enc.cache if w[:1] in "qz"]
+
+
+def test_lines_are_cut_once(spark, monkeypatch):
+    from minimus.llm import line_dedup
+    staged = {}
+    keep = line_dedup.stage
+    monkeypatch.setattr(line_dedup, "stage", lambda df, name: staged.setdefault(name, keep(df, name)))
+    docs = spark.createDataFrame([(1, "a line of some length\nshort"), (2, "a line of some lengths\nshort")],
+                                 "doc_id long, text string")
+    assert sorted(r.n_removed for r in line_dedup.dedup_lines(docs).collect()) == [0, 2]
+    cuts = staged["line-cuts"].select("doc_id", "b", "lo", "hi").distinct().collect()
+    assert sorted(cuts) == sorted((d, b, lo, hi) for d, n in ((1, 21), (2, 22)) for b in (n, n - 1)
+                                  for lo, hi in ((0, b // 2), (b // 2, b)))
