@@ -103,6 +103,28 @@ def test_a_large_idf_table_is_broadcast_in_part(spark, sf):
     assert not {"orig_tokens", "simp_tokens"} & set(two.rounds[0].columns)
 
 
+def test_vocabulary_of_masked_prompts(spark):
+    """The masked prompts give the vocabulary of the clean ones, whatever their levels."""
+    texts = ["mail ab.cd@ef.org or +1 (555) 010-2345678901234 now", "card4111111111111111rest 4111111111111112x",
+             'my token = "00beade0abcd1234" <NUM> <12NUM> at 10.20.30.40z', "a1234b \u039f\u03a31234 \u039f\u03a3.12345\u0392", None, ""]
+    rows = [(f"{i}-{level}", "en", text, level) for level in ("low", "medium", "high", None) for i, text in enumerate(texts)]
+    base = spark.createDataFrame(rows, "pid string, lang string, text string, level string")
+    chain = Chain(base, policy_df(spark))
+    assert sorted(chain.vocab.collect()) == sorted(build_vocab(chain.base).collect())
+    assert {"ab", "beade", "num"} & {r.token for r in chain.vocab.collect()} == {"num"}
+
+
+def test_stages_hold_what_later_steps_read(spark, sf):
+    """Tokens of whole prompts are made for reviews alone; a stage has one file a bucket at most."""
+    chain = Chain(document_base(spark, sf), policy_df(spark), attempts=1)
+    chain.scored.count()
+    assert "words" not in vars(chain) and "orig_tokens" not in chain.variants.columns
+    chain.chosen.count()
+    for stage in (chain.variants, chain.words, chain.uniq):
+        files = stage.inputFiles()
+        assert len(files) <= chain.buckets and all(f.endswith(".zstd.parquet") for f in files)
+
+
 def test_frequent_tokens_fill_the_limit(spark):
     idf = spark.createDataFrame([("t%d" % d, d) for d in (1, 2, 3, 4, 7, 8, 9)], "token string, df long")
     each = 2 + ENTRY_BYTES
