@@ -7,18 +7,24 @@ A text gets the language with the largest sum over its trigrams, ties to the fir
 one without a known trigram stays ``und``.
 
 Trigrams come from the text masked at 'high', lower-cased, with every run of other characters
-than letters as one blank; three passes of a regular expression cut them, so the work is linear
-in the text. Texts are counted by trigram before the lookup, and all groups are aggregates with
-partial aggregation.
+than letters as one blank. Spark's columns bring the text into this form; numpy counts the trigrams of
+a few MB of texts at a time by their place in the alphabet that these texts hold, so that only counts leave a
+task. They are added up before the lookup, and all groups are aggregates with partial aggregation.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.pii import sql_vocabulary_text, vocabulary_text
-from ..session import cut_lineage
+from ..session import cut_lineage, ship_package
 
 TOP = 2000
 SCALE = 1 << 20
@@ -27,13 +33,70 @@ UNKNOWN = "und"
 BROADCAST_ROWS = 1 << 18
 
 
-def trigrams(text: str) -> Column:
-    t = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(vocabulary_text(text)), r"[^\p{L}]+", " ")), F.lit(" "))
-    return F.concat(*[F.regexp_extract_all(F.substring(t, i, 1 << 30), F.lit(r"(.{3})"), 1) for i in (1, 2, 3)])
-
-
-def _counted(rows: DataFrame, *keys: str, text: str = "text") -> DataFrame:
-    return rows.select(*keys, F.explode(trigrams(text)).alias("gram")).groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("n"))
+#: Text bytes that are counted at a time, and table cells that a count may take.
+STEP_BYTES = 4 << 20
+CELLS = 1 << 22
+
+
+def letter_text(text: str) -> Column:
+    """What trigrams are cut from: lower-case letter runs, one blank around each."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(vocabulary_text(text)), r"[^\p{L}]+", " ")), F.lit(" "))
+
+
+def _pair_counts(key: np.ndarray, code: np.ndarray, keys: int, codes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, code, n) of the different pairs of numbers below ``keys`` and ``codes``."""
+    if keys * codes <= CELLS:
+        n = np.bincount(key * codes + code, minlength=1)
+        at = np.flatnonzero(n)
+        return at // codes, at % codes, n[at]
+    found, place = np.unique(code, return_inverse=True)
+    at, n = np.unique(key * len(found) + place, return_counts=True)
+    return at // len(found), found[at % len(found)], n
+
+
+def count_trigrams(keys: pa.Array, texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """(key, trigram, n) over texts of ``letter_text``. Two blanks meet only where one text
+    ends and the next begins, so no trigram with two of them is counted."""
+    chars = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), "<u4")
+    held = np.zeros(0x110000, bool)
+    held[chars] = True
+    alphabet = np.flatnonzero(held).astype("<u4")
+    rank = np.zeros(0x110000, np.int64)
+    rank[alphabet] = np.arange(len(alphabet))
+    r, m = rank[chars], len(alphabet)
+    blank = chars == 32
+    two = blank[1:] & blank[:-1]
+    start = np.flatnonzero(~(two[1:] | two[:-1]))
+    code = (r[start] * m + r[start + 1]) * m + r[start + 2]
+    of = keys.dictionary_encode(null_encoding="encode")
+    owner = np.repeat(of.indices.to_numpy().astype(np.int64), pc.utf8_length(texts).to_numpy())[start]
+    key, code, n = _pair_counts(owner, code, len(of.dictionary), m ** 3)
+    grams = np.stack([alphabet[code // (m * m)], alphabet[code // m % m], alphabet[code % m]], 1) if len(code) \
+        else np.zeros((0, 3), "<u4")
+    return of.dictionary.take(pa.array(key)), pa.array(grams.view("<U3").ravel(), pa.string()), pa.array(n, pa.int64())
+
+
+def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = pc.fill_null(b.column(1).cast(pa.string()), "")
+        size = np.cumsum(pc.binary_length(texts).to_numpy())
+        i = 0
+        while i < len(texts):
+            j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + STEP_BYTES, "right")))
+            yield pa.RecordBatch.from_arrays(list(count_trigrams(b.column(0)[i:j], texts[i:j])), ["key", "gram", "n"])
+            i = j
+
+
+def _part_counts(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, gram, n): counts of parts of the rows."""
+    ship_package(rows.sparkSession)
+    kind = rows.schema[key].dataType
+    out = T.StructType([T.StructField("key", kind), T.StructField("gram", T.StringType()), T.StructField("n", T.LongType())])
+    return rows.select(key, letter_text(text).alias("__letters")).mapInArrow(_count_batches, out).withColumnRenamed("key", key)
+
+
+def _counted(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
+    return _part_counts(rows, key, text).groupBy(key, "gram").agg(F.sum("n").alias("n"))
 
 
 def fit_language(docs: DataFrame, lang: str = "lang", text: str = "text", top: int = TOP) -> DataFrame:
@@ -62,8 +125,9 @@ def identify(rows: DataFrame, model: DataFrame, key: str = "pid", text: str = "t
 
 
 def with_language(rows: DataFrame, model: DataFrame, key: str = "pid", text: str = "text") -> DataFrame:
-    """``rows`` with a ``lang`` column from the model."""
-    return rows.drop("lang").join(identify(rows, model, key, text), key, "left").withColumn(
+    """``rows`` with a ``lang`` column from the model. What was identified is staged: whoever reads the
+    rows again does not count their trigrams again."""
+    return rows.drop("lang").join(cut_lineage(identify(rows, model, key, text)), key, "left").withColumn(
         "lang", F.coalesce("lang", F.lit(UNKNOWN)))
 
 

@@ -1,8 +1,13 @@
 """Language identification: held-out documents, odd texts, fillers of chat prompts."""
 
+import collections
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from minimus.functions.text import clean_text
+from minimus.operators import language
 from minimus.operators.language import TOP, fit_language, identify, with_language
 from minimus.plans.queries_flow import chat_prompts, minimize_log
 from minimus.operators.policy import FILLERS
@@ -45,3 +50,30 @@ def test_prompts_lose_their_fillers(spark, sf):
     for r in rows:
         words = set(r.simplified.lower().split())
         assert not words & set(FILLERS.get(r.lang, []))
+
+
+ODD = [("a", "the cat, the CAT"), ("b", "Übung"), (None, "x yz"), ("a", ""), ("b", None), ("a", "12 !"), ("c", "\U00010428\U00010429 b"),
+       ("c", "\u4e2d\u6587\u5b57 \u4e2d\u6587\u5b57"), ("a", "me@example.com and 1234567"), ("b", "q")]
+
+
+@pytest.mark.parametrize("cells", [language.CELLS, 0])
+def test_counts_leave_the_tasks(spark, monkeypatch, cells):
+    """Trigram counts equal brute force by Spark's own columns, with either way of counting; what leaves a
+    task are the different trigrams of its texts, not each place of one."""
+    monkeypatch.setattr(language, "CELLS", cells)
+    pairs = [language._pair_counts(np.array(k, np.int64), np.array(c, np.int64), 3, 9) for k, c in [([0, 2, 2, 2], [8, 1, 1, 0]), ([], [])]]
+    assert [sorted(zip(*(x.tolist() for x in p))) for p in pairs] == [[(0, 8, 1), (2, 0, 1), (2, 1, 2)], []]
+    rows = spark.createDataFrame([(k, t) for k, t in ODD for _ in range(50)], "lang string, text string").coalesce(1)
+    want = collections.Counter()
+    for r in rows.select("lang", language.letter_text("text").alias("t")).collect():
+        want.update((r.lang, r.t[i:i + 3]) for i in range(len(r.t or "") - 2))
+    parts = language._part_counts(rows, "lang", "text").collect()
+    assert len(parts) == len(want)
+    assert {(r.lang, r.gram): r.n for r in language._counted(rows, "lang").collect()} == want
+
+
+def test_languages_are_identified_once(spark, sf):
+    """The plan of the prompts reads what was identified and has no Python step of its own."""
+    base, _ = chat_prompts(spark, sf)
+    plan = base._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan and "(.{3})" not in plan
