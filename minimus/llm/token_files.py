@@ -193,6 +193,11 @@ def encoder(path: str, end_id: int = END_ID) -> Encoder:
     return _ENCODERS[path, end_id]
 
 
+def forget_encoders() -> None:
+    """A worker that goes on to other work keeps no words."""
+    _ENCODERS.clear()
+
+
 def _batches(col: pa.Array, step: int = 2 << 20):
     """Consecutive slices of about ``step`` text bytes."""
     size = np.cumsum(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False))
@@ -287,8 +292,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
      .write.parquet(f"{path}/shards"))
 
 
-def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
-    """(doc_id, start, n_tokens, width, ids binary) from the files; of ``doc_ids`` only, if given."""
+def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None = None, crc: bool = False) -> DataFrame:
+    """(doc_id, start, n_tokens, width, ids binary) from the files; of ``doc_ids`` only, if given.
+    ``crc``: ids_crc32 (see ``checksums``) in place of width and ids, taken by the worker that reads, so that
+    the ids do not travel to a second one beside it."""
     head = spark.read.parquet(f"{path}/dictionary").first()
     shared = spark.sparkContext.broadcast(bytes(head.dictionary))
     digest = head.dict_hash
@@ -302,6 +309,7 @@ def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None =
             F.exists("docs", lambda d: d.doc_id.isin(list(wanted))))
 
     def documents(batches):
+        forget_encoders()
         unzip = zstandard.ZstdDecompressor(**_dict(shared.value))
         for b in batches:
             for one in range(b.num_rows):
@@ -314,23 +322,29 @@ def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None =
                 for k in range(0, len(docs), 512):
                     got = [d for d in docs[k:k + 512] if wanted is None or d["doc_id"] in wanted]
                     ids = [unzip.decompress(payload[d["offset"]:d["offset"] + d["length"]]) for d in got]
+                    own = [pa.array([_crc32(x, width) for x in ids], pa.int64())] if crc else \
+                        [pa.array([width] * len(got), pa.int32()), pa.array(ids, pa.binary())]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([shard] * len(got), pa.int32()), pa.array([width] * len(got), pa.int32())]
+                        [pa.array([shard] * len(got), pa.int32())]
                         + [pa.array([d[c] for d in got], pa.int64()) for c in ("doc_id", "start", "n_tokens")]
-                        + [pa.array(ids, pa.binary())], ["shard", "width", "doc_id", "local", "n_tokens", "ids"])
+                        + own, ["shard", "doc_id", "local", "n_tokens", *names])
 
-    rows = map_batches(blocks, documents, "shard int, width int, doc_id long, local long, n_tokens long, ids binary")
+    names = ["ids_crc32"] if crc else ["width", "ids"]
+    rows = map_batches(blocks, documents, "shard int, doc_id long, local long, n_tokens long, "
+                       + ("ids_crc32 long" if crc else "width int, ids binary"))
     base = spark.read.parquet(f"{path}/shards").select("shard", "base")
-    return rows.join(base, "shard").select("doc_id", (F.col("base") + F.col("local")).alias("start"),
-                                           "n_tokens", "width", "ids")
+    return rows.join(base, "shard").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", *names)
+
+
+def _crc32(ids, width: int) -> int:
+    return zlib.crc32(np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes())
 
 
 def checksums(rows: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32): crc32 of the ids as unsigned 32-bit integers."""
     def crc(batches):
         for b in batches:
-            out = [zlib.crc32(np.frombuffer(x.as_buffer(), f"<u{w.as_py()}").astype("<u4").tobytes())
-                   for x, w in zip(b.column("ids"), b.column("width"), strict=True)]
+            out = [_crc32(x.as_buffer(), w.as_py()) for x, w in zip(b.column("ids"), b.column("width"), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(n) for n in ("doc_id", "start", "n_tokens")]
                                              + [pa.array(out, pa.int64())],
                                              ["doc_id", "start", "n_tokens", "ids_crc32"])
@@ -341,4 +355,4 @@ def token_output(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Write ``docs`` to a fresh folder in the shared scratch area, read the files back."""
     path = scratch_path(docs.sparkSession, "token-files")
     write_token_files(docs, path, tokenizer)
-    return checksums(read_token_files(docs.sparkSession, path))
+    return read_token_files(docs.sparkSession, path, crc=True)

@@ -94,6 +94,17 @@ def test_token_files_of_nothing(make_docs):
     assert sorted((r.doc_id, r.start, r.n_tokens) for r in got) == [(4, 0, 1), (5, 1, 1)]
 
 
+def test_token_files_are_read_by_one_worker(spark, make_docs, some):
+    """The checksums are taken where the files are read: one Python step in a task, not two beside each other."""
+    got = token_files.token_output(make_docs(some), TOKENIZER)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    path = scratch_path(spark, "token-files")
+    token_files.write_token_files(make_docs(some), path, TOKENIZER)
+    want = token_files.checksums(token_files.read_token_files(spark, path))
+    assert sorted(got.collect()) == sorted(want.collect()) and got.columns == want.columns
+
+
+
 def test_encoder_keeps_to_the_library():
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(TOKENIZER)
