@@ -64,6 +64,15 @@ def test_buckets_follow_the_input(spark, sf, monkeypatch):
     assert session.bucket_count(docs) == 50
 
 
+def test_a_bucket_fits_a_task(spark, sf, monkeypatch):
+    """Each level's copy of the input gets buckets of its own, small enough to be sorted in memory."""
+    from minimus import session
+    monkeypatch.setattr(session, "input_bytes", lambda df: 6 << 30)
+    n = session.bucket_count(spark.range(1), 3)
+    assert (6 << 30) * 3 / n <= 64 << 20
+
+
+
 def test_cluster_needs_a_shared_folder():
     from minimus import session
 
