@@ -46,19 +46,20 @@ SHARD_BYTES = 1 << 20
 _BYTES = mix(np.arange(256, dtype=np.uint64), 11)
 
 
-def _minima(h: np.ndarray, width: int) -> np.ndarray:
-    """Place of the first smallest element in every run of ``width`` elements."""
-    val, at, step = h, np.arange(len(h), dtype=np.int32), 1
+#: An element's upper half is the hash that is compared, its lower half the place, so that the
+#: first of equal hashes is the smallest.
+_PLACE_MASK = np.uint64((1 << 32) - 1)
 
-    def better(va, ia, vb, ib):  # the first on ties
-        take = vb < va
-        return np.where(take, vb, va), np.where(take, ib, ia)
 
+def _minima(h: np.ndarray, width: int) -> np.ndarray:
+    """The first smallest element (upper half of the hash, place) in every run of ``width``
+    elements. What is left of a hash does not depend on the part, so equal texts agree."""
+    low, step = (h & ~_PLACE_MASK) | np.arange(len(h), dtype=np.uint64), 1
     while 2 * step <= width:
-        val, at = better(val[:-step], at[:-step], val[step:], at[step:])
+        low = np.minimum(low[:-step], low[step:])
         step *= 2
     rest = width - step
-    return better(val[:len(val) - rest], at[:len(at) - rest], val[rest:], at[rest:])[1] if rest else at
+    return np.minimum(low[:len(low) - rest], low[rest:]) if rest else low
 
 
 def _owned(data, off):
@@ -68,18 +69,20 @@ def _owned(data, off):
     none = np.zeros(0, np.int64)
     if len(data) < WINDOW:
         return none, none, none, none, ranges
-    at = np.arange(len(data) - PIECE + 1)
-    low = _minima(ranges.of(at, at + PIECE), PIECES)
-    doc = np.repeat(np.arange(len(off) - 1), np.diff(off))[:len(low)]
-    start = np.flatnonzero(np.arange(len(low)) + WINDOW <= off[doc + 1])
-    if not len(start):
-        return none, none, none, none, ranges
-    place = low[start].astype(np.int64)
-    new = np.ones(len(start), bool)
-    new[1:] = place[1:] != place[:-1]
+    low = _minima(ranges.every(PIECE), PIECES)
+    # runs of starts with one anchor, cut where a text's starts begin and end
+    new = np.ones(len(low), bool)
+    new[1:] = low[1:] != low[:-1]
+    long = np.flatnonzero(np.diff(off) >= WINDOW)
+    new[off[long]] = True
+    stop = off[long + 1] - WINDOW + 1
+    new[stop[stop < len(low)]] = True
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(start)) - 1
-    return place[first], start[first], start[last], doc[start[first]], ranges
+    last = np.append(first[1:], len(low)) - 1
+    doc = np.searchsorted(off, first, "right") - 1
+    inside = first + WINDOW <= off[doc + 1]
+    first, last, doc = first[inside], last[inside], doc[inside]
+    return (low[first] & _PLACE_MASK).astype(np.int64), first, last, doc, ranges
 
 
 def _anchors(data, off):
@@ -90,7 +93,9 @@ def _anchors(data, off):
 def _wanted(data, off, at, pos):
     """The owned anchors that stand at the given positions."""
     place, lo, hi, doc, ranges = _owned(data, off)
-    keep = np.isin(place, off[at] + pos)
+    asked = np.zeros(len(data), bool)
+    asked[off[at] + pos] = True
+    keep = asked[place]
     return place[keep], lo[keep], hi[keep], doc[keep], ranges
 
 
@@ -125,19 +130,20 @@ def shard_repeats(spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     earlier in their own."""
     size = np.array([len(s) for s in spans])
     begin = np.cumsum(size + 1) - size - 1
-    text = np.frombuffer(b"\0".join(spans) + b"\0", np.uint8).astype(np.int64) + 2
+    text = np.frombuffer(b"\0".join(spans) + b"\0", np.uint8).astype(np.int16) + np.int16(2)
     ends = begin + size
     text[ends] = 1  # closes every span
     sa, lcp = suffix_array(text, WINDOW)
+    of = np.repeat(np.arange(len(spans)), size + 1)
     group = np.cumsum(lcp < WINDOW)
-    owner = np.searchsorted(begin, sa, "right") - 1
-    whole = sa + WINDOW <= ends[owner]
-    sa, owner, group = sa[whole], owner[whole], group[whole]
-    order = np.lexsort((sa, group))
-    later = np.zeros(len(sa), bool)
-    later[1:] = group[order][1:] == group[order][:-1]
-    at = order[later]
-    return owner[at], sa[at] - begin[owner[at]]
+    whole = sa + WINDOW <= ends[of[sa]]
+    sa, group = sa[whole], group[whole]
+    if not len(sa):
+        return sa, sa
+    start = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    earliest = np.repeat(np.minimum.reduceat(sa, start), np.diff(np.append(start, len(sa))))
+    at = sa[sa != earliest]
+    return of[at], at - begin[of[at]]
 
 
 def _sort_shards(batches):

@@ -61,19 +61,40 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(np.add.reduceat(value, total - size))
 
 
+#: Powers up to this many elements are kept between calls.
+_KEPT_POWERS = 1 << 20
+_powers_kept: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE ** i and its inverse modulo 2**64 for i from 0 to n."""
+    if n > _KEPT_POWERS or not _powers_kept:
+        size = max(n, _KEPT_POWERS) + 1
+        up, down = np.full(size, BASE, np.uint64), np.full(size, BASE_INV, np.uint64)
+        up[0] = down[0] = 1
+        np.multiply.accumulate(up, out=up)
+        np.multiply.accumulate(down, out=down)
+        if n > _KEPT_POWERS:
+            return up, down
+        _powers_kept[:] = [up, down]
+    up, down = _powers_kept
+    return up[:n + 1], down[:n + 1]
+
+
 class RangeHash:
     """64-bit hashes of any ranges of a sequence of hashes, each in constant time (a
     polynomial with an odd base modulo 2**64, over elements mixed by ``seed``)."""
 
     def __init__(self, h: np.ndarray, seed: int):
         self.seed = seed
-        up = np.full(len(h), BASE, np.uint64)
-        self.down = np.full(len(h) + 1, BASE_INV, np.uint64)
-        up[:1] = self.down[0] = 1
-        np.multiply.accumulate(up, out=up)  # BASE ** i
-        np.multiply.accumulate(self.down, out=self.down)
+        up, self.down = _powers(len(h))
         self.total = np.zeros(len(h) + 1, np.uint64)
-        np.cumsum((mix(h, seed) if seed else h) * up, out=self.total[1:])
+        np.cumsum((mix(h, seed) if seed else h) * up[:-1], out=self.total[1:])
 
     def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         return mix((self.total[hi] - self.total[lo]) * self.down[lo], self.seed)
+
+    def every(self, width: int) -> np.ndarray:
+        """The hashes of all ranges of ``width`` elements."""
+        last = max(0, len(self.total) - width)
+        return mix((self.total[width:] - self.total[:last]) * self.down[:last], self.seed)

@@ -24,25 +24,25 @@ from .hashing import RangeHash, mix
 
 
 class _Minima:
-    """Minimum over ranges of an array, through tables of powers of two."""
-
-    def __init__(self, x: np.ndarray):
-        self.tables = [x]
-        step = 1
-        while 2 * step <= len(x):
-            last = self.tables[-1]
-            self.tables.append(np.minimum(last[:-step], last[step:]))
-            step *= 2
+    """Minimum over ranges of an array, through tables of powers of two, one after the other in
+    one array."""
+
+    def __init__(self, x: np.ndarray, longest: int):
+        self.n = len(x)
+        rows = max(int(longest).bit_length(), 1)
+        flat = np.empty(rows * self.n, x.dtype)
+        flat[:self.n] = x
+        for k in range(1, rows):
+            last, size = (k - 1) * self.n, self.n - (1 << k) + 1
+            half = last + (1 << (k - 1))
+            np.minimum(flat[last:last + size], flat[half:half + size], out=flat[k * self.n:k * self.n + size])
+        self.flat = flat
 
     def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """min(x[lo:hi]) for each range, none of them empty."""
-        level = np.frexp((hi - lo).astype(float))[1] - 1
-        out = np.empty(len(lo), self.tables[0].dtype)
-        for k in np.unique(level):
-            some = level == k
-            t = self.tables[k]
-            out[some] = np.minimum(t[lo[some]], t[hi[some] - (1 << k)])
-        return out
+        """min(x[lo:hi]) for each range, none of them empty or longer than ``longest``."""
+        level = np.frexp((hi - lo).astype(np.float32 if self.n < 1 << 24 else float))[1] - 1
+        base = level.astype(np.int64) * self.n
+        return np.minimum(self.flat[base + lo], self.flat[base + hi - (1 << level.astype(np.int64))])
 
 
 class Queues:
@@ -58,26 +58,25 @@ class Queues:
         """Push suffixes ``pos`` with first characters ``ch``, induced by the members
         ``src`` (increasing) of a batch whose members have the values ``lcp`` to the
         member before them."""
-        order = np.argsort(ch, kind="stable")
-        pos, src = pos[order], src[order]
-        chars, start = np.unique(ch[order], return_index=True)
+        order = np.argsort(ch, kind="stable")  # in linear time, as characters are short integers
+        pos, src, ch = pos[order], src[order], ch[order]
+        start = np.flatnonzero(np.append(True, ch[1:] != ch[:-1]))
+        chars = ch[start]
         stop = np.append(start[1:], len(pos))
         if lcp is not None:
-            minima = _Minima(lcp)
-            value = np.empty(len(pos), np.int32)
-            inner = np.ones(len(pos), bool)
-            inner[start] = False
-            at = np.flatnonzero(inner)
-            if len(at):
-                value[at] = minima.of(src[at - 1] + 1, src[at] + 1)
-            head = minima.of(np.zeros(len(start), np.int64), src[start] + 1)
-            value[start] = np.minimum(self.since[chars], head)
-            value = np.minimum(value + 1, self.limit)
+            # from the member after the last one that pushed to the queue (else the first) on
+            lo = np.empty(len(pos), np.int64)
+            lo[1:] = src[:-1] + 1
+            lo[start] = 0
+            tail = src[stop - 1] + 1
+            more = tail < len(lcp)
+            minima = _Minima(lcp, max(int((src + 1 - lo).max()), len(lcp) - int(tail.min())))
+            value = minima.of(lo, src + 1)
+            value[start] = np.minimum(self.since[chars], value[start])
+            value = np.minimum(value + 1, self.limit).astype(lcp.dtype)
             fresh = [not self.held[c] and self.since[c] == -1 for c in chars]
             self.since = np.where(self.since < 0, self.since, np.minimum(self.since, lcp.min()))
-            tail = src[stop - 1] + 1
             rest = np.full(len(chars), self.limit, np.int32)
-            more = tail < len(lcp)
             if more.any():
                 rest[more] = minima.of(tail[more], np.full(more.sum(), len(lcp)))
             value[start[np.array(fresh, bool)]] = 0
@@ -102,11 +101,12 @@ class Shard:
     def __init__(self, text: np.ndarray, limit: int):
         """``text``: small integers that end with a unique 0."""
         self.t, self.limit = text, limit
+        self.kind = np.int8 if limit < 127 else np.int32  # of common-prefix values
         self.alphabet = int(text.max()) + 1
         n = len(text)
         # a suffix is of type S if it is smaller than the one after it
         change = np.flatnonzero(text[1:] != text[:-1])
-        run_end = change[np.searchsorted(change, np.arange(n - 1))]
+        run_end = np.repeat(change, np.diff(change, prepend=-1))
         self.small = np.ones(n, bool)
         self.small[:-1] = text[run_end] < text[run_end + 1]
         lms = self.small.copy()
@@ -117,17 +117,24 @@ class Shard:
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Common-prefix values of pairs of suffixes, by comparison in halving steps."""
         h = self._hash()
-        out = np.zeros(len(a), np.int64)
-        n = len(self.t)
+        a, b = a.copy(), b.copy()  # how far both are known to agree
+        out = np.zeros(len(a), self.kind)
         step = 1 << (self.limit.bit_length() - 1)
         while step:
-            x, y = a + out + step, b + out + step
-            fits = (x <= n) & (y <= n) & (out + step <= self.limit)
-            at = np.flatnonzero(fits)
-            same = h.of(a[at] + out[at], x[at]) == h.of(b[at] + out[at], y[at])
-            out[at[same]] += step
+            all_of = h.every(step)  # no range reaches past the end
+            at = np.flatnonzero((np.maximum(a, b) < len(all_of)) & (out <= self.limit - step))
+            at = at[all_of[a[at]] == all_of[b[at]]]
+            out[at] += step
+            a[at] += step
+            b[at] += step
             step //= 2
-        return out.astype(np.int32)
+        return out
+
+    def common_of(self, a: int, b: int) -> int:
+        """The common-prefix value of one pair."""
+        m = min(self.limit, len(self.t) - max(a, b))
+        differ = self.t[a:a + m] != self.t[b:b + m]
+        return int(differ.argmax()) if differ.any() else m
 
     def _hash(self) -> RangeHash:
         if not hasattr(self, "_ranges"):
@@ -174,11 +181,11 @@ class Shard:
             return found
 
         def join(a, b):
-            return int(self.common(np.array([a]), np.array([b]))[0])
+            return self.common_of(int(a), int(b))
 
         def cat(parts):
             if not parts:
-                return np.zeros(0, np.int64), np.zeros(0, np.int32)
+                return np.zeros(0, np.int64), np.zeros(0, self.kind)
             return np.concatenate([p[0] for p in parts]), (np.concatenate([p[1] for p in parts]) if with_lcp else None)
 
         def lms_of(c):
@@ -191,7 +198,7 @@ class Shard:
             pos, val = large[c]
             if not len(pos) or not with_lcp:
                 return pos[::-1], val
-            return pos[::-1], np.append(0, val[:0:-1]).astype(np.int32)
+            return pos[::-1], np.append(0, val[:0:-1]).astype(self.kind)
 
         smalls = [cat(x) for x in run(range(self.alphabet - 1, -1, -1), falling, True, join)]
         order, values = [], []
@@ -199,11 +206,11 @@ class Shard:
             pos, val = large[c]
             spos, sval = smalls[c]
             if c == 0:  # the closing 0 is induced by nothing
-                spos, sval = np.array([n - 1]), np.zeros(1, np.int32)
+                spos, sval = np.array([n - 1]), np.zeros(1, self.kind)
             spos = spos[::-1]
             order += [pos, spos]
             if with_lcp:
-                sval = np.append(0, sval[:0:-1]).astype(np.int32) if len(spos) else sval
+                sval = np.append(0, sval[:0:-1]).astype(self.kind) if len(spos) else sval
                 if len(pos):
                     val = val.copy()
                     val[0] = 0
@@ -228,23 +235,24 @@ class Shard:
         new[1:] = h[k[1:]] != h[k[:-1]]
         name = np.empty(len(lms), np.int64)
         name[k] = np.cumsum(new)
-        # rank the suffixes of the string of names, twice as far each time
+        # rank the suffixes of the string of names, twice as far each time; LMS places are at
+        # least two apart
         reach = 1
-        while name.max() < len(name) and reach <= self.limit:
+        while name.max() < len(name) and 2 * reach < self.limit:
             nxt = np.zeros(len(name), np.int64)
             nxt[:-reach or None] = name[reach:] if reach < len(name) else 0
             key = name * (len(name) + 1) + nxt
-            by = np.argsort(key, kind="stable")
+            by = np.argsort(key)
             new = np.ones(len(by), np.int64)
             new[1:] = key[by[1:]] != key[by[:-1]]
             name = np.empty(len(by), np.int64)
             name[by] = np.cumsum(new)
             reach *= 2
-        return lms[np.argsort(name, kind="stable")]
+        return lms[np.argsort(name)]
 
     def suffix_array(self) -> tuple[np.ndarray, np.ndarray]:
         seeds = self.sorted_lms()
-        lcp = np.zeros(len(seeds), np.int32)
+        lcp = np.zeros(len(seeds), self.kind)
         lcp[1:] = self.common(seeds[:-1], seeds[1:])
         return self.induce(seeds, lcp)
 
@@ -252,5 +260,6 @@ class Shard:
 def suffix_array(text: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes of ``text`` (integers from 1 on; a closing 0 is added) in order, and the
     common-prefix value of each with the one before it, both up to ``limit``."""
-    sa, lcp = Shard(np.append(text, 0).astype(np.int64), limit).suffix_array()
+    kind = np.int16 if not len(text) or text.max() < 1 << 15 else np.int64
+    sa, lcp = Shard(np.append(text, 0).astype(kind), limit).suffix_array()
     return sa[1:], np.append(0, lcp[2:]).astype(np.int32) if len(sa) > 1 else lcp[1:]

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 
 from minimus.llm import byte_dedup, line_dedup, passages
-from minimus.llm.induced import suffix_array
+from minimus.llm.hashing import RangeHash
+from minimus.llm.induced import Shard, suffix_array
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -34,6 +35,38 @@ def test_suffix_array_and_common_prefixes():
         assert lcp.tolist() == [0] + [common(a, b) for a, b in zip(sa, sa[1:])]
 
 
+def test_anchors_do_not_depend_on_the_part():
+    """Anchors are the first smallest piece by the upper half of its hash, whatever stands beside a text."""
+    rng = np.random.default_rng(2)
+    texts = [b"", b"x" * 99, b"y" * 300, b"z" * 100, bytes(rng.integers(97, 100, 700, dtype=np.uint8)), b""]
+
+    def owned(some):
+        off = np.append(0, np.cumsum([len(t) for t in some])).astype(np.int64)
+        place, lo, hi, doc, _ = byte_dedup._owned(np.frombuffer(b"".join(some), np.uint8), off)
+        assert (np.diff(doc) >= 0).all()
+        return [list(zip(*(x[doc == i] - off[i] for x in (place, lo, hi)))) for i in range(len(some))]
+
+    together = owned(texts)
+    assert together == [owned([t])[0] for t in texts]
+    for text, got in zip(texts, together, strict=True):
+        data = np.frombuffer(text, np.uint8)
+        h = RangeHash(byte_dedup._BYTES[data], 0)
+        at = np.arange(max(0, len(data) - byte_dedup.PIECE + 1))
+        top = h.of(at, at + byte_dedup.PIECE) >> np.uint64(32)
+        assert (h.every(byte_dedup.PIECE) >> np.uint64(32)).tolist() == top.tolist()
+        want = [i + int(top[i:i + byte_dedup.PIECES].argmin()) for i in range(len(data) - byte_dedup.WINDOW + 1)]
+        assert [p for p, lo, hi in got for _ in range(lo, hi + 1)] == want
+
+
+def test_common_prefix_of_one_pair():
+    rng = np.random.default_rng(3)
+    for limit in (3, 100, 200):  # values fit a byte, or do not
+        shard = Shard(np.append(np.tile(rng.integers(1, 3, 150), 2), 0).astype(np.int16), limit)
+        a, b = rng.integers(0, 301, 200), rng.integers(0, 301, 200)
+        a, b = a[a != b], b[a != b]
+        assert shard.common(a, b).tolist() == [shard.common_of(x, y) for x, y in zip(a, b)]
+
+
 def brute_bytes(rows):
     seen, out = set(), {}
     for doc_id, text in rows:
