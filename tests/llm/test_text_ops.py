@@ -266,6 +266,30 @@ def test_top_k_of_few_and_of_huge_values(spark):
     assert topk.top_k(df, df.where("vec_id = 0"), 5).where("query_id = 0").collect() == []
 
 
+def test_top_k_hands_on_one_best_a_lane_not_a_shard(spark, monkeypatch):
+    """What a task hands on grows with the queries and lanes, not with the shards that it reads."""
+    for name, value in (("BLOCK_ROWS", 4), ("VISIT_BLOCKS", 2), ("VISIT_QUERIES", 3), ("SHARD_BYTES", 8), ("LANES_A_CORE", 0)):
+        monkeypatch.setattr(topk, name, value, raising=False)
+    monkeypatch.setattr(type(spark.sparkContext), "defaultParallelism", property(lambda self: 1))
+    given = topk.map_batches
+    made = []
+    monkeypatch.setattr(topk, "map_batches", lambda df, fn, schema: made.append(given(df, fn, schema)) or made[-1])
+    rng = np.random.default_rng(9)
+    rows = [(int(i), [float(x) for x in np.float32(rng.normal(0, 0.3, 6))]) for i in range(500)]
+    rows += [(100, rows[100][1])] * 3 + [(700 + i, rows[50][1]) for i in range(20)]  # own rows again, ties
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = topk.top_k(df.where("vec_id % 50 = 0"), df, 5)
+    queries_ = {q: v for q, v in rows if q % 50 == 0}
+    assert sorted(map(tuple, got.collect())) == brute_top_k(rows, sorted(queries_.items()), 5)
+    shards = made[0].count()
+    assert shards > 100 and made[-1].count() <= 5 * len(queries_)
+
+
+def test_top_k_of_vectors_without_components(spark):
+    df = spark.createDataFrame([(0, []), (1, []), (50, [3.0]), (51, [2.0])], "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk.top_k(df.where("vec_id % 50 = 0"), df, 5).collect())) == [(50, 1, 51, 393216)]
+
+
 # ---- the whole registry and the pipeline
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
